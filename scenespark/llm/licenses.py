@@ -86,7 +86,7 @@ def license_scan(docs: DataFrame, path: Column | None = None, templates: tuple[t
     found = scored.select("row", "unit", best.alias("b")).select("row", (F.col("unit") < 0).alias("file"), F.col("b.score").alias("score"), F.col("b.k").alias("k"))
     found = found.where(F.when(F.col("file"), F.col("score") >= file_at).otherwise(F.col("score") >= header_at))
     per = found.groupBy("row").agg(F.max(F.when(~F.col("file"), F.struct("score", "k"))).alias("h"), F.max(F.when(F.col("file"), F.struct("score", "k"))).alias("f"))
-    named = lambda c: F.element_at(order, 1 - F.col(f"{c}.k"))
+    named = lambda c: F.when(F.col(c).isNotNull(), F.element_at(order, 1 - F.col(f"{c}.k")))
     own = per.select("row", named("h").alias("own_license"), F.col("h.score").alias("own_score"), named("f").alias("file_license"), F.col("f.score").alias("file_score"))
     # A file that is a licence as a whole has that licence, even if no single line is a header.
     own = checkpoint(keyed.drop("text").join(own, "row", "left").withColumn("own_score", F.when(F.col("own_license").isNull(), F.col("file_score")).otherwise(F.col("own_score"))).withColumn("own_license", F.coalesce("own_license", "file_license")))

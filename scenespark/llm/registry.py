@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, rules, secrets, sharding, simhash
+from . import bpe, covertree, licenses, mixing, pitman_yor, quality, rules, secrets, sharding, simhash
 from .common import table
 
 
@@ -47,6 +47,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_secrets, op3_bpe, op4_simhash, op5_sharding, op6_rules, op7_licenses, op8_mixing)}
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(table(spark, sf_dir, "documents"))
+
+
+def op10_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_dups(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_secrets, op3_bpe, op4_simhash, op5_sharding, op6_rules, op7_licenses, op8_mixing, op9_pitman_yor, op10_covertree)}
 
 ORACLE_SQL: dict[str, str] = {}
