@@ -98,4 +98,4 @@ def license_scan(docs: DataFrame, path: Column | None = None, templates: tuple[t
     up = bare.select("row", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("depth", "dir"))
     near = up.join(files, "dir").groupBy("row").agg(F.max_by(F.struct("dir_license", "dir"), "depth").alias("from"))
     out = own.join(near.select("row", F.col("from.dir_license").alias("inherited_license"), F.col("from.dir").alias("inherited_from")), "row", "left")
-    return out.select(id_col, "path", "own_license", "own_score", "file_license", "inherited_license", "inherited_from", F.coalesce("own_license", "inherited_license").alias("license"))
+    return out.select(id_col, "path", "own_license", F.round("own_score", 6).alias("own_score"), "file_license", "inherited_license", "inherited_from", F.coalesce("own_license", "inherited_license").alias("license"))

@@ -57,4 +57,51 @@ def op10_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_secrets, op3_bpe, op4_simhash, op5_sharding, op6_rules, op7_licenses, op8_mixing, op9_pitman_yor, op10_covertree)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_licenses": rf"""
+WITH d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) path, text FROM documents),
+hit AS (SELECT * FROM d WHERE regexp_matches(text, '{licenses.TRIGGER}')),
+parts AS (SELECT doc_id, unnest(l) part, generate_subscripts(l, 1) - 1 unit FROM (SELECT doc_id, string_split(regexp_replace(text, '([.;!?])\s', '' || chr(10), 'g'), chr(10)) l FROM hit)),
+units AS (SELECT doc_id, unit, part FROM parts WHERE regexp_matches(part, '{licenses.TRIGGER}') UNION ALL SELECT doc_id, -1, text FROM hit),
+tf AS (SELECT doc_id, unit, term, ln(count(*)) + 1 tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(part), '{licenses.TERM}')) term FROM units) GROUP BY ALL),
+n AS (SELECT count(*) n FROM (SELECT DISTINCT doc_id, unit FROM tf)),
+tpl(t, name, part) AS (VALUES {", ".join(f"({k}, {quoted(a)}, {quoted(b)})" for k, (a, b) in enumerate(licenses.TEMPLATES))}),
+st AS (SELECT t, name, term, ln(count(*)) + 1 tf FROM (SELECT t, name, unnest(regexp_extract_all(lower(part), '{licenses.TERM}')) term FROM tpl) GROUP BY ALL),
+df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
+w AS (SELECT t, name, term, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1) w FROM st LEFT JOIN df USING (term), n),
+wn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY t)) u FROM w),
+v AS (SELECT doc_id, unit, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) v FROM tf JOIN df USING (term), n),
+nv AS (SELECT doc_id, unit, sqrt(sum(v * v)) norm FROM v GROUP BY ALL),
+sc AS (SELECT v.doc_id, v.unit, t, name, round(sum(v * u) / any_value(norm), 9) score FROM v JOIN wn USING (term) JOIN nv ON nv.doc_id = v.doc_id AND nv.unit = v.unit GROUP BY ALL),
+b AS (SELECT doc_id, unit < 0 is_file, score, name FROM sc WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, unit < 0 ORDER BY score DESC, name) = 1),
+own AS (SELECT d.doc_id, d.path, coalesce(h.name, f.name) own_license, coalesce(h.score, f.score) own_score, f.name file_license, f.score file_score FROM d LEFT JOIN b h ON h.doc_id = d.doc_id AND NOT h.is_file LEFT JOIN b f ON f.doc_id = d.doc_id AND f.is_file),
+dirs AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) dir, file_license FROM own WHERE file_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY file_score DESC, file_license, path) = 1),
+near AS (SELECT o.doc_id, dirs.dir, dirs.file_license lic FROM own o JOIN dirs ON starts_with(o.path, dirs.dir || '/') WHERE o.own_license IS NULL QUALIFY row_number() OVER (PARTITION BY o.doc_id ORDER BY length(dirs.dir) DESC) = 1)
+SELECT o.doc_id, o.path, o.own_license, round(o.own_score, 6) own_score, o.file_license, near.lic inherited_license, near.dir inherited_from, coalesce(o.own_license, near.lic) license FROM own o LEFT JOIN near USING (doc_id)""",
+    "op8_mixing": r"""
+WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT size, ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INT bucket FROM documents),
+s AS (SELECT source, sum(size)::BIGINT source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE wt FROM w GROUP BY 1),
+o AS (SELECT *, 3.0 * source_size cap, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(3.0 * source_size) OVER before, 0) open, sum(wt) OVER () - coalesce(sum(wt) OVER before, 0) rest FROM s
+ WINDOW before AS (ORDER BY 3.0 * source_size / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, cap / wt <= open / rest full_ FROM o),
+t AS (SELECT source, source_size, CASE WHEN full_ THEN cap ELSE greatest(0, least(cap, wt * coalesce((SELECT open / rest FROM f WHERE NOT full_ ORDER BY cap / wt, source NULLS LAST LIMIT 1), 0))) END::DOUBLE target FROM f),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size + 1e-12)) ELSE 0 END::BIGINT whole FROM t),
+m AS (SELECT *, greatest(0, target - whole * source_size) more FROM g),
+u AS (SELECT source, bucket, sum(sum(size)) OVER (PARTITION BY source ORDER BY bucket) upto FROM w GROUP BY 1, 2),
+c AS (SELECT m.source, u.bucket cut FROM m JOIN u ON u.source IS NOT DISTINCT FROM m.source WHERE abs(upto - more) < more QUALIFY row_number() OVER (PARTITION BY m.source ORDER BY abs(upto - more), u.bucket) = 1)
+SELECT w.doc_id, w.size, m.source_size, round(m.target, 6) target, CASE WHEN w.size > 0 THEN w.size * (m.whole + (m.whole < 3 AND w.bucket <= coalesce(c.cut, -1))::BIGINT) ELSE 0 END::BIGINT taken
+FROM w JOIN m ON m.source IS NOT DISTINCT FROM w.source LEFT JOIN c ON c.source IS NOT DISTINCT FROM m.source""",
+    "op10_covertree": """
+WITH RECURSIVE x AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings),
+ok AS (SELECT * FROM x WHERE e IS NOT NULL AND len(list_filter(e, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_sum(list_transform(e, lambda v: v * v)) > 0),
+l AS (SELECT a.vec_id a, b.vec_id b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT vec_id, vec_id root FROM x UNION SELECT l.a, c.root FROM c JOIN l ON l.b = c.vec_id),
+n AS (SELECT a vec_id, count(*) n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(any_value(n), 0)::BIGINT n_links, min(root) component_id, vec_id = min(root) kept FROM c LEFT JOIN n USING (vec_id) GROUP BY vec_id""",
+}
