@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 #: Texts without any of these have no header and are no licence file.
-TRIGGER = r"(?i)licen[cs]|copyright|spdx|redistribut|public domain|creative commons|\bCC[ -]BY"
+TRIGGER = r"(?i)licen[cs]|copyright|spdx|redistribut|permission is hereby|public domain|creative commons|\bCC[ -]BY"
 TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 #: Ends of lines and sentences.
 UNIT = r"\n|(?<=[.;!?])\s"
