@@ -16,10 +16,17 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    groups = simhash.near_dups(docs)
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Documents without an id stay, one for each fingerprint, unless one with an id is in their group.
+    """
+    groups = checkpoint(simhash.near_dups(docs))
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = groups.where("component_id is not null").select(F.col("fingerprint").alias("_fp")).distinct()
+    bare = docs.where("doc_id is null").withColumn("_fp", simhash.fingerprint_column("text"))
+    bare = bare.join(known, "_fp", "left_anti").dropDuplicates(["_fp"])
+    return named.select(*docs.columns).unionByName(bare.select(*docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

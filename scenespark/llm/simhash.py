@@ -14,7 +14,8 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_row, checkpoint, connected_components, text_bytes
@@ -61,6 +62,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return by_row(docs, [F.col(id_col).cast("long").alias(id_col), text_bytes()], f"{id_col} long, fp long", rows)
 
 
+def fingerprint_column(text: str) -> Column:
+    """The fingerprint of a text column as 16 hex digits."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        parts = [fingerprint_texts(texts[k : k + 512].tolist()) for k in range(0, len(texts), 512)]
+        return pd.Series([f"{x:016x}" for p in parts for x in p.tolist()], dtype=object)
+
+    return run(text_bytes(text))
+
+
 def links_of_list(fps: np.ndarray, mask: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified links between members of one posting list, enough to connect what is linked."""
     f = np.unique(fps.view(np.uint64))

@@ -256,7 +256,9 @@ def test_pipeline_stages(spark, tmp_path):
         junk = i % 6 == 0
         rows.append((i, plain().upper() + "!! " * 30 if junk else plain(), "en", rng.choice("abc")))
         known.append((i, int(not junk), 0))
-    rows += [(1000 + k, rows[1][1], "en", "a") for k in range(20)] + [(2000, plain() + ' token = "abcdefgh1234567"', "en", "b"), (2001, None, None, None), (None, plain(), "en", "c")]
+    rows += [(1000 + k, rows[1][1], "en", "a") for k in range(20)] + [(2000, plain() + ' token = "abcdefgh1234567"', "en", "b"), (2001, None, None, None)]
+    bare = plain()
+    rows += [(None, bare, "en", "c"), (None, bare, "en", "c"), (None, rows[1][1], "en", "c"), (None, plain(), "en", "a")]
     docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels(spark, known).write.parquet(f"{tmp_path}/labels.parquet")
@@ -271,6 +273,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert not ids & set(range(0, 240, 6)) and set(i for i in range(240) if i % 6) <= ids
     groups = {r["doc_id"]: r["component_id"] for r in simhash.near_dups(made[0]).collect()}
     assert {r["doc_id"] for r in two if r["doc_id"] is not None} == {g for i, g in groups.items() if i is not None}
+    assert sum(r["doc_id"] is None for r in two) == 2
     assert 1 in {r["doc_id"] for r in two} and not {r["doc_id"] for r in two} & set(range(1000, 1020))
     assert next(r for r in three if r["doc_id"] == 2000)["text"].endswith("[SECRET]\"") and len(three) == len(two)
     n = Counter(r["doc_id"] for r in four)
