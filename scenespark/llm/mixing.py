@@ -67,6 +67,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: flo
     dealt = sums.withColumn("upto", upto).withColumnRenamed("source", "s").join(goal, F.col("s").eqNullSafe(F.col("source")))
     taken = dealt.where("abs(upto - more) < more").groupBy("source").agg(F.max_by(F.col("bucket"), F.struct(-F.abs(F.col("upto") - F.col("more")), -F.col("bucket"))).alias("cut"))
     goal = goal.join(taken.withColumnRenamed("source", "s"), F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.when(F.col("whole") >= int(max_epochs), -1).otherwise(F.coalesce("cut", F.lit(-1))).alias("cut"))
+    goal = checkpoint(goal)  # a row per source; dealt anew for the join, so that a large source's rows can be split
     repeats = F.when(F.col("size") > 0, F.col("whole") + (F.col("bucket") <= F.col("cut")).cast("long")).otherwise(F.lit(0))
     out = rows.join(goal, F.col("s").eqNullSafe(F.col("source"))).withColumn("repeats", repeats.cast("long"))
     return out.select(id_col, "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), *keep)
