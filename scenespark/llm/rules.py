@@ -109,13 +109,13 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, id_c
     beyond = " or ".join(f"{m} > cut_{m}" for m in MEASURES)
     # Each row of the holdout meets the grid's few levels of its stratum.
     tested = known.where("half = 1").withColumnRenamed("stratum", "of").join(spread, F.col("of").eqNullSafe(F.col("stratum"))).groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(f"cast({beyond} as long)")).alias("k"))
-    tests = spread.agg(F.count(F.lit(1)).alias("tests"))
+    tests = spread.count()
 
     @F.pandas_udf("double")
     def refuted(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([at_most(int(a), int(b), alpha) for a, b in zip(k, n, strict=True)], dtype=float)
 
-    admitted = tested.withColumn("p", refuted("k", "n")).crossJoin(F.broadcast(tests)).where(F.col("p") <= delta / F.col("tests"))
+    admitted = tested.withColumn("p", refuted("k", "n")).where(F.col("p") <= delta / max(tests, 1))
     best = admitted.groupBy("stratum").agg(F.min("level").alias("best"), F.min_by("n", "level").alias("n"), F.min_by("k", "level").alias("k")).withColumnRenamed("stratum", "of")
     return spread.join(best, F.col("of").eqNullSafe(F.col("stratum")) & (F.col("best") == F.col("level"))).drop("of", "best")
 
