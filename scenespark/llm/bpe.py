@@ -228,13 +228,12 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
 
 
 class Codec:
-    """Encodes blocks of texts; remembers words up to a number of bytes, then begins anew."""
+    """Encodes blocks of texts; remembers words up to a number of them, then begins anew."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: Pairs | None = None, memory: int = 160_000_000):
-        self.ranks, self.memory, self.held = ranks, memory, 0
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: Pairs | None = None, remember: int = 120_000):
+        self.ranks, self.remember = ranks, remember
         self.pairs = pairs or Pairs(ranks)
         self.decimal = [str(k) for k in range(max(ranks.values()) + 1)]
-        self.digits = np.array([len(x) for x in self.decimal])
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -244,10 +243,9 @@ class Codec:
         self.any = regex.compile(old, regex.V1)
         quick = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{BLANKS}{LETTERS}{DIGITS}]").replace(r"\p{L}+", f"[{LETTERS}]+").replace(r"\p{N}+", f"[{DIGITS}]+").replace(r"\S", f"[^{BLANKS}]").replace(r"\s", f"[{BLANKS}]")
         self.quick = None if "\\p" in quick else re.compile(quick)
-        # Words to their ids, as bytes of int32, and to these in decimal: atoms, so that the
-        # collector of cyclic garbage has nothing to visit.
+        # Words to their ids, as bytes of int32: atoms, so that the collector of cyclic garbage
+        # has nothing to visit.
         self.known: dict[str, bytes] = {}
-        self.said: dict[str, str] = {}
 
     def words(self, text: str) -> list[str]:
         if self.quick:
@@ -263,44 +261,37 @@ class Codec:
         short, long, raw = [], [], []
         for w in words:
             b = w.encode()
-            self.held += 320 + 8 * len(w)
             if (r := self.ranks.get(b)) is not None:
-                self.known[w], self.said[w] = array("i", [r]).tobytes(), self.decimal[r]
+                self.known[w] = array("i", [r]).tobytes()
             elif len(b) <= LONG:
                 short.append(w)
                 raw.append(b)
             else:
                 long.append(w)
         for w, ids in zip(long, replay([w.encode() for w in long], self.ranks), strict=True):
-            self.known[w], self.said[w] = array("i", ids).tobytes(), ",".join(map(str, ids))
+            self.known[w] = array("i", ids).tobytes()
         if short:
             ids, counts = replay_block(raw, self.pairs)
-            ends = np.cumsum(counts)
-            data = ids.astype("i").tobytes()
-            text = ",".join(map(self.decimal.__getitem__, ids.tolist()))
-            upto = np.cumsum(self.digits[ids] + 1)[ends - 1]
-            a = x = 0
-            for w, b, y in zip(short, (4 * ends).tolist(), upto.tolist(), strict=True):
+            data, a = ids.astype(np.intc).tobytes(), 0
+            for w, b in zip(short, (4 * np.cumsum(counts)).tolist(), strict=True):
                 self.known[w] = data[a:b]
-                self.said[w] = text[x : y - 1]
-                a, x = b, y
+                a = b
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """For each text its ids, and these in decimal joined by commas."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         split = [self.words(x) for x in texts]
-        if self.held > self.memory:
-            self.known, self.said, self.held = {}, {}, 0
+        if len(self.known) > self.remember:
+            self.known = {}
         self.learn(list(set(chain.from_iterable(split)) - self.known.keys()))
-        ids_of, said_of = self.known.__getitem__, self.said.__getitem__
-        out = []
-        for words in split:
-            ids = array("i")
-            ids.frombytes(b"".join(map(ids_of, words)))
-            out.append((ids.tolist(), ",".join(map(said_of, words))))
-        return out
+        ids_of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, words)), np.intc) for words in split]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def said(self, ids: np.ndarray) -> str:
+        """Ids in decimal, joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids.tolist()))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 #: A worker's own codecs, which last from task to task.
@@ -324,9 +315,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, ids: bool =
             made[ranks_path, pattern] = Codec(shared.value[0], pattern, shared.value[1])
         codec = made[ranks_path, pattern]
         out = defaultdict(list)
-        for found, said in codec.encode(cols[1]):
+        for found in codec.encode(cols[1]):
             out["n_tokens"].append(len(found))
-            out["ids_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(codec.said(found).encode()).hexdigest())
             back = codec.decode(found)
             out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
             if ids:
@@ -336,4 +327,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, ids: bool =
         return {id_col: cols[0], **out}
 
     schema = f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
-    return by_row(docs, [F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")], schema, rows, chunk=1024)
+    return by_row(docs, [F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")], schema, rows, chunk=512)

@@ -87,12 +87,12 @@ def test_bpe_matches_tiktoken_on_odd_texts():
     texts = ["".join(chr(rng.choice(points)) if rng.random() < 0.5 else rng.choice(" a1\n\t'\x1c\x85\xa0²ß ") for _ in range(rng.randrange(60))) for _ in range(2000)]
     texts += ["".join(chr(rng.randrange(256)) for _ in range(40)) for _ in range(1000)] + ["".join(rng.choice("abéß") for _ in range(700)) for _ in range(20)] + ["", "a" * 3000, " " * 3000, "it's we'll I'D"]
     texts += [chr(c) * 2 + "a" for c in points[::31]]
-    codec, enc = bpe.Codec(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, memory=200_000), tokenizer()
+    codec, enc = bpe.Codec(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, remember=500), tokenizer()
     for k in range(0, len(texts), 700):
         part = texts[k : k + 700]
         got = codec.encode(part)
-        assert [x[0] for x in got] == enc.encode_ordinary_batch(part)
-        assert all(said == ",".join(map(str, ids)) and codec.decode(ids) == t.encode() for (ids, said), t in zip(got, part))
+        assert [x.tolist() for x in got] == enc.encode_ordinary_batch(part)
+        assert all(codec.said(ids) == ",".join(map(str, ids.tolist())) and codec.decode(ids) == t.encode() for ids, t in zip(got, part))
 
 
 def test_replay_waits_for_lower_ranks():
