@@ -1,21 +1,20 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-A token's context is the last word before it that is one of the corpus's context words:
-the words of up to three bytes with at least ``CONTEXT_SHARE`` of all training tokens (by
-arithmetic at most 256), or none yet. Every context has a restaurant; all share the root
-restaurant as parent, whose base is even over the known tokens and one unknown. Given the
-restaurants' totals, the seating of one token's customers depends on no other token's, so
-that Gibbs sampling goes token by token wherever their counts lie: a sweep unseats all
-customers of a token in each restaurant, seats them anew one after the other by
-the predictive weights, and accepts that by Metropolis-Hastings; the tables laid
-are the token's customers in the root, which are seated likewise. Rounds of sweeps renew the totals;
-the last round's sweeps give averaged predictive probabilities. Customers of very common
-tokens that come after many others are seated some at a time.
+A token's context is the word before it, or none at a text's begin. Every context has a
+restaurant; all share the root restaurant as parent, whose base is even over the known
+tokens and one unknown. The counts are a table with a row for each context and token that
+stand together anywhere; contexts and tokens have a table each; none of them is gathered.
+Given the totals of its context and the root's probability of its token, the seating of one
+row's customers depends on no other row's, so that Gibbs sampling goes row by row wherever
+they lie: a sweep seats a row's customers anew one after the other by the predictive weights,
+and accepts that by Metropolis-Hastings; the tables laid are the token's customers in the root,
+which are seated likewise. Rounds of sweeps renew the totals and the root's probabilities; the
+last round's sweeps give averaged predictive probabilities. Customers of very common
+rows that come after many others are seated some at a time.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_mod, stored, text_bytes
+from .common import crc_mod, stored, text_bytes
 
-CONTEXT_SHARE = 1 / 256
-#: Tokens with at least this share, at most 2 ** 17 of them, are scored by a broadcast table.
+#: Pairs of context and token with at least this share, at most 2 ** 17 of them, are scored by a broadcast table.
 HEAD_SHARE = 1 / (1 << 17)
 DISCOUNT, STRENGTH = 0.75, 1.0
-#: Distinct (token, context) counts that a task holds before it hands them on.
+#: Distinct (context, token) counts that a task holds before it hands them on.
 HOLD = 700_000
 
 
@@ -53,7 +51,8 @@ def tokens_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 def contexts_of(place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each token the context word last before it in its text; 0 for none.
 
-    ``place`` has the context word's number from 1, or 0 for other tokens.
+    ``place`` has the context word's number from 1, or 0 for other tokens; where every word has
+    a number, that is the preceding word.
     """
     n = len(place)
     at = np.arange(n)
@@ -70,108 +69,51 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def short_words(train: DataFrame) -> DataFrame:
-    """(w, n): counts of the words of up to three bytes; a null w counts all tokens."""
+def keys_of(words: list[bytes], sizes: np.ndarray, ids: Ids) -> np.ndarray:
+    """For each token its context's number from 1 (0: none) in the upper half, and its own from 0 in the lower."""
+    w = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    return contexts_of(np.where(sizes > 0, w + 1, 0), sizes) << 32 | w
 
-    def run(batches):
-        counts: dict = defaultdict(int)
-        for part in chunks(batches):
-            words, sizes = tokens_of(part.column(0).to_pylist())
-            counts[None] += len(words)
-            for w in words:
-                if 0 < len(w) < 4:
-                    counts[w] += 1
-            if len(counts) > HOLD:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
-                counts = defaultdict(int)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
-
-    return train.select(text_bytes()).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
+def spelt(keys: np.ndarray, ids: Ids) -> tuple[pa.Array, pa.Array]:
+    """Contexts and tokens of keys as words; the empty word, which is no word's context, stands for none."""
+    every = pa.array([b"", *ids], pa.binary())
+    return every.take(pa.array(keys >> 32)), every.take(pa.array((keys & 0xFFFFFFFF) + 1))
 
-def lists(values: np.ndarray, owners: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
-    """Values, sorted by owner, as one list for each of n owners."""
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(u, w, n): a row per context and token that stand together in any text; n counts in texts that are taught."""
 
-def token_counts(train: DataFrame, context: dict[bytes, int]) -> DataFrame:
-    """(w, ctx, n): each token with its counts by context; one row per token."""
-
-    def count(batches):
-        ids, keys, sums, fresh, held = Ids(), np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    def run(batches):
+        ids, keys, sums, fresh, times, held = Ids(), np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], 0
 
-        def merged(keys, sums, fresh):
-            every = np.concatenate([keys, *fresh])
-            weight = np.concatenate([sums, np.ones(len(every) - len(keys), np.int64)])
+        def merged(keys, sums, fresh, times):
+            every, weight = np.concatenate([keys, *fresh]), np.concatenate([sums, *times])
             order = np.argsort(every, kind="stable")
             every, weight = every[order], weight[order]
             cut = np.flatnonzero(np.diff(every, prepend=-1))
             return every[cut], np.add.reduceat(weight, cut) if len(cut) else weight
 
         def handed(ids, keys, sums):
-            words = list(ids)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                a, b = np.searchsorted(keys, [at << 16, (at + len(part)) << 16])
-                own = (keys[a:b] >> 16) - at
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), lists(keys[a:b] & 0xFFFF, own, len(part), pa.int16()), lists(sums[a:b], own, len(part), pa.int64())], ["w", "ctx", "n"])
+            u, w = spelt(keys, ids)
+            for at in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([x[at : at + 50_000] for x in (u, w, pa.array(sums, pa.int64()))], ["u", "w", "n"])
 
         for part in chunks(batches):
             words, sizes = tokens_of(part.column(0).to_pylist())
-            w = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-            short = np.flatnonzero((sizes > 0) & (sizes < 4))
-            place = np.zeros(len(words), np.int64)
-            place[short] = [context.get(words[k], 0) for k in short.tolist()]
-            fresh.append(w << 16 | contexts_of(place, sizes))
+            fresh.append(keys_of(words, sizes, ids))
+            doc = np.cumsum(sizes == 0) - (sizes == 0)
+            times.append(np.array(part.column(1).to_pylist(), np.int64)[doc])
             held += len(words)
             if held > HOLD:
-                keys, sums = merged(keys, sums, fresh)
-                fresh, held = [], 0
+                keys, sums = merged(keys, sums, fresh, times)
+                fresh, times, held = [], [], 0
                 if len(keys) > HOLD:
                     yield from handed(ids, keys, sums)
                     ids, keys, sums = Ids(), keys[:0], sums[:0]
-        yield from handed(ids, *merged(keys, sums, fresh))
-
-    def merge(batches):
-        """Rows sorted by token: neighbours with the same token become one."""
-        late: tuple[list, list, list] = ([], [], [])
-
-        def joined(words, ctx, n):
-            own = np.cumsum([k > 0 and words[k] != words[k - 1] for k in range(len(words))])
-            sizes = np.fromiter(map(len, ctx), np.int64, len(ctx))
-            key = np.repeat(own, sizes) << 16 | np.concatenate([np.asarray(c, np.int64) for c in ctx])
-            order = np.argsort(key, kind="stable")
-            key, value = key[order], np.concatenate([np.asarray(x, np.int64) for x in n])[order]
-            cut = np.flatnonzero(np.diff(key, prepend=-1))
-            key, value = key[cut], np.add.reduceat(value, cut)
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            many = len(first)
-            return pa.RecordBatch.from_arrays([pa.array([words[k] for k in first], pa.binary()), lists(key & 0xFFFF, key >> 16, many, pa.int16()), lists(value, key >> 16, many, pa.int64())], ["w", "ctx", "n"])
-
-        def flat(column):
-            at = column.offsets.to_numpy()
-            values = column.values.to_numpy()
-            return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-        for batch in batches:
-            words, ctx, n = batch.column(0).to_pylist(), flat(batch.column(1)), flat(batch.column(2))
-            words, ctx, n = late[0] + words, late[1] + ctx, late[2] + n
-            k = len(words)
-            while k and words[k - 1] == words[-1]:
-                k -= 1
-            if k:
-                yield joined(words[:k], ctx[:k], n[:k])
-            if len(words) - k > 4096:  # a token that very many tasks have
-                one = joined(words[k:], ctx[k:], n[k:])
-                late = one.column(0).to_pylist(), flat(one.column(1)), flat(one.column(2))
-            else:
-                late = words[k:], ctx[k:], n[k:]
-        if late[0]:
-            yield joined(*late)
-
-    schema = "w binary, ctx array<smallint>, n array<bigint>"
-    return train.select(text_bytes()).mapInArrow(count, schema).repartition("w").sortWithinPartitions("w").mapInArrow(merge, schema)
+        yield from handed(ids, *merged(keys, sums, fresh, times))
+
+    return docs.select(text_bytes(), F.coalesce("taught", F.lit(False)).cast("int")).mapInArrow(run, "u binary, w binary, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
 
 def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -199,112 +141,84 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> tu
     return t[back], log[back]
 
 
-class Totals:
-    """Customers and tables of the restaurants: one of each context, and the root."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, root_tables: float, known: int, d: float, strength: float):
-        self.c, self.t, self.root_t, self.known, self.d, self.s = customers, tables, root_tables, known, d, strength
-        self.root_c = tables.sum()
-        self.base = 1.0 / (known + 1)
-        self.root_new = (strength + d * root_tables) * self.base  # weight of a new table in the root
-        self.back = (strength + d * tables) / (strength + customers)  # a context's share for its parent
-
-    def sample(self, owner: np.ndarray, ctx: np.ndarray, n: np.ndarray, words: int, sweeps: int, burn: int, rng) -> tuple:
-        """Gibbs sweeps over tokens; returns the last tables, and averages of the root's probability and of what contexts add."""
-        p = np.bincount(owner, n, words) / max(self.c.sum(), 1) * 0.9 + 0.1 * self.base
-        new = lambda p: (self.s + self.d * self.t[ctx]) * p[owner]
-        t = log = root = root_log = None
-        mean_p, mean_own, seen = np.zeros(words), np.zeros(len(n)), 0
-        for k in range(sweeps):
-            t2, log2 = seat(n, new(p), self.d, rng)
-            take = np.ones(len(n), bool) if t is None else np.log(rng.random(len(n))) < log2 - log
-            t, log = (t2, log2) if t is None else (np.where(take, t2, t), np.where(take, log2, log))
-            customers = np.bincount(owner, t, words)
-            root2, root_log2 = seat(customers, np.full(words, self.root_new), self.d, rng)
-            # Where the root's customers changed, their old seating is no longer one of them.
-            keep = np.zeros(words, bool) if root is None else (customers == before) & (np.log(rng.random(words)) >= root_log2 - root_log)
-            root, root_log = (root2, root_log2) if root is None else (np.where(keep, root, root2), np.where(keep, root_log, root_log2))
-            before = customers
-            p = (customers - self.d * root + self.root_new) / (self.s + self.root_c)
-            if k >= burn:
-                mean_p += p
-                mean_own += (n - self.d * t) / (self.s + self.c[ctx])
-                seen += 1
-        return t, root, mean_p / max(seen, 1), mean_own / max(seen, 1)
-
-
-def flattened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner row, context and count of each entry of a batch of token counts."""
-    col = batch.column("ctx")
-    at = col.offsets.to_numpy()
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
-    return owner, col.values.to_numpy()[at[0] : at[-1]].astype(np.int64), batch.column("n").values.to_numpy()[batch.column("n").offsets[0].as_py() : batch.column("n").offsets[-1].as_py()]
-
-
-def totals_of(table: DataFrame, contexts: int, sampler, d: float, strength: float) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Sums over all tokens: customers and tables by context, the root's tables, and the tokens known."""
+def sampled(n: np.ndarray, a: np.ndarray, d: float, sweeps: int, burn: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The last sweep's tables for n customers of each row, and the average of those after ``burn`` sweeps."""
+    t, log = seat(n, a, d, rng)
+    mean = np.zeros(len(n)) if burn else t.copy()
+    for k in range(1, sweeps):
+        t2, log2 = seat(n, a, d, rng)
+        take = np.log(rng.random(len(n))) < log2 - log
+        t, log = np.where(take, t2, t), np.where(take, log2, log)
+        if k >= burn:
+            mean += t
+    return t, mean / (sweeps - burn)
+
+
+def seated(rows: DataFrame, keys: list[str], d: float, sweeps: int, burn: int, seed: int) -> DataFrame:
+    """The keys, n, and the tables t (last sweep) and mean (averaged) of rows with n customers and weight a of a new table."""
 
     def run(batches):
-        c, t, root, known = np.zeros(contexts), np.zeros(contexts), 0.0, 0
-        for batch in batches:
-            owner, ctx, n = flattened(batch)
-            tables, roots = sampler(owner, ctx, n, batch.num_rows)
-            c += np.bincount(ctx, n, contexts)
-            t += np.bincount(ctx, tables, contexts)
-            root += roots.sum()
-            known += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([*range(contexts), -1]), pa.array([*c, root]), pa.array([*t, float(known)])], ["k", "c", "t"])
-
-    got = {r["k"]: r for r in table.select("ctx", "n").mapInArrow(run, "k long, c double, t double").groupBy("k").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()}
-    if not got:
-        return np.zeros(contexts), np.zeros(contexts), 0.0, 0
-    return np.array([got[k]["c"] for k in range(contexts)]), np.array([got[k]["t"] for k in range(contexts)]), got[-1]["c"], int(got[-1]["t"])
-
-
-def fit(train: DataFrame, rounds: int = 2, sweeps: int = 4, burn: int = 1, d: float = DISCOUNT, strength: float = STRENGTH, seed: int = 42) -> tuple[DataFrame, dict]:
-    """The model: a table (w, c, p, ctx, own) with a row per known token, and the numbers that all share."""
-    shorts = checkpoint(short_words(train))
-    every = shorts.where("w is null").agg(F.sum("n")).first()[0] or 0
-    # at most 1 / CONTEXT_SHARE rows
-    common = shorts.where("w is not null").where(F.col("n") >= every * CONTEXT_SHARE).orderBy("w").collect()
-    context = {bytes(r["w"]): k for k, r in enumerate(common, 1)}
-    size = len(context) + 1
-    table = stored(token_counts(train, context))
-    c, t, root, known = totals_of(table, size, lambda owner, ctx, n, words: (np.ones(len(n)), np.ones(words)), d, strength)
-    for _ in range(rounds):
-        now = Totals(c, t, root, known, d, strength)
-
-        def sampler(owner, ctx, n, words, now=now):
-            rng = np.random.default_rng([seed, words, int(n.sum())])
-            return now.sample(owner, ctx, n, words, 2, 2, rng)[:2]
-
-        _, t, root, _ = totals_of(table, size, sampler, d, strength)
-    now = Totals(c, t, root, known, d, strength)
-
-    def averaged(batches):
-        for batch in batches:
-            owner, ctx, n = flattened(batch)
-            rng = np.random.default_rng([seed, batch.num_rows, int(n.sum())])
-            _, _, p, own = now.sample(owner, ctx, n, batch.num_rows, sweeps, burn, rng)
-            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(np.bincount(owner, n, batch.num_rows).astype(np.int64)), pa.array(p), batch.column("ctx"), lists(own.astype(np.float32), owner, batch.num_rows, pa.float32())], ["w", "c", "p", "ctx", "own"])
-
-    model = stored(table.mapInArrow(averaged, "w binary, c long, p double, ctx array<smallint>, own array<float>"))
-
-    def weighed(batches):
-        own, p = np.zeros(size), 0.0
-        for batch in batches:
-            col = batch.column("own")
-            at = col.offsets.to_numpy()
-            own += np.bincount(batch.column("ctx").values.to_numpy()[at[0] : at[-1]].astype(np.int64), col.values.to_numpy()[at[0] : at[-1]].astype(np.float64), size)
-            p += batch.column("p").to_numpy().sum()
-        yield pa.RecordBatch.from_arrays([pa.array([*range(size), -1]), pa.array([*own, p])], ["k", "v"])
-
-    sums = {r["k"]: r["v"] for r in model.select("p", "ctx", "own").mapInArrow(weighed, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-    unknown = now.root_new / (strength + now.root_c)
-    mass = sums.get(-1, 0.0) + unknown
-    # Each restaurant's probabilities are divided by their sum, which sampled totals leave near 1.
-    whole = np.array([sums.get(k, 0.0) for k in range(size)]) + now.back
-    return model, {"context": context, "back": now.back / mass / whole, "whole": whole, "unknown": unknown, "n": int(c.sum()), "known": known}
+        for k, batch in enumerate(batches):
+            n, a = (batch.column(x).to_numpy() for x in ("n", "a"))
+            t, mean = sampled(n, a, d, sweeps, burn, np.random.default_rng([seed, k, len(n), int(n.sum())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), batch.column("n"), pa.array(t.astype(np.int64)), pa.array(mean)], [*keys, "n", "t", "mean"])
+
+    # sorted, so that the same rows meet the same random numbers
+    return rows.select(*keys, "n", "a").sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{x} binary" for x in keys) + ", n long, t long, mean double")
+
+
+def learn(docs: DataFrame, rounds: int = 2, sweeps: int = 4, burn: int = 1, d: float = DISCOUNT, strength: float = STRENGTH, seed: int = 42) -> tuple[DataFrame, dict]:
+    """The model of the texts that column taught marks: (u, w, n, own, back, c, p), and the numbers that all share.
+
+    There is a row per context and token that stand together in any text, n, own and c being 0 if
+    they never do in those taught. A token's probability is own + back * p.
+    """
+    pairs = stored(pair_counts(docs))
+    # A row of one customer has one table whatever is drawn, so that only the others are seated.
+    lone = F.when(F.col("n") == 1, 1).otherwise(0)
+    contexts = stored(pairs.groupBy("u").agg(F.sum("n").alias("cu"), F.sum(lone).alias("lone")))
+    tokens = stored(pairs.groupBy("w").agg(F.sum("n").alias("c"), F.sum(lone).alias("lone")))
+    many = pairs.where("n > 1")
+    known, n = tokens.where("c > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    base = 1.0 / (known + 1)
+    now = many.select("u", "w", "n", F.lit(1).cast("long").alias("t"), F.lit(1.0).alias("mean"))
+
+    def totals(key, sums, value):
+        laid = now.groupBy(key).agg(F.sum(value).alias("laid"))
+        return sums.join(laid, key, "left").withColumn("laid", F.coalesce("laid", F.lit(0)) + F.col("lone"))
+
+    roots = float(known)  # the root's tables: one of each token at first
+    for k in range(rounds + 2):
+        last = k == rounds + 1
+        served = totals("w", tokens, "t").select("w", "c", F.col("laid").cast("long").alias("n"), F.lit((strength + d * roots) * base).alias("a"))
+        root = stored(seated(served.where("n > 0"), ["w"], d, sweeps if last else 2, burn if last else 1, seed + k))
+        guests, roots = (float(x or 0) for x in root.agg(F.sum("n"), F.sum("mean")).first())
+        fresh = (strength + d * roots) * base
+        p = root.select("w", ((F.col("n") - d * F.col("mean") + F.lit(fresh)) / F.lit(strength + guests)).alias("p"))
+        if last:
+            break
+        halls = totals("u", contexts, "t").select("u", F.col("laid").alias("tu"))
+        rows = many.join(halls, "u").join(p, "w").withColumn("a", (F.lit(strength) + d * F.col("tu")) * F.col("p"))
+        final = k == rounds
+        now = stored(seated(rows, ["u", "w"], d, sweeps if final else 2, burn if final else 1, seed + 100 + k))
+    # By the same averages, the probabilities after a context and those of the root sum to 1.
+    halls = totals("u", contexts, "mean").select("u", "cu", ((F.lit(strength) + d * F.col("laid")) / (F.lit(strength) + F.col("cu"))).alias("back"))
+    unknown = fresh / (strength + guests)
+    words = tokens.join(p, "w", "left").select("w", "c", F.coalesce("p", F.lit(unknown)).alias("p"))
+    laid = pairs.where("n < 2").select("u", "w", "n", F.col("n").cast("double").alias("mean")).unionByName(now.select("u", "w", "n", "mean"))
+    own = (F.col("n") - d * F.col("mean")) / (F.lit(strength) + F.col("cu"))
+    model = laid.join(halls, "u").join(words, "w").select("u", "w", "n", own.alias("own"), "back", "c", "p")
+    return model, {"unknown": unknown, "n": int(n), "known": int(known)}
+
+
+def fit(train: DataFrame, **settings) -> tuple[DataFrame, dict]:
+    """A small model as one row (w, c, p, ctx, own) per known token, its contexts numbered and their shares gathered."""
+    model, shared = learn(train.withColumn("taught", F.lit(True)), **settings)
+    model = stored(model)
+    found = {bytes(r["u"]): (k, r["back"]) for k, r in enumerate(model.groupBy("u").agg(F.first("back").alias("back")).orderBy("u").collect())}
+    number = train.sparkSession.createDataFrame([(u, k) for u, (k, _) in found.items()], "u binary, k int")
+    rows = model.join(number, "u").groupBy("w").agg(F.first("c").alias("c"), F.first("p").alias("p"), F.collect_list("k").alias("ctx"), F.collect_list("own").alias("own"))
+    return rows, shared | {"context": {u: k for u, (k, _) in found.items()}, "back": [b for _, b in found.values()], "whole": [1.0] * len(found)}
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -315,68 +229,58 @@ def scores(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     keep a row each and all count in training; an empty table gives no rows; with nothing learnt
     every token is the unknown one. Other columns are not read.
     """
-    spark = docs.sparkSession
-    model, shared = fit(docs.where(crc_mod(id_col, 10) != 0).select("text"))
+    model, shared = learn(docs.select("text", (crc_mod(id_col, 10) != 0).alias("taught")))
     n, v = shared["n"], shared["known"]
     floor = n + 0.1 * (v + 1)
+    score = F.log10(F.col("own") + F.col("back") * F.col("p"))
+    rated = stored(model.select("u", "w", "n", (F.col("c") > 0).alias("known"), F.log10((F.col("c") + 0.1) / F.lit(floor)).alias("base"), score.alias("score")))
     least = max(1.0, n * HEAD_SHARE)
-    head = model.where(F.col("c") >= least).collect() if n else []  # at most 2 ** 17 rows
-    back, whole, size = shared["back"], shared["whole"], len(shared["context"]) + 1
-    place = {bytes(r["w"]): k for k, r in enumerate(head)}
-    logs = np.array([r["p"] for r in head], np.float64).reshape(-1, 1) * back
-    for k, r in enumerate(head):
-        logs[k, r["ctx"]] += np.array(r["own"], np.float64) / whole[r["ctx"]]
-    told = spark.sparkContext.broadcast((place, np.log10(logs).astype(np.float32), np.log10((np.array([r["c"] for r in head], np.float64) + 0.1) / floor), shared["context"]))
-    del head, logs
+    head = rated.where(F.col("n") >= least).collect()  # at most 2 ** 17 rows
+    told = docs.sparkSession.sparkContext.broadcast({(bytes(r["u"]), bytes(r["w"])): (r["base"], r["score"]) for r in head})
+    del head
 
     def start(batches):
-        """A row per document with what common tokens give, and a row per rarer token and context in it."""
-        place, table, base, context = told.value
+        """A row per document with what common pairs give, and a row per rarer pair in it."""
+        table = told.value
         for part in chunks(batches, 256):
             keys, ids, held = (part.column(k).to_pylist() for k in range(3))
             words, sizes = tokens_of(part.column(3).to_pylist())
-            w = np.fromiter((place.get(x, -1) for x in words), np.int64, len(words))
-            short = np.flatnonzero((sizes > 0) & (sizes < 4))
-            mark = np.zeros(len(words), np.int64)
-            mark[short] = [context.get(words[k], 0) for k in short.tolist()]
-            ctx = contexts_of(mark, sizes)
+            names = Ids()
+            pair, at = np.unique(keys_of(words, sizes, names), return_inverse=True)
+            u, w = spelt(pair, names)
+            got = [table.get(x) for x in zip(u.to_pylist(), w.to_pylist(), strict=True)]
+            common = np.array([x is not None for x in got], bool)
+            rates = np.array([x or (0.0, 0.0) for x in got], np.float64).reshape(-1, 2)
             doc = np.cumsum(sizes == 0) - (sizes == 0)
-            hit = np.flatnonzero(w >= 0)
-            sums = [np.bincount(doc, minlength=len(ids)), np.bincount(doc[hit], minlength=len(ids)), np.bincount(doc[hit], base[w[hit]], len(ids)), np.bincount(doc[hit], table[w[hit], ctx[hit]].astype(np.float64), len(ids))]
-            rest: dict = defaultdict(int)
-            for k in np.flatnonzero(w < 0).tolist():
-                rest[doc[k], words[k], ctx[k]] += 1
+            hit = common[at]
+            sums = [np.bincount(doc, minlength=len(ids)), np.bincount(doc[hit], minlength=len(ids)), np.bincount(doc, rates[at, 0], len(ids)), np.bincount(doc, rates[at, 1], len(ids))]
+            rest, times = np.unique(doc[~hit] * len(pair) + at[~hit], return_counts=True)
+            of, which = rest // max(len(pair), 1), pa.array(rest % max(len(pair), 1))
             many = len(rest)
-            # A key with a space is no word's; it keeps documents' own rows spread.
+            # A context with a space is no word; it keeps documents' own rows spread.
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*keys, *(keys[d] for d, _, _ in rest)], pa.int64()),
-                    pa.array([*(b" %d" % k for k in keys), *(x for _, x, _ in rest)], pa.binary()),
-                    pa.array([*([None] * len(keys)), *(c for _, _, c in rest)], pa.int16()),
-                    pa.array([*([0] * len(keys)), *rest.values()], pa.int32()),
+                    pa.array(np.concatenate([np.array(keys, np.int64), np.array(keys, np.int64)[of]])),
+                    pa.concat_arrays([pa.array([b" %d" % k for k in keys], pa.binary()), u.take(which)]),
+                    pa.concat_arrays([pa.array([b""] * len(keys), pa.binary()), w.take(which)]),
+                    pa.array(np.concatenate([np.zeros(len(keys), np.int32), times.astype(np.int32)])),
                     pa.array([{"id": i, "held": h, "n": a, "known": b, "base": c, "score": d} for i, h, a, b, c, d in zip(ids, held, *(x.tolist() for x in sums), strict=True)] + [None] * many, pa.struct([("id", pa.int64()), ("held", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])),
                 ],
-                ["row", "w", "at", "times", "own_sums"],
+                ["row", "u", "w", "times", "own_sums"],
             )
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), (crc_mod(id_col, 10) == 0).alias("held"), text_bytes())
-    rows = keyed.mapInArrow(start, "row long, w binary, at smallint, times int, own_sums struct<id:long,held:boolean,n:long,known:long,base:double,score:double>")
-    tail = model.where(F.col("c") < least).withColumnRenamed("ctx", "at_ctx")
-    j = F.array_position("at_ctx", F.col("at"))
-    share = F.array(*[F.lit(float(x)) for x in back])
-    total = F.array(*[F.lit(float(x)) for x in whole])
-    slot = F.col("at").cast("int") + 1
-    p = F.coalesce("p", F.lit(float(shared["unknown"]))) * F.element_at(share, slot) + F.coalesce(F.when(j > 0, F.try_element_at("own", j.cast("int"))), F.lit(0.0)) / F.element_at(total, slot)
-    base = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(floor))
+    rows = keyed.mapInArrow(start, "row long, u binary, w binary, times int, own_sums struct<id:long,held:boolean,n:long,known:long,base:double,score:double>")
+    tail = rated.where(F.col("n") < least).drop("n")
     rare = F.col("own_sums").isNull()
-    sums = rows.join(tail, "w", "left").select(
+    sums = rows.join(tail, ["u", "w"], "left").select(
         "row",
         "own_sums.id",
         "own_sums.held",
         F.col("own_sums.n").alias("n"),
-        F.when(rare, F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).otherwise(F.col("own_sums.known")).alias("known"),
-        F.when(rare, F.col("times") * base).otherwise(F.col("own_sums.base")).alias("base"),
-        F.when(rare, F.col("times") * F.log10(p)).otherwise(F.col("own_sums.score")).alias("score"),
+        F.when(rare, F.when(F.col("known"), F.col("times")).otherwise(0)).otherwise(F.col("own_sums.known")).alias("known"),
+        F.when(rare, F.col("times") * F.col("base")).otherwise(F.col("own_sums.base")).alias("base"),
+        F.when(rare, F.col("times") * F.col("score")).otherwise(F.col("own_sums.score")).alias("score"),
     )
     out = sums.groupBy("row").agg(F.max("id").alias(id_col), F.max("held").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -185,6 +185,19 @@ def test_contexts_are_the_last_context_word():
     assert pitman_yor.contexts_of(place, sizes).tolist() == [0, 1, 1, 1, 2, 0, 0, 0]
 
 
+def test_long_and_rare_words_are_contexts(spark):
+    """After each of 300 long words the same word always stands; no word is common or short."""
+    rng = random.Random(5)
+    pairs = [(f"прилагательное{k}", f"существительное{k}") for k in range(300)]
+    rows = []
+    for i in range(900):
+        text = " ".join(f"{a} {b}" for a, b in (pairs[rng.randrange(300)] for _ in range(8)))
+        rows.append((i, text, "ru", "a"))
+    got = [r for r in pitman_yor.scores(documents(spark, rows)).collect() if r["held_out"]]
+    # Half the tokens follow from the word before; a model without those contexts gains nothing on them.
+    assert sum(r["score"] for r in got) > 0.7 * sum(r["base_score"] for r in got)
+
+
 def test_seating_follows_the_restaurant_process():
     """Numbers of tables against seating customer by customer, with the same weights."""
     rng = np.random.default_rng(0)
