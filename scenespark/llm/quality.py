@@ -10,6 +10,7 @@ rows; features and scores are made for every row where it lies.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -37,7 +38,7 @@ def features(text: bytes) -> tuple:
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256) if text else np.zeros(256, np.int64)
     last = [w[-1] for w in words]
     marked = sum(map(last.count, b"#*$%&!|"))
-    top = max(map(words.count, list(unlike)[:64]), default=0) if len(unlike) <= 64 else 0
+    top = max(Counter(words).values(), default=0)
     repeats = sum(map(bytes.__eq__, words, words[1:]))
     return (
         float(np.log1p(len(words))),

@@ -248,6 +248,15 @@ def test_quality_edges(spark):
     assert quality.accepted(documents(spark), labels(spark)).columns == documents(spark).columns
 
 
+def test_most_frequent_word_of_long_texts():
+    words = [f"w{k}" for k in range(64)]
+    at = quality.FEATURES.index("top_word")
+    for distinct in (63, 64, 65, 500):
+        mixed = [x for k in range(distinct - 1) for x in ("often", f"w{k}", "often")]
+        assert quality.features(" ".join(mixed).encode())[at] == pytest.approx(2 / 3)
+    assert quality.features(b"")[at] == 0 and quality.features(" ".join(words).encode())[at] == pytest.approx(1 / 64)
+
+
 def test_pairs_of_features_are_learnt():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
