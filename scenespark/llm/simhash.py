@@ -53,13 +53,14 @@ def fingerprint_texts(texts: list[bytes], width: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, fp): the fingerprint as a signed long. Null and empty texts, and texts of spaces alone, have zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, other long columns, fp): the fingerprint as a signed long. Null and empty texts, and texts of spaces alone, have zero."""
+    names = (id_col, *also)
 
     def rows(cols):
-        return {id_col: cols[0], "fp": fingerprint_texts(cols[1]).view(np.int64)}
+        return {**dict(zip(names, cols[:-1], strict=True)), "fp": fingerprint_texts(cols[-1]).view(np.int64)}
 
-    return by_row(docs, [F.col(id_col).cast("long").alias(id_col), text_bytes()], f"{id_col} long, fp long", rows)
+    return by_row(docs, [*(F.col(c).cast("long").alias(c) for c in names), text_bytes()], ", ".join(f"{c} long" for c in (*names, "fp")), rows)
 
 
 def fingerprint_column(text: str) -> Column:
@@ -124,19 +125,24 @@ def near_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return by_row(lists, ["k", "members"], "a long, b long", rows).distinct()
 
 
+def components(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(fp, component): the smallest fingerprint that each distinct one of column fp reaches by links, whatever ids stand behind them."""
+    parts = connected_components(near_pairs(fps, max_bits)).withColumnRenamed("node", "fp")
+    return fps.select("fp").join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_dups(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id") -> DataFrame:
     """One row for each document: id, fingerprint (16 hex digits) and component_id.
 
     component_id is the smallest id reachable by links of at most ``max_bits`` bits. A
-    null id keeps its row and has the component of the others with its fingerprint, or
-    null if it links with null ids alone. Repeated rows stay repeated; an empty table
+    null id keeps its row, links others like any row, and has the component that it links
+    with, or null if it links with null ids alone. Repeated rows stay repeated; an empty table
     gives no rows; other columns are never read.
     """
     fp = checkpoint(fingerprints(docs, id_col))
     reps = checkpoint(fp.groupBy("fp").agg(F.min(id_col).alias("rep")))
-    links = near_pairs(reps, max_bits)
-    named = links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    parts = connected_components(named.where("ra is not null and rb is not null").select("ra", "rb"), "ra", "rb")
-    rep = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("fp"), F.coalesce("component", "rep").alias("component_id"))
+    whole = reps.join(components(reps, max_bits), "fp")
+    least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+    rep = whole.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fp.join(rep, "fp").select(id_col, hexed, "component_id")

@@ -48,6 +48,24 @@ def test_simhash_edges(spark):
     assert simhash.near_dups(documents(spark, [])).count() == 0
 
 
+def chained(seed=3):
+    """Three texts: the first is within 2 bits of both others, which differ in 3 or 4."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts = [" ".join(words)] + [" ".join([*words[:k], "zz", *words[k + 1 :]]) for k in range(300)]
+    f = [int(x) for x in simhash.fingerprint_texts([x.encode() for x in texts])]
+    near = [k for k in range(1, 301) if 0 < (f[0] ^ f[k]).bit_count() <= 2]
+    one, two = next((a, b) for a, b in itertools.combinations(near, 2) if (f[a] ^ f[b]).bit_count() > 2)
+    return texts[0], texts[one], texts[two]
+
+
+def test_simhash_links_through_null_ids(spark):
+    middle, one, two = chained()
+    for rows, want in (([(1, one), (None, middle), (2, two)], {1: 1, None: 1, 2: 1}), ([(None, one), (None, middle)], {None: None}), ([(5, one), (None, middle)], {5: 5, None: 5})):
+        got = simhash.near_dups(documents(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 @pytest.mark.parametrize("bits", [2, 4])
 def test_simhash_links_are_whole(spark, bits):
     rng = random.Random(bits)
