@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenespark.llm import bpe, mixing, quality, secrets, simhash
-from scenespark.llm.common import checkpoint, table
+from scenespark.llm.common import checkpoint, stored, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,17 +16,17 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id.
+    """One row of each group of near copies stays: the one with the smallest id, any id before none.
 
-    Documents without an id stay, one for each fingerprint, unless one with an id is in their group.
+    Rows without an id link and go like others; of rows with equal ids in a group one stays, and
+    rows with equal ids in different groups all stay.
     """
-    groups = checkpoint(simhash.near_dups(docs))
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    known = groups.where("component_id is not null").select(F.col("fingerprint").alias("_fp")).distinct()
-    bare = docs.where("doc_id is null").withColumn("_fp", simhash.fingerprint_column("text"))
-    bare = bare.join(known, "_fp", "left_anti").dropDuplicates(["_fp"])
-    return named.select(*docs.columns).unionByName(bare.select(*docs.columns))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    prints = checkpoint(simhash.fingerprints(rows, "doc_id", ("_row",)))
+    groups = simhash.components(checkpoint(prints.select("fp").distinct()))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    stay = prints.join(groups, "fp").groupBy("component").agg(first.alias("x")).select("x._row")
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import corpus_pipeline
 from scenespark.llm import common, covertree, licenses, mixing, pitman_yor, sharding, simhash
 
 from .edges import SCHEMA, TEXTS, documents, labels
+from .test_texts import chained
 
 
 def words(text):
@@ -294,6 +295,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(five) == len(four) and corpus_pipeline.run(spark, str(tmp_path)).count() == len(five)
 
 
+def test_dedup_keeps_one_row_of_each_group(spark):
+    middle, one, two = chained()
+    plain = [" ".join(f"{x}{k}" for k in range(40)) for x in "abcd"]
+    rows = [(None, middle), (4, one), (3, two), (None, plain[0]), (None, plain[0]), (7, plain[1]), (7, plain[2]), (8, plain[3]), (8, plain[3])]
+    got = corpus_pipeline.dedup(spark, documents(spark, [(i, t, "en", "a") for i, t in rows]), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(3, two), (None, plain[0]), (7, plain[1]), (7, plain[2]), (8, plain[3])], key=str)
+    pair = corpus_pipeline.dedup(spark, documents(spark, [(None, middle, "en", "a"), (None, one, "en", "a")]), "")
+    assert pair.count() == 1
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
