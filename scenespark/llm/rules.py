@@ -61,7 +61,7 @@ def measure(text: bytes) -> tuple:
     points = text.decode()
     chars = len(points) - sum(map(points.count, SPACES))
     symbols = sum(map(points.count, "#*$%&|<>"))
-    return len(words), chars, symbols, duplicate_lines(text), repeat_words(words), sum(map(points.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÄÉÈÖÜÑ")), sum(map(text.count, (b"|", b"!!")))
+    return len(words), chars, symbols, duplicate_lines(text), repeat_words(words), sum(map(str.isupper, points)), sum(map(text.count, (b"|", b"!!")))
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", stratum: str = "lang") -> DataFrame:

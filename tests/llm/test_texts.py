@@ -206,6 +206,11 @@ def test_rule_counts_match_brute_force():
         assert rules.measure(text.encode())[:5] == brute_rules(text)
 
 
+def test_capitals_of_all_scripts_count():
+    for text, n in (("ПРИВЕТ мир", 6), ("ΚΑΛΗΜΕΡΑ", 8), ("ŁÓDŹ Ção Ø", 6), ("ABC ÀÄÉÈÖÜÑ abc 漢字 1", 10), ("", 0)):
+        assert rules.measure(text.encode())[5] == n
+
+
 def test_binomial_tail():
     from math import comb
 
