@@ -38,7 +38,7 @@ from .common import crc_mod, released, stored, text_bytes
 
 STRENGTH = 1.0
 #: Tokens in a block, and in all blocks for each bucket of pairs or words, about.
-BLOCK, BUCKET = 4_000_000, 3_000_000
+BLOCK, BUCKET = 2_000_000, 4_000_000
 #: Customers of a pair that are seated singly; later ones come a sixty-fourth of those seated at a time.
 SINGLY = 512
 U = np.uint64
