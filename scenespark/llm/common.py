@@ -105,10 +105,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the checkpoint folder: smaller than a checkpoint's rows.
 
-    A collection of the driver's garbage lets Spark drop the shuffle files of earlier plans that
-    nothing refers to any more, which else stay until the driver's memory fills.
+    The write's own shuffle files go as soon as it ends; else they would stay until the driver's
+    memory fills.
     """
-    df.sparkSession._jvm.System.gc()
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean, None)
+    conf.set(clean, "true")
+    try:
+        return _stored(df)
+    finally:
+        conf.unset(clean) if before is None else conf.set(clean, before)
+
+
+def _stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
