@@ -38,7 +38,7 @@ from .common import crc_mod, released, stored, text_bytes
 
 STRENGTH = 1.0
 #: Tokens in a block, and in all blocks for each bucket of pairs or words, about.
-BLOCK, BUCKET = 2_000_000, 4_000_000
+BLOCK, BUCKET = 1_500_000, 2_500_000
 #: Customers of a pair that are seated singly; later ones come a sixty-fourth of those seated at a time.
 SINGLY = 512
 U = np.uint64
@@ -455,5 +455,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", rounds: int = 1, sweeps: int
         shared = root(words, shared["laid"])
         if not last:
             released(laid)
-    rates = rated(pairs, laid, told(words, shared, counts=True), d, per)
+    rates = stored(rated(pairs, laid, told(words, shared, counts=True), d, per))
+    for done in (pairs, laid, words):
+        released(done)
     return scored(blocks, rates, id_col, train + 0.1 * (known + 1), train)
