@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from scenespark.llm import common, covertree, licenses, mixing, pitman_yor, sharding, simhash
@@ -156,34 +157,122 @@ def test_base_scores_and_gain(spark):
     assert out and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_rare_tokens_score_like_common_ones(spark, monkeypatch):
-    """The joined path gives what the broadcast table gives."""
-    rows = corpus(120)
-    one = {r["doc_id"]: r for r in pitman_yor.scores(documents(spark, rows)).collect()}
-    monkeypatch.setattr(pitman_yor, "HEAD_SHARE", 0.02)
-    two = {r["doc_id"]: r for r in pitman_yor.scores(documents(spark, rows)).collect()}
-    for i, r in one.items():
-        assert r["n_known"] == two[i]["n_known"] and r["base_score"] == pytest.approx(two[i]["base_score"], abs=1e-6) and r["score"] == pytest.approx(two[i]["score"], abs=1e-4)
+def told_pairs(spark, monkeypatch, rows):
+    """The probability of every pair of words, by their hashes, as the operator finds it."""
+    monkeypatch.setattr(pitman_yor, "scored", lambda blocks, rates, *rest: (blocks, rates))
+    blocks, rates = pitman_yor.scores(documents(spark, rows))
+    out, by = {}, defaultdict(list)
+    for r in rates.collect():
+        by[r["b"]].append(r)
+    for block in blocks.collect():
+        x = pitman_yor.opened(block.asDict())
+        p = np.concatenate([pitman_yor.unpack(bytes(r["score"]), np.float32) for r in sorted(by[block["b"]], key=lambda r: r["q"])])
+        for u, w, lp in zip(x["words"][x["u"]].tolist(), x["words"][x["w"]].tolist(), p.tolist(), strict=True):
+            assert out.setdefault((u, w), lp) == lp
+    return out
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(r[1],) for r in corpus(200)], "text string")
-    model, shared = pitman_yor.fit(docs)
-    rows, back, whole = model.collect(), shared["back"], shared["whole"]
-    assert len(rows) == shared["known"] and len(back) > 3
-    for k in range(len(back)):
-        total = back[k] * shared["unknown"]
-        for r in rows:
-            own = dict(zip(r["ctx"], r["own"]))
-            p = back[k] * r["p"] + own.get(k, 0.0) / whole[k]
-            assert p > 0
-            total += p
-        assert total == pytest.approx(1.0, abs=1e-5)
+def of_word(w):
+    return xxhash.xxh64_intdigest(w.encode(), 42)
 
 
-def test_contexts_are_the_last_context_word():
-    place, sizes = np.array([1, 0, 0, 2, 0, 0, 0, 1]), np.array([2, 5, 5, 3, 0, 4, 0, 2])
-    assert pitman_yor.contexts_of(place, sizes).tolist() == [0, 1, 1, 1, 2, 0, 0, 0]
+def test_probabilities_sum_to_one(spark, monkeypatch):
+    rows = corpus(200)
+    known = sorted({w for r in rows if not held(r[0]) for w in r[1].split()})
+    ids = [i for i in range(1000, 2000) if held(i)]
+    after = ["the", "de", known[5], known[40], "never-seen"]
+    rows += [(ids[k], " ".join(f"{u} {w}" for w in [*known, "unknown-word"]) + f" {u}", "x", "a") for k, u in enumerate(after)]
+    told = told_pairs(spark, monkeypatch, rows)
+    for u in after:
+        assert sum(10 ** told[of_word(u), of_word(w)] for w in [*known, "unknown-word", ""]) == pytest.approx(1.0, abs=1e-4)
+
+
+def plain_sampler(train, d, d0, strength, sweeps, burn, seed):
+    """Customer by customer: every customer leaves and sits anew, sweep after sweep; P(w | u) averaged."""
+    rng = random.Random(seed)
+    known = {w for _, w in train}
+    base = 1 / (len(known) + 1)
+    tables, root = defaultdict(list), defaultdict(list)  # (u, w): sizes of tables; w: the root's
+    cu, tu = Counter(), Counter()
+    total = {"c": 0, "t": 0}
+
+    def p_root(w):
+        return (sum(root[w]) - d0 * len(root[w]) + (strength + d0 * total["t"]) * base) / (strength + total["c"])
+
+    def sit(of, new, d):
+        x = rng.random() * (sum(of) - d * len(of) + new)
+        for k, size in enumerate(of):
+            x -= size - d
+            if x < 0:
+                of[k] += 1
+                return False
+        of.append(1)
+        return True
+
+    def leave(of):
+        x = rng.random() * sum(of)
+        for k, size in enumerate(of):
+            x -= size
+            if x < 0:
+                of[k] -= 1
+                if not of[k]:
+                    of.pop(k)
+                    return True
+                return False
+
+    def enter(u, w):
+        if sit(tables[u, w], (strength + d * tu[u]) * p_root(w), d):
+            tu[u] += 1
+            total["c"] += 1
+            total["t"] += sit(root[w], (strength + d0 * total["t"]) * base, d0)
+        cu[u] += 1
+
+    for u, w in train:
+        enter(u, w)
+    sums, n = Counter(), 0
+    for k in range(sweeps):
+        for u, w in train:
+            cu[u] -= 1
+            if leave(tables[u, w]):
+                tu[u] -= 1
+                total["c"] -= 1
+                total["t"] -= leave(root[w])
+            enter(u, w)
+        if k >= burn:
+            n += 1
+            for u in list(cu):
+                for w in known | {None}:
+                    t = tables.get((u, w), ())
+                    sums[u, w] += (sum(t) - d * len(t) + (strength + d * tu[u]) * (p_root(w) if w is not None else (strength + d0 * total["t"]) * base / (strength + total["c"]))) / (strength + cu[u])
+    return {k: x / n for k, x in sums.items()}, known
+
+
+def test_scores_against_a_plain_sampler(spark):
+    rows = corpus(150, seed=9)
+    toks = {r[0]: ["", *r[1].split(), ""] for r in rows}
+    train = [p for i, t in toks.items() if not held(i) for p in zip(t, t[1:])]
+    n = Counter(train)
+    d = pitman_yor.discount(sum(x == 1 for x in n.values()), sum(x == 2 for x in n.values()))
+    c = Counter(w for _, w in n)
+    d0 = pitman_yor.discount(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    p, known = plain_sampler(train, d, d0, pitman_yor.STRENGTH, 24, 8, 3)
+    heard = {u for u, _ in train}
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.scores(documents(spark, rows)).collect()}
+    differences = []
+    for i, t in toks.items():
+        if all(u in heard for u in t[:-1]):
+            want = sum(math.log10(p[u, w if w in known else None]) for u, w in zip(t, t[1:]))
+            differences.append((got[i] - want) / (len(t) - 1))
+    assert len(differences) > 100 and abs(np.mean(differences)) < 0.02 and np.max(np.abs(differences)) < 0.2
+
+
+def test_scores_are_the_same_under_any_partitioning(spark, monkeypatch):
+    rows = corpus(300)
+    one = {r["doc_id"]: r["score"] for r in pitman_yor.scores(documents(spark, rows)).collect()}
+    monkeypatch.setattr(pitman_yor, "BLOCK", 500)
+    monkeypatch.setattr(pitman_yor, "BUCKET", 700)
+    two = {r["doc_id"]: r["score"] for r in pitman_yor.scores(documents(spark, rows[::-1]).repartition(7)).collect()}
+    assert one == pytest.approx(two, abs=1e-6)
 
 
 def test_long_and_rare_words_are_contexts(spark):
@@ -199,18 +288,29 @@ def test_long_and_rare_words_are_contexts(spark):
     assert sum(r["score"] for r in got) > 0.7 * sum(r["base_score"] for r in got)
 
 
-def test_seating_follows_the_restaurant_process():
-    """Numbers of tables against seating customer by customer, with the same weights."""
+def seats_one_by_one(n, a, d, times, seed):
+    rng, out = np.random.default_rng(seed), np.ones(times)
+    for j in range(1, n):
+        out += rng.random(times) < a / (a + j - d * out)
+    return out
+
+
+@pytest.mark.parametrize("n,a", [(30, 2.0), (300, 0.01), (20_000, 5.0), (20_000, 0.002)])
+def test_seating_follows_the_restaurant_process(n, a):
+    """Numbers of tables against seating customer by customer, also beyond those who are seated singly."""
+    seeds = pitman_yor.mixed(np.arange(4000, dtype=np.uint64))
+    got = pitman_yor.seat(np.full(4000, n), np.full(4000, a), 0.75, seeds)[0]
+    want = seats_one_by_one(n, a, 0.75, 4000, 1)
+    assert got.mean() == pytest.approx(want.mean(), rel=0.04) and got.std() == pytest.approx(want.std(), rel=0.15)
+    assert pitman_yor.seat(np.array([0, 1]), np.array([1.0, 1.0]), 0.5, seeds[:2])[0].tolist() == [0, 1]
+
+
+def test_packed_columns_come_back():
     rng = np.random.default_rng(0)
-    got = pitman_yor.seat(np.full(4000, 30), np.full(4000, 2.0), 0.75, rng)[0].mean()
-    want = 0.0
-    for _ in range(1500):
-        t = 1
-        for j in range(1, 30):
-            t += rng.random() < 2.0 / (2.0 + j - 0.75 * t)
-        want += t / 1500
-    assert got == pytest.approx(want, rel=0.05)
-    assert pitman_yor.seat(np.array([0, 1]), np.array([1.0, 1.0]), 0.5, rng)[0].tolist() == [0, 1]
+    for x in (rng.integers(0, 1 << 63, 1000, dtype=np.uint64), np.zeros(0, np.int32), rng.normal(size=7), np.arange(5, dtype=np.uint32)):
+        assert (pitman_yor.unpack(pitman_yor.pack(x), x.dtype.type) == x).all()
+    x = np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
+    assert (pitman_yor.unpack(pitman_yor.pack(x, True), np.uint64, True) == x).all()
 
 
 def test_language_model_edges(spark):
