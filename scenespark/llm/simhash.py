@@ -2,9 +2,10 @@
 
 Fingerprints of 64 bits are eight positional bytes. Two that differ in at most
 ``max_bits`` bits share at least ``8 - max_bits`` positional bytes: the guaranteed
-minimum. The index has a posting list for every choice of that many positions and the
-bytes found there, so that two fingerprints meet in a list exactly when their tally of
-shared positional bytes reaches the minimum; the pair is then verified bit by bit.
+minimum. A list for one positional byte alone would hold a 256th of all fingerprints,
+so the index has a posting list for every choice of the minimum's number of positions and the
+bytes found there. For every pair in a list the shared positional bytes are tallied; a pair
+that reaches the minimum is kept in the first of its lists alone, and then verified bit by bit.
 Distinct fingerprints only are indexed (copies of a text share one), and a list has
 at most 256 ** max_bits members by construction, however many documents there are.
 """
@@ -20,9 +21,6 @@ from pyspark.sql import functions as F
 from .common import by_row, checkpoint, connected_components, text_bytes
 from .xxh import words_of, xxh64_ranges
 
-#: Lists with more members than this are compared by one-bit neighbours instead of pair by pair.
-PAIRWISE = 48
-
 
 def fingerprint_texts(texts: list[bytes], width: int = 3) -> np.ndarray:
     """Unsigned fingerprints: bit set if set in over half the shingles' XXH64 (seed 42)."""
@@ -62,55 +60,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", also: tuple[str, ...]
     return by_row(docs, [*(F.col(c).cast("long").alias(c) for c in names), text_bytes()], ", ".join(f"{c} long" for c in (*names, "fp")), rows)
 
 
-def links_of_list(fps: np.ndarray, mask: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links between members of one posting list, enough to connect what is linked."""
+def links_of_list(fps: np.ndarray, keep: tuple[int, ...], max_bits: int, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs of one posting list, whose members share the bytes at the positions ``keep``.
+
+    Pairs are tallied a tile of members against all later ones, so that memory is bounded. A pair
+    that shares more than the minimum is in several lists and left to the one with the first positions.
+    """
     f = np.unique(fps.view(np.uint64))
-    if len(f) <= PAIRWISE:
-        a, b = np.triu_indices(len(f), 1)
-        near = np.bitwise_count(f[a] ^ f[b]) <= max_bits
-        return f[a[near]].view(np.int64), f[b[near]].view(np.int64)
-    # Members within max_bits of each other have a common point within max_bits / 2 flips of
-    # both, and all that meet in such a point are within max_bits of each other.
-    free = [np.uint64(1) << np.uint64(k) for k in range(64) if not (mask >> k) & 1]
-    points, owners = [f], [np.arange(len(f))]
-    for flips in range(1, max_bits // 2 + 1):
-        for bits in combinations(free, flips):
-            points.append(f ^ np.bitwise_or.reduce(bits))
-            owners.append(np.arange(len(f)))
-    p, o = np.concatenate(points), np.concatenate(owners)
-    order = np.argsort(p, kind="stable")
-    p, o = p[order], o[order]
-    head = np.maximum.accumulate(np.where(np.diff(p, prepend=p[0] ^ np.uint64(1)) != 0, np.arange(len(p)), 0))
-    a, b = f[o[head]], f[o]
-    near = (a != b) & (np.bitwise_count(a ^ b) <= max_bits)
-    return a[near].view(np.int64), b[near].view(np.int64)
+    places = f.view(np.uint8).reshape(-1, 8)
+    left, right = [], []
+    for k in range(0, len(f), tile):
+        some = places[k : k + tile]
+        tally = np.zeros((len(some), len(f) - k), np.uint8)
+        ours = np.ones(tally.shape, bool)
+        for p in range(8):
+            same = some[:, p, None] == places[None, k:, p]
+            # the list's own positions are the first that the pair shares
+            ours &= ~same | (tally >= len(keep)) | (p in keep)
+            tally += same
+        differ = np.bitwise_count(f[k : k + tile, None] ^ f[None, k:])
+        i, j = np.nonzero((tally >= 8 - max_bits) & ours & (differ <= max_bits))
+        i, j = i[i < j], j[i < j]
+        left.append(f[k + i])
+        right.append(f[k + j])
+    return np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
 
 
 def near_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b): links between distinct fingerprints of column fp that keep every linked pair connected.
+    """(a, b): every pair of distinct fingerprints of column fp within ``max_bits`` bits, once.
 
-    Lists of up to PAIRWISE members give all their pairs within ``max_bits``; larger
-    ones give a star around each common one-bit neighbour, which links the same
-    fingerprints with a row for each member and free bit (``max_bits`` must be even then).
+    A fingerprint has a bounded number of others within that many bits.
     """
-    if max_bits % 2 or not 0 < max_bits < 8:
-        raise ValueError("max_bits must be 2, 4 or 6")
-    masks = [sum(255 << 8 * p for p in keep) for keep in combinations(range(8), 8 - max_bits)]
+    if not 0 < max_bits < 8:
+        raise ValueError("max_bits must be 1 to 7")
+    keeps = list(combinations(range(8), 8 - max_bits))
+    masks = [sum(255 << 8 * p for p in keep) for keep in keeps]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("shared")) for k, m in enumerate(signed)])
-    postings = fps.select("fp", F.explode(keys).alias("x")).select("fp", "x.k", "x.shared")
+    # A fingerprint has many postings: the table is dealt to as many tasks as a shuffle has.
+    postings = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select("fp", F.explode(keys).alias("x")).select("fp", "x.k", "x.shared")
     lists = postings.groupBy("k", "shared").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
 
     def rows(cols):
-        a, b = [], []
-        for k, members in zip(*cols, strict=True):
-            f = np.array(members, np.int64)
-            x, y = links_of_list(f, masks[k], max_bits)
-            a.append(x)
-            b.append(y)
-        return {"a": np.concatenate(a), "b": np.concatenate(b)}
-
-    return by_row(lists, ["k", "members"], "a long, b long", rows).distinct()
+        found = [links_of_list(np.array(members, np.int64), keeps[k], max_bits) for k, members in zip(*cols, strict=True)]
+        return {"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}
+
+    return by_row(lists, ["k", "members"], "a long, b long", rows)
 
 
 def components(fps: DataFrame, max_bits: int = 2) -> DataFrame:

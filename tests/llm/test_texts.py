@@ -80,19 +80,19 @@ def test_simhash_links_are_whole(spark, bits):
     f = sorted(f)
     signed = [x - (1 << 64) if x >> 63 else x for x in f]
     links = simhash.near_pairs(spark.createDataFrame([(x,) for x in signed], "fp long"), bits).collect()
-    parent = {x: x for x in signed}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for r in links:
-        assert (r["a"] ^ r["b"]).bit_count() <= bits or ((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= bits
-        parent[root(r["a"])] = root(r["b"])
-    for a, b in itertools.combinations(range(len(f)), 2):
-        if (f[a] ^ f[b]).bit_count() <= bits:
-            assert root(signed[a]) == root(signed[b])
+    got = [tuple(sorted((r["a"], r["b"]))) for r in links]
+    # every pair within the bits, once
+    want = {tuple(sorted((signed[i], signed[j]))) for i, j in itertools.combinations(range(len(f)), 2) if (f[i] ^ f[j]).bit_count() <= bits}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_simhash_ids_of_several_texts(spark):
+    """Links go from text to text: a shared id does not join what no text joins."""
+    middle, one, _ = chained()
+    other = " ".join(f"q{k}" for k in range(50))
+    for last in (12, 7):
+        got = simhash.near_dups(documents(spark, [(i, t, "en", "a") for i, t in ((1, one), (9, middle), (9, other), (last, other))])).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted([(1, 1), (9, 1), (9, min(9, last)), (last, min(9, last))])
 
 
 def tokenizer():
