@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -346,6 +347,42 @@ def test_cover_tree_is_exact(spark, dims, block):
     assert (got.n_links.values == n).all() and (got.component_id.values == lab).all() and (got.kept.values == (lab == np.arange(len(x)))).all()
 
 
+def clustered(n, dims, seed=1):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(60, dims))
+    x = centers[rng.integers(60, size=n)] + rng.normal(size=(n, dims)) * rng.choice([0.02, 0.2], size=(n, 1))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_cover_tree_levels():
+    """Covering, nesting, and separation of siblings, at every level; all points are in leaves once."""
+    x = clustered(3000, 16)
+    nodes = covertree.grow(x, 0.447)
+    assert len(nodes) > 60 and len({n.radius for n in nodes}) > 2
+    for k, node in enumerate(nodes):
+        assert (np.linalg.norm(x[node.points] - node.center, axis=1) <= node.radius + 1e-7).all()
+        kids = [nodes[c] for c in node.children]
+        assert all(c.radius == node.radius / 2 for c in kids)
+        if kids:
+            assert np.allclose(kids[0].center, node.center)
+            d = covertree.away(np.array([c.center for c in kids]), np.array([c.center for c in kids]))
+            assert (d[~np.eye(len(kids), dtype=bool)] > node.radius / 2 - 1e-7).all()
+            assert sorted(np.concatenate([node.own, *[c.points for c in kids]])) == sorted(node.points)
+    centers, cover, children, points = covertree.flat(x, nodes)
+    assert sorted(np.concatenate([p for p, c in zip(points, children) if not c])) == list(range(len(x)))
+
+
+def test_cover_tree_compares_few_pairs():
+    x = clustered(6000, 16)
+    df = pd.DataFrame({"key": np.arange(len(x)), "raw": [v.tobytes() for v in x], "weight": 1})
+    told = []
+    got = covertree.compare(df, df, True, 0.9, 0.4472136 + 1e-9, told=told).set_index("key")
+    n, lab = brute_links(x, 0.9)
+    assert (got.n.reindex(range(len(x)), fill_value=0).values == n).all()
+    # one compared pair stands for both orders where the leaves are the same
+    assert told[0] < 0.15 * len(x) * len(x) / 2
+
+
 def test_embedding_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, 1.0]), (10, [0.0, 1.0]), (None, [1.0, 0.001]), (11, [1e30, 1e29])]
     df = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], "vec_id long, embedding array<float>, unit int, key string, weight int")
