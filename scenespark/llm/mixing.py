@@ -5,7 +5,9 @@ others in proportion, until none is above its cap. In closed form: in the order
 over weight, the first sources that reach their caps do so at a common water level.
 Whole repetitions of each document follow from its source's target; the fraction that is
 left takes once more the documents whose seeded hash lies below a cut, found from sums
-of sizes per source and hash bucket (65,536 of them, by the first four hexadecimal digits of an MD5).
+of sizes per source and hash bucket (65,536 of them, by the first four hexadecimal digits of an MD5):
+first the 256 sums of 256 buckets each, then the buckets of the one where the cut lies, so that no task
+sees more than 256 rows of a source.
 """
 
 from __future__ import annotations
@@ -45,29 +47,59 @@ def targets(totals: DataFrame, max_epochs: float, share: float) -> DataFrame:
     return t.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.greatest(F.lit(0.0), F.least("cap", F.col("weight") * F.coalesce("water", F.lit(0.0)))))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, share: float = 1.0, seed: int = 42, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, repeats, taken, and the columns of ``keep``.
+def cut_places(sums: DataFrame, goal: DataFrame) -> DataFrame:
+    """(s, cut): for each source the number of buckets, from 0 up, whose words come nearest to what is left, less one.
 
-    Size is the number of words (null text: 0). A null source is a source of its own, the
-    last. Rows that share an id are taken alike, so that runs agree; null counts as an id. A source without words has the target 0 and takes nothing. An
-    empty table gives no rows.
+    sums: (source, bucket, words); goal: (source, more). A source for which taking nothing is nearest has no row.
     """
-    of = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    bucket = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 4), 16, 10).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), of.alias("source"), word_count(F.col("text")).alias("size"), bucket.alias("bucket"), *keep)
-    if not keep:
-        rows = checkpoint(rows)  # the texts are read once
+    chunk = F.shiftright("bucket", 8)
+    goal = goal.select(F.col("source").alias("s"), "more")
+    same = F.col("source").eqNullSafe(F.col("s"))
+    order = Window.partitionBy("source").orderBy("chunk")
+    upper = sums.groupBy("source", chunk.alias("chunk")).agg(F.sum("words").alias("words"))
+    upper = upper.withColumn("before", F.sum("words").over(order) - F.col("words")).join(goal, same).drop("s")
+    # the last chunk before whose words there is something left to take
+    at = upper.where("before < more").groupBy(F.col("source").alias("s")).agg(F.max_by(F.struct("chunk", "before", "more"), "chunk").alias("x"))
+    inner = sums.join(at, same & (chunk == F.col("x.chunk"))).select("source", "bucket", (F.col("x.before") + F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))).alias("upto"), F.col("x.more").alias("more"))
+    begin = at.select(F.col("s").alias("source"), (F.col("x.chunk") * 256 - 1).alias("bucket"), F.col("x.before").alias("upto"), F.col("x.more").alias("more"))
+    near = inner.unionByName(begin).where("abs(upto - more) < more")
+    return near.groupBy(F.col("source").alias("s")).agg(F.max_by("bucket", F.struct(-F.abs(F.col("upto") - F.col("more")), -F.col("bucket"))).alias("cut"))
+
+
+def repetitions(rows: DataFrame, weights: tuple[float, ...], max_epochs: float, share: float) -> DataFrame:
+    """rows: (source, size, bucket, others). Adds source_size, target and repeats."""
     sums = checkpoint(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(totals.withColumn("weight", cycled(weights)), max_epochs, share)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("whole", F.least(F.floor(ratio + 1e-12), F.lit(int(max_epochs))).cast("long")).withColumn("more", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    # The cut is the number of buckets, from 0 up, whose words come nearest to what is left.
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    dealt = sums.withColumn("upto", upto).withColumnRenamed("source", "s").join(goal, F.col("s").eqNullSafe(F.col("source")))
-    taken = dealt.where("abs(upto - more) < more").groupBy("source").agg(F.max_by(F.col("bucket"), F.struct(-F.abs(F.col("upto") - F.col("more")), -F.col("bucket"))).alias("cut"))
-    goal = goal.join(taken.withColumnRenamed("source", "s"), F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.when(F.col("whole") >= int(max_epochs), -1).otherwise(F.coalesce("cut", F.lit(-1))).alias("cut"))
+    cut = F.when(F.col("whole") >= int(max_epochs), -1).otherwise(F.coalesce("cut", F.lit(-1))).alias("cut")
+    goal = goal.join(cut_places(sums, goal), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", cut)
     goal = checkpoint(goal)  # a row per source; dealt anew for the join, so that a large source's rows can be split
     repeats = F.when(F.col("size") > 0, F.col("whole") + (F.col("bucket") <= F.col("cut")).cast("long")).otherwise(F.lit(0))
-    out = rows.join(goal, F.col("s").eqNullSafe(F.col("source"))).withColumn("repeats", repeats.cast("long"))
-    return out.select(id_col, "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), *keep)
+    return rows.join(goal, F.col("s").eqNullSafe(F.col("source"))).withColumn("repeats", repeats.cast("long"))
+
+
+def sized(docs: DataFrame, seed: int, id_col: str, *more: Column) -> DataFrame:
+    of = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    bucket = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 4), 16, 10).cast("int")
+    return docs.select(of.alias("source"), word_count(F.col("text")).alias("size"), bucket.alias("bucket"), *more)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, share: float = 1.0, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """One row per document: id, source, size, source_size, target, repeats, taken.
+
+    Size is the number of words, of texts of any length (null text: 0). A null source is a source of its own, the
+    last. Rows that share an id are taken alike, so that runs agree; null counts as an id. A source without words has the
+    target 0 and takes nothing. Of cuts that are equally near the one with fewer words is taken. An empty table gives no rows; other columns are not read.
+    """
+    rows = checkpoint(sized(docs, seed, id_col, F.col(id_col).cast("long").alias("_id")))  # the texts are read once
+    out = repetitions(rows, weights, max_epochs, share)
+    return out.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3, share: float = 1.0, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """The documents themselves, with their own columns whatever their names, a row for each repetition that ``mix`` takes."""
+    rows = sized(docs, seed, id_col, F.struct(*docs.columns).alias("_row"))
+    out = repetitions(rows, weights, max_epochs, share).where("repeats > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_row.*")

@@ -115,8 +115,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_more.
 
     Spans are ``kind:start:end`` in code points, by start and then kind. A null text is
-    empty: no spans and the digest of nothing. Repeated rows are kept; an empty table gives
-    no rows; other columns are not read.
+    empty: no spans and the digest of nothing. A text of any length is scanned whole, in one
+    pass of the automaton. Spans of several kinds may begin at one place; they come in the kinds'
+    order. Repeated rows are kept; an empty table gives no rows; other columns are not read.
     """
 
     def rows(cols):
@@ -138,9 +139,11 @@ def secrets(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span of the text replaced by ``mark``.
 
-    Overlapping spans become one mark. Null texts stay null; n_chars, where there is
-    such a column, is counted anew for texts that change.
+    Overlapping spans become one mark. Null and empty texts stay as they are, texts of any
+    length are scanned whole, repeated rows are cleaned alike, and an empty table gives no rows; n_chars,
+    where there is such a column, is counted anew for texts that change.
     """
+
     def clean(texts):
         scan = scanner()
         out = []
@@ -158,7 +161,15 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     def cleaned(texts: pd.Series) -> pd.Series:
         return pd.Series(clean(texts.tolist()), dtype=object)
 
-    out = docs.withColumn("_clean", cleaned(F.col(text)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_clean").eqNullSafe(F.col(text)), F.col("n_chars")).otherwise(F.length("_clean")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn(text, F.col("_clean")).select(*docs.columns)
+    # Every column travels in one struct beside the new text, so that no name can clash.
+    both = docs.select(F.struct(*docs.columns).alias("row"), cleaned(F.col(text)).alias("clean"))
+    old = F.col("row").getField(text)
+
+    def column(c: str):
+        if c == text:
+            return F.col("clean").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("clean").eqNullSafe(old), F.col("row.n_chars")).otherwise(F.length("clean")).cast(docs.schema[c].dataType).alias(c)
+        return F.col("row").getField(c).alias(c)
+
+    return both.select(*map(column, docs.columns))

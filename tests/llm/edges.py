@@ -1,6 +1,6 @@
 """Documents at the edges: nulls, empty and long texts, repeats, clashing column names."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, w string, component string, fp long, bucket string, size string, _id long, node long, hit boolean"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, w string, component string, fp long, bucket string, size string, _id long, node long, hit boolean, repeats long, _k int, _clean string, _fp long, _row long, own string, clean string, target double, s string, cut int"
 TEXTS = [
     (1, "the quick brown fox jumps over the lazy dog again and again", "en", "a"),
     (2, "the quick brown fox jumps over the lazy dog again and again", "en", "b"),
@@ -19,7 +19,7 @@ TEXTS = [
 
 
 def documents(spark, rows=TEXTS):
-    return spark.createDataFrame([(*r, len(r[1] or ""), 1.0, 1, "w", "c", 7, "b", "s", 3, 4, True) for r in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1.0, 1, "w", "c", 7, "b", "s", 3, 4, True, 2, 3, "c", 5, 6, "o", "cl", 0.5, "s", 9) for r in rows], SCHEMA).repartition(3)
 
 
 def labels(spark, rows=()):

@@ -442,6 +442,20 @@ def test_dedup_keeps_one_row_of_each_group(spark):
     assert pair.count() == 1
 
 
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    """Null, empty, long and repeated texts, and columns named like those that stages make."""
+    rows = TEXTS + [(100 + k, f"a plain text number {k} about things that are the same in no other text {k * 7}", "en", "a") for k in range(20)]
+    docs = documents(spark, rows)
+    labels(spark, [(100 + k, 1, 0) for k in range(20)]).write.parquet(f"{tmp_path}/labels.parquet")
+    now, marks = docs, [c for c in docs.columns if c not in ("doc_id", "text", "source", "lang", "n_chars")]
+    want = docs.select(*marks).first().asDict()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = common.checkpoint(stage(spark, now, str(tmp_path)))
+        assert now.columns == docs.columns and now.count() > 10
+        assert all(r.asDict() == want for r in now.select(*marks).collect())
+    assert corpus_pipeline.encode(spark, now, "").count() == now.count()
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
