@@ -11,7 +11,11 @@ from scenespark.llm.common import checkpoint, stored, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored like any; repeated rows go or stay together, texts of any length are
+    measured whole; other columns pass through.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -19,30 +23,36 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: the one with the smallest id, any id before none.
 
     Rows without an id link and go like others; of rows with equal ids in a group one stays, and
-    rows with equal ids in different groups all stay.
+    rows with equal ids in different groups all stay. Null and empty texts are one group. Of equal ids
+    in a group the row that stays is the first as the input was stored. Columns may have any names.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    prints = checkpoint(simhash.fingerprints(rows, "doc_id", ("_row",)))
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.monotonically_increasing_id().alias("row"))
+    rows = stored(own)
+    prints = checkpoint(simhash.fingerprints(rows.select(F.col("own.doc_id").alias("doc_id"), F.col("own.text").alias("text"), "row"), "doc_id", ("row",)))
     groups = simhash.components(checkpoint(prints.select("fp").distinct()))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    stay = prints.join(groups, "fp").groupBy("component").agg(first.alias("x")).select("x._row")
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    stay = prints.join(groups, "fp").groupBy("component").agg(first.alias("x")).select("x.row")
+    return rows.join(stay, "row", "left_semi").select("own.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; what the scan finds is replaced by a mark."""
+    """Every document stays, null, empty and repeated ones too; what the scan finds is replaced by a mark."""
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each repetition that the mix takes of a document; none for those it leaves."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mixing.mix(docs, keep=keep).where("repeats > 0")
-    return mixed.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    """A row for each repetition that the mix takes of a document; none for those it leaves.
+
+    Texts without words, null ones among them, are no part of a mix by words and go. Columns may have any names.
+    """
+    return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, with their digest and that of the text decoded from them."""
+    """The ids of each whole text, with their digest and that of the text decoded from them.
+
+    The last stage: it returns doc_id, n_tokens, ids_sha256, decoded_sha256 and ids, a row for each row it gets.
+    """
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 
