@@ -1,13 +1,15 @@
-"""Quality rules with risk-controlled cutoffs.
+"""Quality rules with risk-controlled thresholds.
 
 Each rule measures a text and rejects it beyond a cutoff. Cutoffs come from labelled
-holdouts, per stratum: one half of the clean labelled documents (the proposing half)
-gives, for each level of a fixed grid, the cutoffs that leave that share of them beyond;
-the other half (the holdout) tests what all rules together would falsely reject at that
-level. A level is admitted if the exact binomial test refutes a false rejection rate of
-``alpha`` or more at ``delta`` divided by the number of tests (levels times strata), and
-each stratum takes its strictest admitted level, or rejects nothing more where none is.
-With probability 1 - delta every stratum's rate then is below alpha.
+holdouts, per stratum: a third of the clean labelled documents (the proposing part)
+gives cutoffs for each level of a fixed grid, from lenient to strict; the others (the holdout) test what
+all rules together would falsely reject at a level. A level is admitted if the exact
+binomial test refutes a false rejection rate of ``alpha`` or more, and those before it were admitted
+(a fixed sequence, which needs no correction of its own) at ``delta`` divided by the number of
+strata. Each stratum takes its strictest admitted level, or rejects nothing more where none
+is. With probability 1 - delta every stratum's rate, among documents that the base rules keep, then is
+below alpha. Strata with few labels are one stratum together, and the bound is over them together; a stratum
+without any is left alone.
 """
 
 from __future__ import annotations
@@ -15,15 +17,21 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, by_row, checkpoint, crc_mod, text_bytes
 
 #: What the rules measure; all reject high values but for the low mean word length.
 MEASURES = ("symbols", "dup_lines", "repeats", "word_long", "word_short", "upper", "pipes")
-#: Shares of the proposing half that each rule may leave beyond its cutoff, strictest first.
-LEVELS = (0.02, 0.01, 0.005, 0.002, 0.001, 0.0)
+#: Levels, most lenient first: the share of the proposing part that each rule may leave beyond its
+#: cutoff, and how far beyond the median the cutoff is moved, as a multiple of that share's distance.
+LEVELS = ((0.0, 10.0), (0.0, 6.0), (0.0, 3.0), (0.0, 2.0), (0.0, 1.5), (0.0, 1.0), (0.002, 1.0), (0.005, 1.0), (0.01, 1.0), (0.02, 1.0))
+#: A cutoff is never nearer to the median than this times the level's multiple: where clean texts hardly
+#: differ, the least difference is no ground to reject one.
+LEAST = {"symbols": 0.02, "dup_lines": 0.01, "repeats": 0.02, "word_long": 0.5, "word_short": 0.5, "upper": 0.02, "pipes": 0.01}
+#: Measures are counted in bins of about one percent, however many texts are labelled.
+BINS, FINEST = 64, 1024
 
 
 def repeat_words(words: list[bytes], width: int = 5) -> int:
@@ -95,35 +103,56 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(t - top) for t in terms))
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str = "doc_id") -> DataFrame:
-    """(stratum, level, n, k, and a cutoff for each measure) of the strictest admitted level per stratum.
+def bin_of(m: str) -> str:
+    return f"cast(signum({m}) * floor(log2(1 + abs({m}) * {FINEST}) * {BINS}) as int)"
 
-    Labelled clean rows (quality 1) that the base rules keep are halved by crc32 of the
-    id; an id that is labelled more than once counts by its lowest label.
+
+def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str = "doc_id", few: int = 400) -> DataFrame:
+    """(stratum, level, n, k, and a cutoff for each measure) of the strictest admitted level, a row per stratum with labels.
+
+    Labelled clean rows (quality 1) that the base rules keep are dealt by crc32 of the
+    id; an id that is labelled more than once counts by its lowest label. Strata with fewer than ``few``
+    such rows are pooled and get the same row. The numbers collected are a row for each stratum and level.
     """
     clean = labels.where(f"{id_col} is not null").groupBy(F.col(id_col).cast("long").alias(id_col)).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
-    known = checkpoint(rows.where("not base_failed").join(clean, id_col, "left_semi").withColumn("half", crc_mod(id_col, 2)).select("stratum", "half", *MEASURES))
-    levels = F.array(*[F.lit(1.0 - x) for x in LEVELS])
-    proposed = known.where("half = 0").groupBy("stratum").agg(*[F.percentile(m, levels).alias(m) for m in MEASURES])
-    spread = proposed.select("stratum", F.posexplode(F.arrays_zip(*MEASURES)).alias("level", "at")).select("stratum", "level", *[F.col(f"at.{m}").alias(f"cut_{m}") for m in MEASURES])
+    known = rows.where("not base_failed").join(clean, id_col, "left_semi").select("stratum", (crc_mod(id_col, 3) == 0).alias("proposes"), *MEASURES)
+    sizes = known.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows")).select(F.col("stratum").alias("of"), F.when(F.col("rows") < few, F.lit(True)).otherwise(F.lit(False)).alias("pooled"))
+    sizes = checkpoint(sizes)
+    group = F.struct("pooled", F.when(~F.col("pooled"), F.col("stratum")).alias("name")).alias("group")
+    known = checkpoint(known.join(sizes, F.col("stratum").eqNullSafe(F.col("of"))).select(group, "proposes", *MEASURES))
+    counted = known.where("proposes").select("group", F.expr("stack(" + str(len(MEASURES)) + ", " + ", ".join(f"'{m}', {bin_of(m)}" for m in MEASURES) + ") as (measure, bin)")).groupBy("group", "measure", "bin").agg(F.count(F.lit(1)).alias("c"))
+    each = Window.partitionBy("group", "measure")
+    edge = F.expr(f"case when bin >= 0 then (pow(2, (bin + 1) / {BINS}) - 1) / {FINEST} else -(pow(2, -bin / {BINS}) - 1) / {FINEST} end")
+    upto = counted.withColumn("upto", F.sum("c").over(each.orderBy("bin"))).withColumn("n", F.sum("c").over(each)).withColumn("edge", edge)
+    at = lambda share: F.min(F.when(F.col("upto") >= (1 - share) * F.col("n"), F.col("edge")))
+    middle = at(0.5)
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in LEAST.items() for x in pair]), F.col("measure"))
+    cut = F.array(*[middle + F.greatest(at(share) - middle, least) * far for share, far in LEVELS])
+    spread = upto.groupBy("group", "measure").agg(cut.alias("cuts")).select("group", "measure", F.posexplode("cuts").alias("level", "cut"))
+    wide = checkpoint(spread.groupBy("group", "level").pivot("measure", list(MEASURES)).agg(F.first("cut")).select(F.col("group").alias("g"), "level", *[F.col(m).alias(f"cut_{m}") for m in MEASURES]))
     beyond = " or ".join(f"{m} > cut_{m}" for m in MEASURES)
     # Each row of the holdout meets the grid's few levels of its stratum.
-    tested = known.where("half = 1").withColumnRenamed("stratum", "of").join(spread, F.col("of").eqNullSafe(F.col("stratum"))).groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(f"cast({beyond} as long)")).alias("k"))
-    tests = spread.count()
+    tested = known.where("not proposes").join(wide, F.col("group").eqNullSafe(F.col("g"))).groupBy("group", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(f"cast({beyond} as long)")).alias("k"))
+    tested = checkpoint(tested)
+    strata = max(1, tested.select("group").distinct().count())
 
     @F.pandas_udf("double")
     def refuted(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([at_most(int(a), int(b), alpha) for a, b in zip(k, n, strict=True)], dtype=float)
 
-    admitted = tested.withColumn("p", refuted("k", "n")).where(F.col("p") <= delta / max(tests, 1))
-    best = admitted.groupBy("stratum").agg(F.min("level").alias("best"), F.min_by("n", "level").alias("n"), F.min_by("k", "level").alias("k")).withColumnRenamed("stratum", "of")
-    return spread.join(best, F.col("of").eqNullSafe(F.col("stratum")) & (F.col("best") == F.col("level"))).drop("of", "best")
+    passed = tested.withColumn("failed", (refuted("k", "n") > delta / strata).cast("int"))
+    passed = passed.withColumn("failed", F.sum("failed").over(Window.partitionBy("group").orderBy("level"))).where("failed = 0")
+    best = passed.groupBy("group").agg(F.max("level").alias("level"), F.max_by("n", "level").alias("n"), F.max_by("k", "level").alias("k"))
+    chosen = best.withColumnRenamed("level", "best").join(wide, F.col("group").eqNullSafe(F.col("g")) & (F.col("best") == F.col("level")))
+    member = (F.col("pooled") == F.col("group.pooled")) & (F.col("pooled") | F.col("of").eqNullSafe(F.col("group.name")))
+    return sizes.join(chosen, member).select(F.col("of").alias("stratum"), "level", "n", "k", *[f"cut_{m}" for m in MEASURES])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", stratum: str = "lang") -> DataFrame:
     """One row per document: its counts, base_failed, kept, and level (null: its stratum has none).
 
-    Null and empty texts have no words and fail the base rules. Repeated rows are kept and
+    Null and empty texts have no words and fail the base rules. Texts of any length are measured whole.
+    A null stratum is a stratum. Values at a cutoff are kept. Repeated rows are kept and
     judged alike; rows of a null id are judged but never learnt from; without labels, only
     the base rules reject. Other columns are not read.
     """

@@ -460,3 +460,25 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shards_match_plain_loops(spark):
+    """The order by fractional rank, with the same seeded hashes, sorted in plain Python."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, f"text {i}", "en", rng.choice(["big"] * 6 + ["b", "c", None])) for i in range(501)]
+    docs = documents(spark, rows)
+    data = F.col("text").cast("binary")
+    made = docs.select("doc_id", "source", F.crc32(data).alias("c"), F.xxhash64(F.lit(42), F.col("doc_id"), F.crc32(data)).alias("h")).collect()
+    by = defaultdict(list)
+    for r in made:
+        by[r["source"]].append((r["h"], r["doc_id"], r["c"]))
+    ranked = [(i, s, (2 * k + 1) / (2 * len(own)), h) for s, own in by.items() for k, (h, i, _) in enumerate(sorted(own))]
+    ties = {(r["s"], r["f"]): r["t"] for r in spark.createDataFrame([(s, f) for _, s, f, _ in ranked], "s string, f double").distinct().select("s", "f", F.xxhash64(F.lit(43), "s", "f").alias("t")).collect()}
+    order = sorted(ranked, key=lambda r: (r[2], ties[r[1], r[2]], r[1] is not None, r[1] or "", r[3]))
+    want = {}
+    for k, (i, *_rest) in enumerate(order):
+        shard = k * 8 // 501
+        want[i] = (shard, k - -(-shard * 501 // 8))
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(docs, 8).collect()} == want

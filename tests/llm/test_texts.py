@@ -1,7 +1,9 @@
 """Operators that judge each text by itself, against brute force."""
 
 import hashlib
+import collections
 import itertools
+import math
 import random
 import re
 import zlib
@@ -287,3 +289,77 @@ def test_pairs_of_features_are_learnt():
     m = quality.fit(x[:3000], y[:3000], rounds=20, pair_rounds=60, n_pairs=1)
     assert m.pairs[0][:2] == (0, 1)
     assert ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
+
+
+def plain_cutoffs(rows, clean, alpha, delta, few):
+    """rows: dicts with id, stratum, base_failed and measures; the rule of the operator in plain loops."""
+    def edge(v):
+        k = math.floor(math.log2(1 + abs(v) * rules.FINEST) * rules.BINS)
+        b = k if v > 0 else -k if v < 0 else 0
+        return (2 ** ((b + 1) / rules.BINS) - 1) / rules.FINEST if b >= 0 else -(2 ** (-b / rules.BINS) - 1) / rules.FINEST
+
+    known = [r for r in rows if not r["base_failed"] and r["doc_id"] in clean]
+    sizes = collections.Counter(r["stratum"] for r in known)
+    groups = collections.defaultdict(list)
+    for r in known:
+        groups["pool" if sizes[r["stratum"]] < few else ("own", r["stratum"])].append(r)
+    tests = {}
+    for g, own in groups.items():
+        one = [r for r in own if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 0]
+        two = [r for r in own if zlib.crc32(str(r["doc_id"]).encode()) % 3]
+        if not one or not two:
+            continue
+        for level, (share, far) in enumerate(rules.LEVELS):
+            cut = {}
+            for m in rules.MEASURES:
+                v = sorted(edge(r[m]) for r in one)
+                at = lambda x: v[max(0, math.ceil((1 - x) * len(v) - 1e-9) - 1)]
+                cut[m] = at(0.5) + max(at(share) - at(0.5), rules.LEAST[m]) * far
+            tests.setdefault(g, []).append((level, len(two), sum(any(r[m] > cut[m] + 1e-12 for m in rules.MEASURES) for r in two), cut))
+    out = {}
+    for g, levels in tests.items():
+        for level, n, k, cut in levels:
+            if rules.at_most(k, n, alpha) > delta / len(tests):
+                break
+            out[g] = (level, n, k, cut)
+    return {s: out[g] for s in sizes for g in ["pool" if sizes[s] < few else ("own", s)] if g in out}
+
+
+def test_cutoffs_match_plain_loops(spark):
+    rng = random.Random(12)
+    rows, known = [], []
+    for i in range(1500):
+        junk, lang = i % 9 == 0, rng.choice(["en"] * 6 + ["de"] * 3 + ["fr", None])
+        rows.append((i, " ".join(rng.choice(["abc", "word", "Longer", "x|y", "a,b"][: 3 + (rng.random() < 0.2)]) + ("##" if junk else "") + str(k) for k in range(rng.randrange(8, 60))), lang, "a"))
+        if i % 4:
+            known.append((i, int(not junk), 0))
+    measured = rules.measured(documents(spark, rows)).selectExpr("*", "n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed")
+    got = {r["stratum"]: r for r in rules.cutoffs(measured, labels(spark, known), 0.05, 0.05, few=250).collect()}
+    want = plain_cutoffs([r.asDict() for r in measured.collect()], {i for i, q, _ in known if q}, 0.05, 0.05, 250)
+    assert set(got) == set(want) and len(want) >= 3
+    for s, (level, n, k, cut) in want.items():
+        assert (got[s]["level"], got[s]["n"], got[s]["k"]) == (level, n, k)
+        assert all(got[s][f"cut_{m}"] == pytest.approx(cut[m], abs=1e-9) for m in rules.MEASURES)
+
+
+def test_quality_scores_match_plain_loops():
+    """Features counted word by word and character by character; scores looked up table by table."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choice(["the ", "Das ", "!! ", "| ", "a, ", "42 ", "ÉTÉ ", "\n", ".", "#$ ", "LOUD LINE\n", "\t"]) for _ in range(rng.randrange(1, 80))) for _ in range(300)]
+    x = np.array([quality.features(t.encode()) for t in texts], float)
+    for t, f in zip(texts, x):
+        b = t.encode()
+        words, lines = b.split(), [y for y in b.split(b"\n") if y.strip(b" \t\r\x0b\x0c")]
+        n, m = max(len(words), 1), max(len(lines), 1)
+        chars = max(sum(c not in b" \t\n\x0b\x0c\r" for c in b), 1)
+        got = dict(zip(quality.FEATURES, f))
+        assert got["word_length"] == pytest.approx(chars / n) and got["digits"] == pytest.approx(sum(48 <= c < 58 for c in b) / chars)
+        assert got["top_word"] == pytest.approx(max((words.count(w) for w in words), default=0) / n) and got["unlike"] == pytest.approx(len(set(words)) / n)
+        assert got["same_as_last"] == pytest.approx(sum(p == q for p, q in zip(words, words[1:])) / n) and got["dup_lines"] == pytest.approx(1 - len(set(lines)) / m)
+        assert got["non_ascii"] == pytest.approx(sum(c > 127 for c in b) / chars) and got["commas"] == pytest.approx(b.count(b",") / n)
+    y = np.array([rng.random() < 0.5 + 0.4 * (f[1] > 3) - 0.3 * (f[3] > 0.1) for f in x], float)
+    model = quality.fit(x, y, rounds=10, pair_rounds=5)
+    for f, s in zip(x[:60], model.score(x[:60])):
+        z = model.start + sum(add[sum(c <= f[k] for c in cut)] for k, (cut, add) in enumerate(zip(model.cuts, model.tables)))
+        z += sum(add[sum(c <= f[a] for c in model.pair_cuts[a]), sum(c <= f[b] for c in model.pair_cuts[b])] for a, b, add in model.pairs)
+        assert s == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
