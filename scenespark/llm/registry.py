@@ -38,7 +38,7 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path of their own; source, language and id stand for one."""
+    """Documents have no path of their own; source, language and id stand for one, so that no name tells a licence file, only a whole licence's text."""
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licenses.license_scan(table(spark, sf_dir, "documents"), path)
 
@@ -64,28 +64,29 @@ def quoted(x: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    # Without the operator's prefilter: every line, sentence and whole text is scored.
     "op7_licenses": rf"""
 WITH d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) path, text FROM documents),
-hit AS (SELECT * FROM d WHERE regexp_matches(text, '{licenses.TRIGGER}')),
-parts AS (SELECT doc_id, unnest(l) part, generate_subscripts(l, 1) - 1 unit FROM (SELECT doc_id, string_split(regexp_replace(text, '([.;!?])\s', '' || chr(10), 'g'), chr(10)) l FROM hit)),
-units AS (SELECT doc_id, unit, part FROM parts WHERE regexp_matches(part, '{licenses.TRIGGER}') UNION ALL SELECT doc_id, -1, text FROM hit),
-tf AS (SELECT doc_id, unit, term, ln(count(*)) + 1 tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(part), '{licenses.TERM}')) term FROM units) GROUP BY ALL),
-n AS (SELECT count(*) n FROM (SELECT DISTINCT doc_id, unit FROM tf)),
-tpl(t, name, part) AS (VALUES {", ".join(f"({k}, {quoted(a)}, {quoted(b)})" for k, (a, b) in enumerate(licenses.TEMPLATES))}),
-st AS (SELECT t, name, term, ln(count(*)) + 1 tf FROM (SELECT t, name, unnest(regexp_extract_all(lower(part), '{licenses.TERM}')) term FROM tpl) GROUP BY ALL),
-df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
-w AS (SELECT t, name, term, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1) w FROM st LEFT JOIN df USING (term), n),
+parts AS (SELECT doc_id, unnest(l) part, generate_subscripts(l, 1) - 1 unit FROM (SELECT doc_id, list_concat(string_split(text, chr(10)), string_split(regexp_replace(regexp_replace(text, '{licenses.SPACE}', ' ', 'g'), '([.;!?]) ', '\1' || chr(10), 'g'), chr(10))) l FROM d)),
+units AS (SELECT doc_id, unit, part FROM parts UNION ALL SELECT doc_id, -1, text FROM d),
+tf AS (SELECT doc_id, unit, term, ln(count(*)) + 1 tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(part), '{licenses.TERM}')) term FROM units) WHERE term NOT IN {licenses.STOP} GROUP BY ALL),
+tpl(t, name, file, part) AS (VALUES {", ".join(f"({k}, {quoted(a)}, {k >= len(licenses.TEMPLATES)}, {quoted(b)})" for k, (a, b) in enumerate((*licenses.TEMPLATES, *licenses.FILES)))}),
+st AS (SELECT t, name, file, term, ln(count(*)) + 1 tf FROM (SELECT t, name, file, unnest(regexp_extract_all(lower(part), '{licenses.TERM}')) term FROM tpl) WHERE term NOT IN {licenses.STOP} GROUP BY ALL),
+n AS (SELECT count(*) n FROM tpl),
+df AS (SELECT term, count(*) df FROM st GROUP BY 1),
+w AS (SELECT t, name, file, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) w FROM st JOIN df USING (term), n),
 wn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY t)) u FROM w),
-v AS (SELECT doc_id, unit, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) v FROM tf JOIN df USING (term), n),
+v AS (SELECT doc_id, unit, term, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1) v FROM tf LEFT JOIN df USING (term), n),
 nv AS (SELECT doc_id, unit, sqrt(sum(v * v)) norm FROM v GROUP BY ALL),
-sc AS (SELECT v.doc_id, v.unit, t, name, round(sum(v * u) / any_value(norm), 9) score FROM v JOIN wn USING (term) JOIN nv ON nv.doc_id = v.doc_id AND nv.unit = v.unit GROUP BY ALL),
-b AS (SELECT doc_id, unit < 0 is_file, score, name FROM sc WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, unit < 0 ORDER BY score DESC, name) = 1),
-own AS (SELECT d.doc_id, d.path, coalesce(h.name, f.name) own_license, coalesce(h.score, f.score) own_score, f.name file_license, f.score file_score FROM d LEFT JOIN b h ON h.doc_id = d.doc_id AND NOT h.is_file LEFT JOIN b f ON f.doc_id = d.doc_id AND f.is_file),
+sc AS (SELECT v.doc_id, v.unit, t, name, round(sum(v * u) / any_value(norm), 9) score FROM v JOIN wn ON wn.term = v.term AND wn.file = (v.unit < 0) JOIN nv ON nv.doc_id = v.doc_id AND nv.unit = v.unit GROUP BY ALL),
+b AS (SELECT doc_id, unit < 0 is_file, score, name FROM sc WHERE score >= CASE WHEN unit < 0 THEN 0.8 ELSE 0.6 END QUALIFY row_number() OVER (PARTITION BY doc_id, unit < 0 ORDER BY score DESC, name) = 1),
+x AS (SELECT d.doc_id, d.path, coalesce(regexp_matches(regexp_extract(d.path, '([^/]*)$', 1), '{licenses.NAMED}'), false) called, h.name hn, h.score hs, f.name fn, f.score fs FROM d LEFT JOIN b h ON h.doc_id = d.doc_id AND NOT h.is_file LEFT JOIN b f ON f.doc_id = d.doc_id AND f.is_file),
+own AS (SELECT doc_id, path, coalesce(fn, hn) own_license, coalesce(fs, hs) own_score, coalesce(fn, CASE WHEN called THEN hn END) file_license, coalesce(fs, CASE WHEN called THEN hs END) file_score FROM x),
 dirs AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) dir, file_license FROM own WHERE file_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY file_score DESC, file_license, path) = 1),
 near AS (SELECT o.doc_id, dirs.dir, dirs.file_license lic FROM own o JOIN dirs ON starts_with(o.path, dirs.dir || '/') WHERE o.own_license IS NULL QUALIFY row_number() OVER (PARTITION BY o.doc_id ORDER BY length(dirs.dir) DESC) = 1)
 SELECT o.doc_id, o.path, o.own_license, round(o.own_score, 6) own_score, o.file_license, near.lic inherited_license, near.dir inherited_from, coalesce(o.own_license, near.lic) license FROM own o LEFT JOIN near USING (doc_id)""",
     "op8_mixing": r"""
-WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT size, ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INT bucket FROM documents),
+WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size, ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INT bucket FROM documents),
 s AS (SELECT source, sum(size)::BIGINT source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE wt FROM w GROUP BY 1),
 o AS (SELECT *, 3.0 * source_size cap, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(3.0 * source_size) OVER before, 0) open, sum(wt) OVER () - coalesce(sum(wt) OVER before, 0) rest FROM s
  WINDOW before AS (ORDER BY 3.0 * source_size / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -103,10 +103,11 @@ def test_mix_edges(spark):
 def test_licences_and_inheritance(spark):
     from pyspark.sql import functions as F
 
+    whole = dict(licenses.FILES)
     rows = [
-        ("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+        ("a/LICENSE", "Copyright 2020 some holder\n\n" + whole["MIT"]),
         ("a/b/c/code", "some code without a header"),
-        ("a/b/LICENSE", "Licensed under the Apache License, Version 2.0."),
+        ("a/b/COPYING", "Licensed under the Apache License, Version 2.0."),
         ("a/other", "plain words"),
         ("z/file", "plain words"),
         ("z/own", "first line\nThis work is licensed under the GNU General Public License, version 3.\nlast line " + "with many words " * 50),
@@ -114,16 +115,44 @@ def test_licences_and_inheritance(spark):
         ("a/b/null", None),
         ("a/b/empty", ""),
         ("a/b/empty", ""),
+        ("z/short", "Released under the MIT License."),
+        ("z/wrapped", "/* This Source Code Form is subject to\n * the terms of the Mozilla Public\n * License, v. 2.0.\n */ code"),
+        ("y/terms", whole["BSD-3-Clause"].replace(" ", "\n")),
+        ("y/code", "nothing here"),
     ]
     docs = spark.createDataFrame([(k, p, t, 1, "x") for k, (p, t) in enumerate(rows)], "doc_id long, path string, text string, unit int, term string")
     got = {r["doc_id"]: r for r in licenses.license_scan(docs, F.col("path")).collect()}
     assert len(got) == len(rows)
-    assert [got[k]["license"] for k in range(10)] == ["MIT", "Apache-2.0", "Apache-2.0", "MIT", None, "GPL-3.0", None, "Apache-2.0", "Apache-2.0", "Apache-2.0"]
-    assert got[1]["inherited_from"] == "a/b" and got[3]["inherited_from"] == "a" and got[5]["file_license"] is None
+    # a short text that is a header alone is no licence file: z/file inherits nothing from z/short
+    want = ["MIT", "Apache-2.0", "Apache-2.0", "MIT", None, "GPL-3.0", None, "Apache-2.0", "Apache-2.0", "Apache-2.0", "MIT", "MPL-2.0", "BSD-3-Clause", "BSD-3-Clause"]
+    assert [got[k]["license"] for k in range(len(rows))] == want
+    assert got[1]["inherited_from"] == "a/b" and got[3]["inherited_from"] == "a" and got[5]["file_license"] is None and got[10]["file_license"] is None
     assert got[2]["own_score"] == pytest.approx(1.0)
     assert licenses.license_scan(docs.limit(0), F.col("path")).count() == 0
 
 
+def test_licence_prefilter_loses_nothing():
+    """Random texts of template terms and others: whatever reaches the threshold has a needed term."""
+    import re
+
+    rng = random.Random(3)
+    every = (*licenses.TEMPLATES, *licenses.FILES)
+    other, idf, weights = licenses.weighed(every)
+    terms = licenses.needed(weights, 0.6)
+    some = re.compile(licenses.found_by(terms).replace(r"[\p{L}\p{N}]", r"[^\W_]"))
+    reached = 0
+    for _ in range(4000):
+        own = rng.choice(weights)
+        words = [t for t in own if rng.random() < rng.choice([0.2, 0.5, 0.9])] + ["zzz"] * rng.randrange(3)
+        c = Counter(words)
+        v = {t: (math.log(n) + 1) * idf.get(t, other) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        if norm and max(sum(x * w.get(t, 0.0) for t, x in v.items()) for w in weights) / norm >= 0.6:
+            reached += 1
+            assert some.search(" ".join(words)) and set(terms) & set(words)
+    assert reached > 500
+
+
 def test_licence_edges(spark):
     got = licenses.license_scan(documents(spark)).collect()
     assert len(got) == len(TEXTS) and {r["doc_id"]: r["license"] for r in got} == {r[0]: "MIT" if r[0] == 10 else None for r in TEXTS}
