@@ -121,14 +121,13 @@ def found_by(words: list[str]) -> str:
     """An expression for texts with one of the words, which goes character by character down the words' common beginnings."""
 
     def branch(some: list[str]) -> str:
-        if "" in some:
-            return ""  # whatever follows, a word was there
-        heads = sorted({w[0] for w in some})
-        each = [re.escape(h) + branch([w[1:] for w in some if w[0] == h]) for h in heads]
-        return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
+        rest = [w for w in some if w]
+        each = [re.escape(h) + branch([w[1:] for w in rest if w[0] == h]) for h in sorted({w[0] for w in rest})]
+        whole = each[0] if len(each) == 1 else f"(?:{'|'.join(each)})" if each else ""
+        return whole if len(rest) == len(some) else f"(?:{whole})?" if rest else ""
 
-    # a term begins where no letter or digit is before it
-    return rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({re.escape(w[0]) for w in words}))}])" + branch(words) if words else "(?!)"
+    # a term begins and ends where no letter or digit is beside it
+    return rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({re.escape(w[0]) for w in words}))}])" + branch(words) + r"(?![\p{L}\p{N}])" if words else "(?!)"
 
 
 def license_scan(docs: DataFrame, path: Column | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, files: tuple[tuple[str, str], ...] = FILES, header_at: float = 0.6, file_at: float = 0.8, id_col: str = "doc_id") -> DataFrame:
@@ -152,10 +151,11 @@ def license_scan(docs: DataFrame, path: Column | None = None, templates: tuple[t
     head, whole = found_by(head), found_by(whole)
     rows = rows.select(id_col, "path", F.when(has(F.col("text"), either), F.col("text")).alias("text"))
     keyed = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
-    hits = keyed.where("text is not null").select("row", "text")
+    # A text's parts stay where the text is dealt to, so that counting needs no other shuffle.
+    hits = keyed.where("text is not null").select("row", "text").repartition("row")
     sentences = F.split(F.regexp_replace(F.regexp_replace("text", SPACE, " "), "([.;!?]) ", "$1\n"), "\n")
-    headers = hits.select("row", F.posexplode(F.concat(F.split("text", "\n"), sentences)).alias("unit", "part")).where(has(F.col("part"), head))
-    units = headers.unionByName(hits.where(has(F.col("text"), whole)).select("row", F.lit(-1).alias("unit"), F.col("text").alias("part")))
+    parts = hits.select("row", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"), sentences)).alias("unit", "part"))
+    units = parts.where(F.when(F.col("unit") == 0, has(F.col("part"), whole)).otherwise(has(F.col("part"), head)))
     counts = units.select("row", "unit", F.explode(terms(F.col("part"))).alias("term")).groupBy("row", "unit", "term").agg((F.log(F.count(F.lit(1))) + 1.0).alias("tf"))
     # A row per term of the templates, which are a parameter: broadcast, and with it the templates' weights.
     side = spark.createDataFrame([(t, idf[t], [w.get(t, 0.0) for w in unit_weights]) for t in idf], "term string, idf double, w array<double>")
@@ -168,7 +168,7 @@ def license_scan(docs: DataFrame, path: Column | None = None, templates: tuple[t
         """The greatest score, and for equal scores the first name."""
         return F.array_max(F.array(*[F.struct(F.round(F.col(f"d{t}") / F.col("norm"), 9).alias("score"), F.lit(-names.index(every[t][0])).alias("k")) for t in of]))
 
-    is_file = F.col("unit") < 0
+    is_file = F.col("unit") == 0
     found = scored.select("row", is_file.alias("file"), F.when(is_file, best(range(len(templates), len(every)))).otherwise(best(range(len(templates)))).alias("b"))
     found = found.select("row", "file", F.col("b.score").alias("score"), F.col("b.k").alias("k")).where(F.when(F.col("file"), F.col("score") >= file_at).otherwise(F.col("score") >= header_at))
     per = found.groupBy("row").agg(F.max(F.when(~F.col("file"), F.struct("score", "k"))).alias("h"), F.max(F.when(F.col("file"), F.struct("score", "k"))).alias("f"))
