@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from .config import PipelineConfig
 from .functions.embedders import list_embedders
@@ -13,22 +14,22 @@ OPTIONS = {
     "--min-shot-sec": ("min_shot_sec", float),
     "--ema-alpha": ("ema_alpha", float),
     "--max-per-segment": ("max_frames_per_segment", int),
-    "--seconds-per-keyframe": ("seconds_per_keyframe", float),
+    "--seconds-per-pick": ("seconds_per_pick", float),
     "--min-spacing-sec": ("min_temporal_spacing_sec", float),
     "--sharpness-weight": ("sharpness_weight", float),
     "--repr-weight": ("representativeness_weight", float),
     "--diversity-threshold": ("diversity_sim_threshold", float),
-    "--min-keyframes": ("min_keyframes", int),
+    "--min-picks": ("min_picks", int),
     "--model": ("model", str),
     "--detail": ("detail", str),
-    "--max-caption-frames": ("max_keyframes", int),
+    "--max-caption-frames": ("max_picks", int),
     "--device": ("device", str),
     "--output-root": ("output_root", str),
 }
 
 
 def build_parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="scenespark", description="Shots and keyframes of ordered frames, on Spark.")
+    top = argparse.ArgumentParser(prog="scenespark", description="Shots and picks of ordered frames, on Spark.")
     commands = top.add_subparsers(dest="command", required=True)
     commands.add_parser("list-embedders", help="names of the registered embedders")
     for name in ("run", "benchmark", "caption-bench"):
@@ -44,11 +45,21 @@ def build_parser() -> argparse.ArgumentParser:
             p.add_argument("--embedders", nargs="+", default=["phash", "hsv"])
         else:
             p.add_argument("--embedder", dest="name", default="phash", choices=list_embedders())
+        if name != "benchmark":
+            p.add_argument("--caller", default=None, help="module:function that is called with a model's name and a prompt")
         if name == "caption-bench":
             p.add_argument("--models", nargs="+", required=True)
     return top
 
 
+def called(spec: str | None):
+    """The function that ``module:function`` names, or None."""
+    if not spec:
+        return None
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def config_of(args: argparse.Namespace) -> PipelineConfig:
     from .plans.pipeline import with_options
 
@@ -62,31 +73,39 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
+    from .config import load_dotenv, resolve_device
     from .operators.captions import compare_models, prompts
     from .plans.pipeline import Pipeline, benchmark
     from .sources import sinks
-    from .sources.frames import frames_from_images
+    from .sources.frames import open_source, sample
+    from .streaming.shots import Progress, restarted, two_sinks
 
+    load_dotenv(".env")
     spark = SparkSession.builder.appName("scenespark").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR" if args.log_level == "ERROR" else "WARN")
     cfg = config_of(args)
+    model = called(getattr(args, "caller", None))
+    pipeline = Pipeline(cfg)
+    label = args.source.rstrip("/").rpartition("/")[2] or "run"
 
-    def frames(embedder: str):
-        if args.source.endswith(".parquet"):
-            return spark.read.parquet(args.source)
-        return frames_from_images(spark, args.source, embedder, cfg.sampler.interval_sec)
+    def frames(embedder: str, realtime: bool = False):
+        return open_source(spark, args.source, realtime, embedder, cfg.sampler.interval_sec, 1, resolve_device(cfg.embedder.device), cfg.embed_max_width)
 
     if args.command == "benchmark":
-        print(sinks.markdown("Embedders", benchmark({n: frames(n) for n in args.embedders}, cfg)))
+        folder = sinks.run_folder(cfg.output_root, "benchmark")
+        print(sinks.write_report(spark, folder, "benchmark", "Embedders", benchmark({n: frames(n) for n in args.embedders}, cfg), "Agreement is of the picks' times with the first embedder's, within 1.5 s."))
     elif args.command == "caption-bench":
-
-        def model(name: str, prompt: str) -> str:
-            raise RuntimeError("no model is configured: call compare_models with one")
-
-        run = Pipeline(cfg).run(frames(args.name))
-        print(sinks.markdown("Models", compare_models(prompts(run.keyframes, cfg.captioner), args.models, model)))
+        if model is None:
+            raise SystemExit("caption-bench needs --caller module:function")
+        run = pipeline.run(sample(frames(args.name), cfg.sampler.interval_sec))
+        folder = sinks.run_folder(cfg.output_root, "caption_bench")
+        print(sinks.write_report(spark, folder, "caption_bench", "Models", compare_models(prompts(run.picks, cfg.captioner), args.models, model).drop("content")))
+    elif args.realtime:
+        folder = sinks.run_folder(cfg.output_root, label)
+        spark.streams.addListener(Progress(lambda event: print(event, flush=True)))
+        rows = pipeline.stream(frames(args.name, True), sample=True)
+        restarted(lambda: two_sinks(rows, f"{folder}/frames", f"{folder}/events", f"{folder}/state").trigger(availableNow=True).start())
+        print(folder)
     else:
-        pipeline = Pipeline(cfg)
-        run = pipeline.run(frames(args.name))
-        print(pipeline.write(run, args.source.rstrip("/").rpartition("/")[2] or "run"))
+        print(pipeline.write(pipeline.run(sample(frames(args.name), cfg.sampler.interval_sec), model), label))
     return 0

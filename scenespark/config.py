@@ -23,19 +23,17 @@ class SegmenterConfig:
 @dataclass(frozen=True)
 class SelectorConfig:
     max_frames_per_segment: int = 3
-    seconds_per_keyframe: float = 8.0
+    seconds_per_pick: float = 8.0
     min_temporal_spacing_sec: float = 1.0
     sharpness_weight: float = 0.45
     representativeness_weight: float = 0.55
     diversity_sim_threshold: float = 0.97
-    min_keyframes: int = 6
+    min_picks: int = 6
 
 
 @dataclass(frozen=True)
 class CaptionerConfig:
-    max_keyframes: int = 24
-    thumb_max_width: int = 512
-    jpeg_quality: int = 80
+    max_picks: int = 24
     detail: str = "low"
     stream_per_segment: bool = True
     segment_max_frames: int = 3
@@ -54,10 +52,7 @@ class EmbedderConfig:
 @dataclass(frozen=True)
 class PipelineConfig:
     output_root: str = "outputs"
-    batch_size: int = 32
-    cache_thumb_width: int = 640
     embed_max_width: int = 640
-    viz_refresh_every: int = 8
     sampler: SamplerConfig = field(default_factory=SamplerConfig)
     segmenter: SegmenterConfig = field(default_factory=SegmenterConfig)
     selector: SelectorConfig = field(default_factory=SelectorConfig)

@@ -114,8 +114,8 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, REGISTRY[n].dim, REGISTRY[n].backend) for n in list_embedders()], "name string, dim int, backend string").orderBy("name")
 
 
-def embed(image: Column, name: str, device: str = "auto") -> Column:
-    """The vector of an image struct (height, width, nChannels, data), in Arrow batches."""
+def embed(image: Column, name: str, device: str = "auto", max_width: int = 0) -> Column:
+    """The vector of an image struct (height, width, nChannels, data), in Arrow batches; wider images are shrunk to ``max_width`` first."""
     build_embedder_here = build_embedder
 
     @F.pandas_udf("array<float>")
@@ -123,6 +123,7 @@ def embed(image: Column, name: str, device: str = "auto") -> Column:
         model = build_embedder_here(name, device)
         for x in batches:
             bgrs = [images.decode(h, w, c, d) for h, w, c, d in zip(x["height"], x["width"], x["nChannels"], x["data"], strict=True)]
+            bgrs = [images.resize_max_width(b, max_width) for b in bgrs] if max_width else bgrs
             yield pd.Series([v.astype(np.float32) for v in model.embed_batch(bgrs)], dtype=object)
 
     return run(F.struct(image["height"].alias("height"), image["width"].alias("width"), image["nChannels"].alias("nChannels"), image["data"].alias("data")))

@@ -48,12 +48,12 @@ def frame_file(index: Column, t: Column) -> Column:
     return F.format_string("f%05d_t%07.2fs.jpg", index, t)
 
 
-def keyframe_file(keyframe: Column, segment: Column, t: Column) -> Column:
-    return F.format_string("kf_%03d_seg%02d_t%07.2fs.jpg", keyframe, segment, t)
+def pick_file(pick: Column, segment: Column, t: Column) -> Column:
+    return F.format_string("kf_%03d_seg%02d_t%07.2fs.jpg", pick, segment, t)
 
 
-def prompt_line(keyframe: Column, of: Column, t: Column, segment: Column) -> Column:
-    return F.format_string("FRAME %d/%d @ t=%.2fs  (segment #%d)", keyframe, of, t, segment)
+def prompt_line(pick: Column, of: Column, t: Column, segment: Column) -> Column:
+    return F.format_string("FRAME %d/%d @ t=%.2fs  (segment #%d)", pick, of, t, segment)
 
 
 def rate(text: Column) -> Column:
@@ -90,7 +90,7 @@ def data_url(image: Column, kind: str = "image/jpeg") -> Column:
 
 
 def target_k(duration: Column, seconds_per: float, most: int) -> Column:
-    """How many keyframes a segment may give."""
+    """How many picks a segment may give."""
     if seconds_per <= 0:
         return F.lit(most)
     return F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(duration / seconds_per))).cast("int")
@@ -109,8 +109,8 @@ def closed_message(segment: Column, end: Column, duration: Column, n: Column) ->
     return F.format_string("Segment #%d closed at t=%.1fs (%.1fs, %d frames)", segment, end, duration, n)
 
 
-def banner(keyframe: Column, segment: Column, t: Column) -> Column:
-    return F.format_string("KF%02d  seg #%d  t=%.1fs", keyframe, segment, t)
+def banner(pick: Column, segment: Column, t: Column) -> Column:
+    return F.format_string("KF%02d  seg #%d  t=%.1fs", pick, segment, t)
 
 
 def rotation_filter(turn: Column) -> Column:

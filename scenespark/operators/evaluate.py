@@ -23,16 +23,21 @@ def running_latency(rows: DataFrame, by: str, order: list[str], x: str) -> DataF
     return rows.withColumn("running_ms", F.avg(x).over(so_far)).withColumn("seen", F.count(F.lit(1)).over(so_far))
 
 
-def run_summary(sampled: DataFrame, keyframes: DataFrame) -> DataFrame:
+def run_summary(sampled: DataFrame, picks: DataFrame) -> DataFrame:
     """Counts per stream; the duration is from the first sample to the last."""
     frames = sampled.groupBy("stream_id").agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("segment_id").alias("segments"), (F.max("timestamp_sec") - F.min("timestamp_sec")).alias("duration_sec"))
-    keys = keyframes.groupBy("stream_id").agg(F.count(F.lit(1)).alias("keyframes"))
-    return frames.join(keys, "stream_id", "left").withColumn("keyframes", F.coalesce("keyframes", F.lit(0)))
+    keys = picks.groupBy("stream_id").agg(F.count(F.lit(1)).alias("picks"))
+    return frames.join(keys, "stream_id", "left").withColumn("picks", F.coalesce("picks", F.lit(0)))
 
 
-def live_counters(sampled: DataFrame) -> DataFrame:
+def live_counters(sampled: DataFrame, picks: DataFrame | None = None) -> DataFrame:
+    """Frames, shots and, with picks, picks up to each frame."""
     so_far = Window.partitionBy("stream_id").orderBy("timestamp_sec", "source_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return sampled.withColumn("frames_so_far", F.count(F.lit(1)).over(so_far)).withColumn("segments_so_far", F.sum(F.col("is_shot_start").cast("long")).over(so_far))
+    out = sampled.withColumn("frames_so_far", F.count(F.lit(1)).over(so_far)).withColumn("segments_so_far", F.sum(F.col("is_shot_start").cast("long")).over(so_far))
+    if picks is None:
+        return out
+    marked = out.join(picks.select("stream_id", "source_idx", F.lit(1).alias("_k")), ["stream_id", "source_idx"], "left")
+    return marked.withColumn("picks_so_far", F.count("_k").over(so_far)).drop("_k")
 
 
 def caption_metrics(rows: DataFrame, model: str, text: str) -> DataFrame:

@@ -9,12 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def values(column: pa.Array) -> list:
+    """A column's values; lists of numbers as slices of one NumPy array."""
+    if not pa.types.is_list(column.type) or not pa.types.is_floating(column.type.value_type) or column.flatten().null_count:
+        return column.to_pylist()
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(column.offsets.to_numpy()) * column.is_valid().to_numpy(zero_copy_only=False))
+    return [flat[a:b] if ok else None for a, b, ok in zip([0, *ends[:-1]], ends, column.is_valid().to_pylist(), strict=True)] if len(column) else []
+
+
 def fold(df: DataFrame, by: list[str], order: list, needs: list[str], init: Callable, step: Callable, adds: str) -> DataFrame:
     """Add columns that ``step(state, *needs)`` returns, row by row in order, for each key.
 
@@ -27,7 +36,7 @@ def fold(df: DataFrame, by: list[str], order: list, needs: list[str], init: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in [*by, *needs]]
+            columns = [values(batch.column(c)) for c in [*by, *needs]]
             out = []
             for row in zip(*columns, strict=True):
                 if key is None or row[: len(by)] != key:

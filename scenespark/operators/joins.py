@@ -1,20 +1,21 @@
-"""Joins of frames and keyframes: by rounded time, nearest in time, and one to one within a tolerance."""
+"""Joins of frames and picks: by rounded time, nearest in time, and one to one within a tolerance."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mark_keyframes(frames: DataFrame, keyframes: DataFrame) -> DataFrame:
-    """All frames, with the keyframe at the same time to three places, or null."""
-    k = keyframes.select("stream_id", F.bround("timestamp_sec", 3).alias("_t"), "keyframe_id")
+def mark_picks(frames: DataFrame, picks: DataFrame) -> DataFrame:
+    """All frames, with the pick at the same time to three places, or null."""
+    k = picks.select("stream_id", F.bround("timestamp_sec", 3).alias("_t"), "pick_id")
     return frames.withColumn("_t", F.bround("timestamp_sec", 3)).join(k, ["stream_id", "_t"], "left").drop("_t")
 
 
-def only_keyframes(frames: DataFrame, keyframes: DataFrame) -> DataFrame:
-    k = keyframes.select("stream_id", F.bround("timestamp_sec", 3).alias("_t"))
+def only_picks(frames: DataFrame, picks: DataFrame) -> DataFrame:
+    k = picks.select("stream_id", F.bround("timestamp_sec", 3).alias("_t"))
     return frames.withColumn("_t", F.bround("timestamp_sec", 3)).join(k, ["stream_id", "_t"], "left_semi").drop("_t")
 
 
@@ -37,28 +38,43 @@ def nearest(frames: DataFrame, points: DataFrame, key: str = "stream_id") -> Dat
     return both.select(key, "point", "t", first.alias("f")).select(key, "point", "t", F.col("f.t").alias("frame_t"), F.col("f.source_idx").alias("source_idx"))
 
 
+def matches(a, b, tolerance: float) -> int:
+    """Times of ``a``, in order, that find a free time of ``b``; only those within the tolerance are looked at."""
+    times = np.sort(np.asarray(b, np.float64))
+    free, n = np.ones(len(times), bool), 0
+    reach = tolerance + 1e-9
+    for t in a:
+        lo, hi = np.searchsorted(times, (t - reach, t + reach + 1e-9))
+        band = np.flatnonzero(free[lo:hi]) + lo
+        if len(band):
+            off = np.abs(times[band] - t)
+            near = band[len(band) - 1 - int(off[::-1].argmin())]
+            if abs(times[near] - t) <= reach:
+                free[near] = False
+                n += 1
+    return n
+
+
 def match_one_to_one(pairs: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     """How many times of list ``a`` find a time of list ``b`` of their own within ``tolerance``.
 
     ``pairs``: the keys, and arrays a and b in order. Each a in turn takes the nearest b that is
     free, the last of equally near ones. Columns matched, n_a, n_b, jaccard (both empty: 1).
     """
+
     @F.pandas_udf("long")
     def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            free, n = list(y), 0
-            for t in x:
-                best, at = tolerance + 1e-9, -1
-                for k, u in enumerate(free):
-                    if u is not None and abs(u - t) <= best:
-                        best, at = abs(u - t), k
-                if at >= 0:
-                    free[at] = None
-                    n += 1
-            out.append(n)
-        return pd.Series(out, dtype="int64")
+        return pd.Series([matches(x, y, tolerance) for x, y in zip(a, b, strict=True)], dtype="int64")
 
     rows = pairs.select(*by, count("a", "b").alias("matched"), F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
     either = F.col("n_a") + F.col("n_b") - F.col("matched")
     return rows.withColumn("jaccard", F.when(either == 0, F.lit(1.0)).otherwise(F.col("matched") / either))
+
+
+def with_images(picks: DataFrame, images: DataFrame) -> DataFrame:
+    """Picks with the bytes of the image that ``bgr_path`` names, or null where it cannot be read.
+
+    images: (path, content), as the binaryFile source gives them.
+    """
+    own = images.select(F.regexp_replace("path", "^file:/+", "/").alias("_p"), F.col("content").alias("image"))
+    return picks.withColumn("_p", F.regexp_replace("bgr_path", "^file:/+", "/")).join(own, "_p", "left").drop("_p")

@@ -1,4 +1,4 @@
-"""Keyframes: scores within shots, well-spaced picks, and diversity across a stream."""
+"""Chosen frames: scores within shots, well-spaced picks, and diversity across a stream."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from ..config import SelectorConfig
 from ..functions.text import target_k
-from ..functions.vectors import cosine, np_cosine, zscore
+from ..functions.vectors import cosine, zscore
 from .folds import fold
-from .segment import segment_rollup
 
 SHOT = ["stream_id", "segment_id"]
 
@@ -36,7 +35,11 @@ def frame_scores(sampled: DataFrame, cfg: SelectorConfig = SelectorConfig()) ->
 
 def pick_spaced(scored: DataFrame, cfg: SelectorConfig = SelectorConfig()) -> DataFrame:
     """The frames of each shot that are taken in rank order, none too close to one taken before."""
-    shots = segment_rollup(scored).select(*SHOT, target_k(F.col("duration_sec"), cfg.seconds_per_keyframe, cfg.max_frames_per_segment).alias("k"))
+    stream, shot = Window.partitionBy("stream_id").orderBy("segment_id"), Window.partitionBy(*SHOT)
+    # Shots are numbered without gaps: the next number's first frame ends a shot, the last ends at its own.
+    begin, end = F.min("timestamp_sec").over(shot), F.max("timestamp_sec").over(shot)
+    rows = scored.withColumn("_begin", begin).withColumn("_end", F.coalesce(F.min("timestamp_sec").over(stream.rangeBetween(1, 1)), end))
+    rows = rows.withColumn("k", target_k(F.greatest(F.col("_end") - F.col("_begin"), F.lit(0.0)), cfg.seconds_per_pick, cfg.max_frames_per_segment)).drop("_begin", "_end")
     space = cfg.min_temporal_spacing_sec
 
     def step(taken: list, t: float, k: int) -> tuple[bool]:
@@ -45,7 +48,25 @@ def pick_spaced(scored: DataFrame, cfg: SelectorConfig = SelectorConfig()) -> Da
             taken.append(t)
         return (ok,)
 
-    return fold(scored.join(shots, SHOT), SHOT, ["rank_in_segment"], ["timestamp_sec", "k"], list, step, "picked boolean").where("picked").drop("picked", "k")
+    return fold(rows, SHOT, ["rank_in_segment"], ["timestamp_sec", "k"], list, step, "picked boolean").where("picked").drop("picked", "k")
+
+
+class Kept:
+    """Unit vectors kept so far, as rows of one matrix that grows by doubling."""
+
+    def __init__(self) -> None:
+        self.rows, self.n = np.zeros((0, 0)), 0
+
+    def most_like(self, x: np.ndarray) -> float:
+        return float((self.rows[: self.n] @ x).max()) if self.n else -np.inf
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n == len(self.rows):
+            rows = np.zeros((max(16, 2 * self.n), len(x)))
+            rows[: self.n] = self.rows[: self.n] if self.n else 0
+            self.rows = rows
+        self.rows[self.n] = x
+        self.n += 1
 
 
 def diversity(candidates: DataFrame, cfg: SelectorConfig = SelectorConfig(), score: str = "composite_score") -> DataFrame:
@@ -56,28 +77,33 @@ def diversity(candidates: DataFrame, cfg: SelectorConfig = SelectorConfig(), sco
     if cfg.diversity_sim_threshold >= 1:
         return candidates
 
-    def step(kept: list, e) -> tuple[bool]:
+    def step(kept: Kept, e) -> tuple[bool]:
         if e is None:
             return (True,)
         x = np.asarray(e, np.float64)
-        ok = not any(np_cosine(x, y) > cfg.diversity_sim_threshold for y in kept)
+        size = np.sqrt(x @ x)
+        x = x / size if size else x
+        ok = not kept.most_like(x) > cfg.diversity_sim_threshold
         if ok:
-            kept.append(x)
+            kept.add(x)
         return (ok,)
 
     order = [F.desc(score), F.col("segment_id"), F.col("timestamp_sec"), F.col("source_idx")]
-    judged = fold(candidates, ["stream_id"], order, ["embedding"], list, step, "kept boolean")
+    judged = fold(candidates, ["stream_id"], order, ["embedding"], Kept, step, "kept boolean")
     stream = Window.partitionBy("stream_id")
     judged = judged.withColumn("_n", F.sum(F.col("kept").cast("int")).over(stream)).withColumn("_d", F.row_number().over(Window.partitionBy("stream_id", "kept").orderBy(*order)))
-    return judged.where(F.col("kept") | (F.col("_d") <= cfg.min_keyframes - F.col("_n"))).drop("kept", "_n", "_d")
+    return judged.where(F.col("kept") | (F.col("_d") <= cfg.min_picks - F.col("_n"))).drop("kept", "_n", "_d")
 
 
-def number_keyframes(rows: DataFrame, start: int = 1) -> DataFrame:
+def number_picks(rows: DataFrame, start: int = 1) -> DataFrame:
     order = Window.partitionBy("stream_id").orderBy("timestamp_sec", "source_idx")
-    return rows.withColumn("keyframe_id", (F.row_number().over(order) + (start - 1)).cast("int"))
+    return rows.withColumn("pick_id", (F.row_number().over(order) + (start - 1)).cast("int"))
+
 
+def select_picks(sampled: DataFrame, cfg: SelectorConfig = SelectorConfig(), diverse: bool = True) -> DataFrame:
+    """All picks of segmented frames, which are read twice: ``store.written`` spares folding them again.
 
-def select_keyframes(sampled: DataFrame, cfg: SelectorConfig = SelectorConfig(), diverse: bool = True) -> DataFrame:
-    """All keyframes of segmented frames. Without ``diverse``: what is known while a stream runs."""
+    Without ``diverse``: what is known while a stream runs.
+    """
     picks = pick_spaced(frame_scores(sampled, cfg), cfg)
-    return number_keyframes(diversity(picks, cfg) if diverse else picks)
+    return number_picks(diversity(picks, cfg) if diverse else picks)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import banner, colour, tick
-from .joins import mark_keyframes
+from .joins import mark_picks
 from .segment import segment_from_flags
 
 
@@ -16,10 +16,10 @@ def timeline(sampled: DataFrame) -> DataFrame:
     return rows.withColumn("hue", colour(F.col("segment_from_flags")).cast("int"))
 
 
-def similarity_curve(sampled: DataFrame, keyframes: DataFrame, threshold: float) -> DataFrame:
-    """The curve's points, held between 0.5 and 1, with what lies below the threshold and what is a keyframe."""
-    rows = mark_keyframes(sampled, keyframes)
-    return rows.withColumn("y", F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.col("sim_to_shot_mean")))).withColumn("below", F.col("sim_to_shot_mean") < threshold).withColumn("is_keyframe", F.col("keyframe_id").isNotNull())
+def similarity_curve(sampled: DataFrame, picks: DataFrame, threshold: float) -> DataFrame:
+    """The curve's points, held between 0.5 and 1, with what lies below the threshold and what is a pick."""
+    rows = mark_picks(sampled, picks)
+    return rows.withColumn("y", F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.col("sim_to_shot_mean")))).withColumn("below", F.col("sim_to_shot_mean") < threshold).withColumn("is_pick", F.col("pick_id").isNotNull())
 
 
 def film_strip(frames: DataFrame, max_width: int = 4000, cell_width: int = 120, max_rows: int = 8) -> DataFrame:
@@ -31,10 +31,10 @@ def film_strip(frames: DataFrame, max_width: int = 4000, cell_width: int = 120,
     return rows.withColumn("strip_row", F.floor(F.col("analyzed_idx") / F.col("per_row")).cast("int")).withColumn("strip_col", (F.col("analyzed_idx") % F.col("per_row")).cast("int"))
 
 
-def contact_sheet(keyframes: DataFrame, cols: int = 5) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("stream_id").orderBy("keyframe_id")) - 1
-    rows = keyframes.withColumn("sheet_row", F.floor(i / cols).cast("int")).withColumn("sheet_col", (i % cols).cast("int"))
-    return rows.withColumn("banner", banner(F.col("keyframe_id"), F.col("segment_id"), F.col("timestamp_sec")))
+def contact_sheet(picks: DataFrame, cols: int = 5) -> DataFrame:
+    i = F.row_number().over(Window.partitionBy("stream_id").orderBy("pick_id")) - 1
+    rows = picks.withColumn("sheet_row", F.floor(i / cols).cast("int")).withColumn("sheet_col", (i % cols).cast("int"))
+    return rows.withColumn("banner", banner(F.col("pick_id"), F.col("segment_id"), F.col("timestamp_sec")))
 
 
 def labels(frames: DataFrame, ticks: int = 8) -> DataFrame:

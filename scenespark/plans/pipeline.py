@@ -1,4 +1,4 @@
-"""The whole run: frames to shots to keyframes, as one plan or as a stream."""
+"""The whole run: frames to shots to picks, as one plan or as a stream."""
 
 from __future__ import annotations
 
@@ -9,60 +9,94 @@ from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..operators import evaluate, joins
-from ..operators.captions import caption, prompts
-from ..operators.segment import segment_frames, segment_rollup
-from ..operators.select import select_keyframes
+from ..operators.captions import caption, caption_shots, prompts
+from ..operators.segment import event_log, segment_frames, segment_rollup
+from ..operators.select import select_picks
 from ..sources import sinks
 from ..sources.frames import greedy_sample
+from ..store import write_text, written
 from ..streaming.shots import stream_shots
 
 
 @dataclass
 class Run:
-    """The tables of a run; each is a plan until it is read."""
+    """The tables of a run; ``sampled`` is written once, the others are plans until they are read."""
 
     sampled: DataFrame
     segments: DataFrame
-    keyframes: DataFrame
+    picks: DataFrame
     summary: DataFrame
     captions: DataFrame
+    shot_captions: DataFrame
 
 
 class Pipeline:
     def __init__(self, cfg: PipelineConfig = PipelineConfig()):
         self.cfg = cfg
 
-    def run(self, frames: DataFrame, model=None, sample: bool = False) -> Run:
-        """Frames with embeddings and sharpness; ``sample`` first thins them out by time."""
+    def run(self, frames: DataFrame, model=None, sample: bool = False, images: DataFrame | None = None) -> Run:
+        """Frames with embeddings and sharpness; ``sample`` first thins them out by time; images: (path, content) for captions."""
         rows = greedy_sample(frames, self.cfg.sampler.interval_sec) if sample else frames
-        sampled = segment_frames(rows, self.cfg.segmenter)
-        keyframes = select_keyframes(sampled, self.cfg.selector)
-        return Run(sampled, segment_rollup(sampled), keyframes, evaluate.run_summary(sampled, keyframes), caption(prompts(keyframes, self.cfg.captioner), model, self.cfg.captioner))
+        sampled = written(segment_frames(rows, self.cfg.segmenter))
+        segments = segment_rollup(sampled)
+        picks = select_picks(sampled, self.cfg.selector)
+        seen = picks if images is None else joins.with_images(picks, images)
+        captions = caption(prompts(seen, self.cfg.captioner), model, self.cfg.captioner)
+        return Run(sampled, segments, picks, evaluate.run_summary(sampled, picks), captions, caption_shots(seen, segments, model, self.cfg.captioner))
 
-    def stream(self, frames: DataFrame, sample: bool = False) -> DataFrame:
-        return stream_shots(frames, self.cfg.segmenter, self.cfg.sampler.interval_sec if sample else 0.0)
+    def stream(self, frames: DataFrame, sample: bool = False, idle_sec: float = 0.0) -> DataFrame:
+        return stream_shots(frames, self.cfg.segmenter, self.cfg.sampler.interval_sec if sample else 0.0, idle_sec)
 
     def write(self, run: Run, label: str) -> str:
-        folder = sinks.run_folder(self.cfg.output_root, label)
-        sinks.write_tables(folder, run.sampled, run.segments, run.keyframes)
-        sinks.write_json(folder, "config.json", asdict(self.cfg))
-        sinks.write_json(folder, "summary.json", {"streams": [r.asDict() for r in run.summary.collect()]})
+        """Tables, documents and, where frames name image files, copies of the picked ones; the folder."""
+        spark, cfg = run.sampled.sparkSession, self.cfg
+        folder = sinks.run_folder(cfg.output_root, label)
+        picks, captions, shot_captions = written(run.picks), written(run.captions.drop("content")), written(run.shot_captions.drop("content"))
+        sinks.write_tables(folder, run.sampled, run.segments, picks)
+        sinks.write_events(event_log(run.sampled), f"{folder}/events.jsonl")
+        sinks.write_json(spark, folder, "config.json", asdict(cfg))
+        sinks.write_json(spark, folder, "summary.json", {"streams": [r.asDict() for r in run.summary.limit(1000).collect()]})
+        write_text(spark, f"{folder}/caption.md", sinks.caption_document(captions, label, cfg.embedder.name))
+        write_text(spark, f"{folder}/segments.md", sinks.shot_captions_document(shot_captions))
+        write_text(spark, f"{folder}/README.md", sinks.run_readme(folder, cfg, run.summary, run.segments, picks, captions))
+        if "bgr_path" in picks.columns:
+            sinks.copy_images(picks, folder, picked=True)
         return folder
 
 
-def benchmark(frames_by: dict[str, DataFrame], cfg: PipelineConfig = PipelineConfig(), tolerance: float = 1.5) -> DataFrame:
-    """A row per embedder and stream: counts, and agreement of its keyframes' times with the first embedder's."""
-    every = None
-    for name, frames in frames_by.items():
-        sampled = segment_frames(frames, cfg.segmenter)
-        keys = select_keyframes(sampled, cfg.selector)
-        part = evaluate.run_summary(sampled, keys).join(keys.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.bround("timestamp_sec", 3))).alias("times")), "stream_id", "left").withColumn("embedder", F.lit(name))
-        every = part if every is None else every.unionByName(part)
+def compare(runs: DataFrame, tolerance: float = 1.5) -> DataFrame:
+    """runs: (run, stream_id, timestamp_sec) of picks. Each run's agreement with the first by name, stream by stream."""
+    times = runs.groupBy("run", "stream_id").agg(F.array_sort(F.collect_list(F.bround("timestamp_sec", 3))).alias("times"))
+    first = runs.agg(F.min("run").alias("r")).first()["r"]
+    base = times.where(F.col("run") == F.lit(first)).select("stream_id", F.col("times").alias("a"))
     none = F.array().cast("array<double>")
-    first = every.where(F.col("embedder") == next(iter(frames_by))).select("stream_id", F.coalesce("times", none).alias("a"))
-    both = every.join(first, "stream_id").withColumn("b", F.coalesce("times", none))
+    both = times.join(base, "stream_id", "left").select("run", "stream_id", F.coalesce("a", none).alias("a"), F.col("times").alias("b"))
+    return joins.match_one_to_one(both, ["run", "stream_id"], tolerance).withColumn("jaccard", F.bround("jaccard", 3))
+
+
+def benchmark(frames: DataFrame | dict[str, DataFrame], cfg: PipelineConfig = PipelineConfig(), tolerance: float = 1.5, first: str | None = None) -> DataFrame:
+    """A row per embedder and stream: counts, and agreement of its picks' times with the first embedder's.
+
+    frames: one table with a column ``embedder``, or a table for each name. All go through one plan, in
+    which a stream is an embedder's stream.
+    """
+    if isinstance(frames, dict):
+        first = first or next(iter(frames))
+        parts = [f.withColumn("embedder", F.lit(n)) for n, f in frames.items()]
+        frames = parts[0]
+        for part in parts[1:]:
+            frames = frames.unionByName(part, allowMissingColumns=True)
+    own = F.struct("embedder", "stream_id").alias("stream_id")
+    sampled = written(segment_frames(frames.select(own, *[c for c in frames.columns if c not in ("embedder", "stream_id")]), cfg.segmenter))
+    keys = written(select_picks(sampled, cfg.selector))
+    rows = evaluate.run_summary(sampled, keys).select("stream_id.embedder", "stream_id.stream_id", "frames", "segments", "picks", "duration_sec")
+    first = first or rows.agg(F.min("embedder")).first()[0]
+    times = keys.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.bround("timestamp_sec", 3))).alias("times")).select("stream_id.embedder", "stream_id.stream_id", "times")
+    none = F.array().cast("array<double>")
+    base = times.where(F.col("embedder") == F.lit(first)).select("stream_id", F.col("times").alias("a"))
+    both = rows.select("embedder", "stream_id").join(times, ["embedder", "stream_id"], "left").join(base, "stream_id", "left").select("embedder", "stream_id", F.coalesce("a", none).alias("a"), F.coalesce("times", none).alias("b"))
     agree = joins.match_one_to_one(both, ["embedder", "stream_id"], tolerance).select("embedder", "stream_id", F.bround("jaccard", 3).alias("jaccard"))
-    return every.drop("times").join(agree, ["embedder", "stream_id"])
+    return rows.join(agree, ["embedder", "stream_id"])
 
 
 def with_options(cfg: PipelineConfig, **options) -> PipelineConfig:

@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CaptionerConfig, SegmenterConfig, SelectorConfig
+from ..config import CaptionerConfig, PipelineConfig, SegmenterConfig, SelectorConfig
 from ..functions import embedders, text, vectors
 from ..operators import captions, evaluate, joins, segment, select, visuals
+from ..schema import SEGMENT
 from ..sources import frames as src
+from ..sources import sinks
+from ..store import fresh_path, written
 from ..streaming import shots
 
 # Thresholds at which the test vectors, which are nearly random, give shots and near copies.
 SEG = SegmenterConfig(sim_threshold=0.05, min_shot_sec=2.0, ema_alpha=0.25)
-SEL = SelectorConfig(max_frames_per_segment=3, seconds_per_keyframe=3.0, min_temporal_spacing_sec=1.5, diversity_sim_threshold=0.2, min_keyframes=6)
-FLOOR = SelectorConfig(max_frames_per_segment=3, seconds_per_keyframe=3.0, min_temporal_spacing_sec=1.5, diversity_sim_threshold=0.0, min_keyframes=12)
+SEL = SelectorConfig(max_frames_per_segment=3, seconds_per_pick=3.0, min_temporal_spacing_sec=1.5, diversity_sim_threshold=0.2, min_picks=6)
+FLOOR = SelectorConfig(max_frames_per_segment=3, seconds_per_pick=3.0, min_temporal_spacing_sec=1.5, diversity_sim_threshold=0.0, min_picks=12)
 GAP = 21600.0
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,8 +49,8 @@ def shotted(spark, d, cfg: SegmenterConfig = SEG) -> DataFrame:
 
 
 def keyed(spark, d, cfg: SelectorConfig = SEL) -> tuple[DataFrame, DataFrame]:
-    s = shotted(spark, d)
-    return s, select.select_keyframes(s, cfg)
+    s = written(shotted(spark, d))
+    return s, select.select_picks(s, cfg)
 
 
 def ev(spark, d) -> DataFrame:
@@ -80,7 +83,7 @@ cand AS (SELECT rk.*,row_number() OVER (PARTITION BY rk.stream_id ORDER BY comp
 def kf_(thr: float, floor: int) -> str:
     return f"""d AS (SELECT stream_id,dr,true keep,[e] kept FROM cand WHERE dr=1 UNION ALL SELECT c.stream_id,c.dr,ok,CASE WHEN ok THEN list_append(d.kept,c.e) ELSE d.kept END FROM d JOIN cand c ON c.stream_id=d.stream_id AND c.dr=d.dr+1, LATERAL (SELECT len(list_filter(d.kept, lambda q: list_cosine_similarity(q,c.e)>{thr}))=0 AS ok)),
 fl AS (SELECT cand.*,d.keep,sum(d.keep::INT) OVER (PARTITION BY cand.stream_id) nk,row_number() OVER (PARTITION BY cand.stream_id,d.keep ORDER BY cand.dr) dn FROM cand JOIN d USING(stream_id,dr)),
-kf AS (SELECT *,row_number() OVER (PARTITION BY stream_id ORDER BY t)::INT keyframe_id FROM fl WHERE keep OR dn<={floor}-nk)"""
+kf AS (SELECT *,row_number() OVER (PARTITION BY stream_id ORDER BY t)::INT pick_id FROM fl WHERE keep OR dn<={floor}-nk)"""
 
 
 W = "WITH RECURSIVE "
@@ -188,7 +191,7 @@ def closed_messages(spark, d):
     return rows.select("stream_id", "segment_id", text.closed_message(F.col("segment_id"), F.col("end_sec"), F.col("duration_sec"), F.col("num_frames")).alias("message"))
 
 
-# --- keyframes --------------------------------------------------------------------------------------
+# --- picks --------------------------------------------------------------------------------------
 @query(f"{TO_SEG}, {CE_} SELECT fr.stream_id,vec_id source_idx,fr.sid::INT segment_id,round(list_cosine_similarity(e,c),6) repr FROM fr JOIN ce USING(stream_id,sid)")
 def segment_centroid_repr(spark, d):
     s = shotted(spark, d)
@@ -208,48 +211,48 @@ def target_k(spark, d):
 
 
 @query(f"{TO_CAND} SELECT stream_id,vec_id source_idx,sid::INT segment_id,(rn-1)::INT rank_in_segment,comp FROM cand")
-def keyframes_per_segment(spark, d):
+def picks_per_segment(spark, d):
     rows = select.pick_spaced(select.frame_scores(shotted(spark, d), SEL), SEL)
     return rows.select("stream_id", "source_idx", "segment_id", "rank_in_segment", F.col("composite_score").alias("comp"))
 
 
-KF_OUT = "SELECT stream_id,keyframe_id,sid::INT segment_id,vec_id source_idx,t timestamp_sec,(rn-1)::INT rank_in_segment,round(comp,6) comp,round(repr,6) repr FROM kf"
+KF_OUT = "SELECT stream_id,pick_id,sid::INT segment_id,vec_id source_idx,t timestamp_sec,(rn-1)::INT rank_in_segment,round(comp,6) comp,round(repr,6) repr FROM kf"
 
 
 def kf_out(df: DataFrame) -> DataFrame:
-    return df.select("stream_id", "keyframe_id", "segment_id", "source_idx", "timestamp_sec", "rank_in_segment", F.round("composite_score", 6).alias("comp"), F.round("representativeness", 6).alias("repr"))
+    return df.select("stream_id", "pick_id", "segment_id", "source_idx", "timestamp_sec", "rank_in_segment", F.round("composite_score", 6).alias("comp"), F.round("representativeness", 6).alias("repr"))
 
 
 @query(f"{TO_KF} {KF_OUT}")
-def keyframes_final(spark, d):
+def picks_final(spark, d):
     return kf_out(keyed(spark, d)[1])
 
 
 @query(", ".join([TO_CAND, kf_(0.0, 12)]) + f" {KF_OUT}")
-def keyframes_floor(spark, d):
+def picks_floor(spark, d):
     return kf_out(keyed(spark, d, FLOOR)[1])
 
 
-@query(f"{TO_CAND} SELECT stream_id,row_number() OVER (PARTITION BY stream_id ORDER BY t)::INT keyframe_id,sid::INT segment_id,vec_id source_idx FROM cand")
-def keyframes_partial(spark, d):
-    return select.select_keyframes(shotted(spark, d), SEL, diverse=False).select("stream_id", "keyframe_id", "segment_id", "source_idx")
+@query(f"{TO_CAND} SELECT stream_id,row_number() OVER (PARTITION BY stream_id ORDER BY t)::INT pick_id,sid::INT segment_id,vec_id source_idx FROM cand")
+def picks_partial(spark, d):
+    return select.select_picks(written(shotted(spark, d)), SEL, diverse=False).select("stream_id", "pick_id", "segment_id", "source_idx")
 
 
 @query(f"""{W}{F_}, cand AS (SELECT *,0 sid,t comp,row_number() OVER (PARTITION BY stream_id ORDER BY t DESC) dr FROM f), {kf_(0.25, 0)} SELECT stream_id,vec_id source_idx FROM kf""")
 def diversity_topscore(spark, d):
     rows = emb(spark, d).withColumn("segment_id", F.lit(0)).withColumn("score", F.col("timestamp_sec"))
-    return select.diversity(rows, SelectorConfig(diversity_sim_threshold=0.25, min_keyframes=0), "score").select("stream_id", "source_idx")
+    return select.diversity(rows, SelectorConfig(diversity_sim_threshold=0.25, min_picks=0), "score").select("stream_id", "source_idx")
 
 
 # --- joins ------------------------------------------------------------------------------------------
-@query(f"{TO_KF} SELECT fr.stream_id,fr.vec_id source_idx,coalesce(kf.keyframe_id,0) keyframe_id FROM fr LEFT JOIN kf ON kf.stream_id=fr.stream_id AND round(kf.t,3)=round(fr.t,3)")
-def keyframe_frame_join(spark, d):
-    return joins.mark_keyframes(*keyed(spark, d)).select("stream_id", "source_idx", F.coalesce("keyframe_id", F.lit(0)).alias("keyframe_id"))
+@query(f"{TO_KF} SELECT fr.stream_id,fr.vec_id source_idx,coalesce(kf.pick_id,0) pick_id FROM fr LEFT JOIN kf ON kf.stream_id=fr.stream_id AND round(kf.t,3)=round(fr.t,3)")
+def pick_frame_join(spark, d):
+    return joins.mark_picks(*keyed(spark, d)).select("stream_id", "source_idx", F.coalesce("pick_id", F.lit(0)).alias("pick_id"))
 
 
 @query(f"{TO_KF} SELECT fr.stream_id,fr.vec_id source_idx FROM fr SEMI JOIN kf ON kf.stream_id=fr.stream_id AND round(kf.t,3)=round(fr.t,3)")
-def keyframe_semi(spark, d):
-    return joins.only_keyframes(*keyed(spark, d)).select("stream_id", "source_idx")
+def pick_semi(spark, d):
+    return joins.only_picks(*keyed(spark, d)).select("stream_id", "source_idx")
 
 
 @query(f"""WITH {EV_}, q AS (SELECT stream_id,event_id point,t+5000.5 t FROM v WHERE event_type='click'), z AS (SELECT q.stream_id,q.point,v.event_id source_idx,row_number() OVER (PARTITION BY q.point ORDER BY abs(v.t-q.t),v.t,v.event_id) rn FROM q JOIN v USING(stream_id)) SELECT stream_id,point,source_idx FROM z WHERE rn=1""")
@@ -271,10 +274,10 @@ def tolerance_jaccard(spark, d):
 
 
 # --- visual data ------------------------------------------------------------------------------------
-@query(f"{TO_KF} SELECT fr.stream_id,fr.vec_id source_idx,round(greatest(0.5,least(1.0,fr.sim)),6) y,fr.sim<0.05 below,kf.keyframe_id IS NOT NULL is_keyframe FROM fr LEFT JOIN kf ON kf.stream_id=fr.stream_id AND kf.t=fr.t")
+@query(f"{TO_KF} SELECT fr.stream_id,fr.vec_id source_idx,round(greatest(0.5,least(1.0,fr.sim)),6) y,fr.sim<0.05 below,kf.pick_id IS NOT NULL is_pick FROM fr LEFT JOIN kf ON kf.stream_id=fr.stream_id AND kf.t=fr.t")
 def similarity_curve(spark, d):
     s, k = keyed(spark, d)
-    return visuals.similarity_curve(s, k, 0.05).select("stream_id", "source_idx", r6("y"), "below", "is_keyframe")
+    return visuals.similarity_curve(s, k, 0.05).select("stream_id", "source_idx", r6("y"), "below", "is_pick")
 
 
 @query(f"WITH {F_}, c AS (SELECT *,count(*) OVER (PARTITION BY stream_id) n FROM f), p AS (SELECT *,(CASE WHEN ceil(n/10)>4 THEN ceil(n/4) ELSE 10 END)::INT per FROM c) SELECT stream_id,vec_id source_idx,floor(t/per)::INT strip_row,(t::INT%per)::INT strip_col FROM p")
@@ -282,9 +285,9 @@ def film_strip(spark, d):
     return visuals.film_strip(emb(spark, d), 1000, 100, 4).select("stream_id", "source_idx", "strip_row", "strip_col")
 
 
-@query(f"{TO_KF} SELECT stream_id,keyframe_id,((keyframe_id-1)//5)::INT sheet_row,((keyframe_id-1)%5)::INT sheet_col,printf('KF%02d  seg #%d  t=%.1fs',keyframe_id,sid,t) banner FROM kf")
+@query(f"{TO_KF} SELECT stream_id,pick_id,((pick_id-1)//5)::INT sheet_row,((pick_id-1)%5)::INT sheet_col,printf('KF%02d  seg #%d  t=%.1fs',pick_id,sid,t) banner FROM kf")
 def contact_sheet(spark, d):
-    return visuals.contact_sheet(keyed(spark, d)[1]).select("stream_id", "keyframe_id", "sheet_row", "sheet_col", "banner")
+    return visuals.contact_sheet(keyed(spark, d)[1]).select("stream_id", "pick_id", "sheet_row", "sheet_col", "banner")
 
 
 @query(f"WITH {F_}, n AS (SELECT stream_id,count(*) n,least(8,count(*)) k FROM f GROUP BY 1) SELECT stream_id,i::INT label,floor(i*(n-1)/greatest(k-1,1))::INT analyzed_idx FROM (SELECT *,unnest(range(0,k)) i FROM n)")
@@ -303,7 +306,7 @@ def running_latency(spark, d):
     return evaluate.running_latency(ev(spark, d), "stream_id", ["timestamp_sec", "source_idx"], "sharpness").select("stream_id", "source_idx", F.round("running_ms", 9).alias("running_ms"), "seen")
 
 
-@query(f"{TO_KF} SELECT x.*,y.keyframes FROM (SELECT stream_id,count(*) frames,count(DISTINCT sid) segments,max(t)-min(t) duration_sec FROM fr GROUP BY 1) x JOIN (SELECT stream_id,count(*) keyframes FROM kf GROUP BY 1) y USING(stream_id)")
+@query(f"{TO_KF} SELECT x.*,y.picks FROM (SELECT stream_id,count(*) frames,count(DISTINCT sid) segments,max(t)-min(t) duration_sec FROM fr GROUP BY 1) x JOIN (SELECT stream_id,count(*) picks FROM kf GROUP BY 1) y USING(stream_id)")
 def run_summary(spark, d):
     return evaluate.run_summary(*keyed(spark, d))
 
@@ -326,19 +329,19 @@ def status_tail(spark, d):
 
 # --- captions -----------------------------------------------------------------------------------------
 @query(f"""{TO_KF}, c AS (SELECT *,count(*) OVER (PARTITION BY stream_id) cnt FROM kf), i AS (SELECT DISTINCT stream_id,round_even(x*(cnt-1)/4.0::DOUBLE,0)::BIGINT k FROM (SELECT stream_id,cnt,unnest(range(0,5)) x FROM (SELECT DISTINCT stream_id,cnt FROM c))),
-z AS (SELECT c.* FROM c LEFT JOIN i ON i.stream_id=c.stream_id AND i.k=c.keyframe_id-1 WHERE c.cnt<=5 OR i.k IS NOT NULL) SELECT stream_id,keyframe_id,count(*) OVER (PARTITION BY stream_id) "of" FROM z""")
+z AS (SELECT c.* FROM c LEFT JOIN i ON i.stream_id=c.stream_id AND i.k=c.pick_id-1 WHERE c.cnt<=5 OR i.k IS NOT NULL) SELECT stream_id,pick_id,count(*) OVER (PARTITION BY stream_id) "of" FROM z""")
 def caption_subset(spark, d):
-    return captions.cap_subset(keyed(spark, d)[1], 5).select("stream_id", "keyframe_id", "of")
+    return captions.cap_subset(keyed(spark, d)[1], 5).select("stream_id", "pick_id", "of")
 
 
-@query(f"{TO_KF}, b AS (SELECT *,row_number() OVER (PARTITION BY stream_id,sid ORDER BY comp DESC,t) r FROM kf) SELECT stream_id,sid::INT segment_id,keyframe_id,(row_number() OVER (PARTITION BY stream_id,sid ORDER BY t)-1)::INT place FROM b WHERE r<=2")
+@query(f"{TO_KF}, b AS (SELECT *,row_number() OVER (PARTITION BY stream_id,sid ORDER BY comp DESC,t) r FROM kf) SELECT stream_id,sid::INT segment_id,pick_id,(row_number() OVER (PARTITION BY stream_id,sid ORDER BY t)-1)::INT place FROM b WHERE r<=2")
 def shot_subset(spark, d):
-    return captions.shot_subset(keyed(spark, d)[1], 2).select("stream_id", "segment_id", "keyframe_id", "place")
+    return captions.shot_subset(keyed(spark, d)[1], 2).select("stream_id", "segment_id", "pick_id", "place")
 
 
-@query(f"{TO_KF}, c AS (SELECT *,count(*) OVER (PARTITION BY stream_id) cnt FROM kf) SELECT stream_id,keyframe_id,printf('FRAME %d/%d @ t=%.2fs  (segment #%d)',keyframe_id,cnt,t,sid) line FROM c")
+@query(f"{TO_KF}, c AS (SELECT *,count(*) OVER (PARTITION BY stream_id) cnt FROM kf) SELECT stream_id,pick_id,printf('FRAME %d/%d @ t=%.2fs  (segment #%d)',pick_id,cnt,t,sid) line FROM c")
 def prompt_lines(spark, d):
-    return captions.prompt_lines(keyed(spark, d)[1], CaptionerConfig(max_keyframes=100000)).select("stream_id", "keyframe_id", "line")
+    return captions.prompt_lines(keyed(spark, d)[1], CaptionerConfig(max_picks=100000)).select("stream_id", "pick_id", "line")
 
 
 @query("SELECT role,count(*) captions,sum(length(text))::BIGINT chars,sum(len(regexp_extract_all(text,'\\S+')))::BIGINT words FROM conversations GROUP BY 1")
@@ -362,10 +365,10 @@ def model_list(spark, d):
     return read(spark, d, "pages").select("page_id", names.alias("l")).select("page_id", F.size("l").cast("long").alias("n"), F.get("l", F.lit(0)).alias("first_name"), F.try_element_at("l", F.lit(-1)).alias("last_name"))
 
 
-@query("SELECT page_id,regexp_replace(url,'[^\\p{L}\\p{N}_.-]','_','g') label,printf('f%05d_t%07.2fs.jpg',page_id,page_id*0.5) frame_file,printf('kf_%03d_seg%02d_t%07.2fs.jpg',page_id,page_id%7,page_id*0.5) keyframe_file FROM pages")
+@query("SELECT page_id,regexp_replace(url,'[^\\p{L}\\p{N}_.-]','_','g') label,printf('f%05d_t%07.2fs.jpg',page_id,page_id*0.5) frame_file,printf('kf_%03d_seg%02d_t%07.2fs.jpg',page_id,page_id%7,page_id*0.5) pick_file FROM pages")
 def file_names(spark, d):
     t = F.col("page_id") * F.lit(0.5)
-    return read(spark, d, "pages").select("page_id", text.safe_label(F.col("url")).alias("label"), text.frame_file(F.col("page_id"), t).alias("frame_file"), text.keyframe_file(F.col("page_id"), F.col("page_id") % 7, t).alias("keyframe_file"))
+    return read(spark, d, "pages").select("page_id", text.safe_label(F.col("url")).alias("label"), text.frame_file(F.col("page_id"), t).alias("frame_file"), text.pick_file(F.col("page_id"), F.col("page_id") % 7, t).alias("pick_file"))
 
 
 @query("""WITH x AS (SELECT doc_id,((doc_id%9-4)*90)::INT deg,(doc_id%3000+1)::INT w,(doc_id*7%2000+1)::INT h FROM documents), y AS (SELECT *,((-deg)%360+360)%360 turn FROM x), z AS (SELECT *,CASE WHEN turn IN (90,270) THEN h ELSE w END a,CASE WHEN turn IN (90,270) THEN w ELSE h END b FROM y)
@@ -430,17 +433,114 @@ def embedding_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{TO_SEG} SELECT stream_id,sid::INT segment_id,start start_sec,end_ end_sec,n num_frames FROM seg")
 def streaming_segments(spark, d):
-    rows = shots.run_available(shots.stream_shots(embedding_stream(spark, d), SEG), "shots_out")
+    rows = shots.run_available(shots.stream_shots(embedding_stream(spark, d), SEG))
     closed = rows.where("kind = 'segment_closed'").select("stream_id", "segment_id", "start_sec", "end_sec", "num_frames")
     return closed.unionByName(shots.flush(rows)).withColumn("stream_id", F.col("stream_id").cast("int"))
 
 
 @query(f"{TO_SEG} {FRAMES_OUT}")
 def streaming_frames(spark, d):
-    return frames_out(shots.run_available(shots.stream_shots(embedding_stream(spark, d), SEG), "frames_out").where("kind = 'frame'"))
+    return frames_out(shots.run_available(shots.stream_shots(embedding_stream(spark, d), SEG)).where("kind = 'frame'"))
 
 
 @query(ORACLE_SQL["greedy_sample"])
 def streaming_sample(spark, d):
     rows = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return shots.run_available(shots.stream_sample(src.frames_from_events(rows), GAP), "sample_out").select("stream_id", "source_idx", r6("timestamp_sec"))
+    return shots.run_available(shots.stream_sample(src.frames_from_events(rows), GAP)).select("stream_id", "source_idx", r6("timestamp_sec"))
+
+
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 6 HOUR w FROM events) SELECT user_id stream_id, epoch_us(date_trunc('day', ts)) / 1e6 begin_sec, count(*) frames, round(avg(value), 6) sharpness
+FROM events, m GROUP BY 1, 2, w HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= w""")
+def streaming_windows(spark, d):
+    rows = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = rows.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("sharpness"))
+    out = shots.run_available(shots.windowed_counts(rows, "ts", "1 day", "6 hours"))
+    return out.select("stream_id", src.seconds(F.col("begin")).alias("begin_sec"), "frames", F.round("sharpness", 6).alias("sharpness"))
+
+
+# --- sources and sinks, written and read back ---------------------------------------------------------
+@query(f"{TO_KF} SELECT stream_id,pick_id,sid::INT segment_id,round_even(t,3) timestamp_sec,round_even(sharp,1) sharpness,(rn-1)::INT rank_in_segment,printf('kf_%03d_seg%02d_t%07.2fs.jpg',pick_id,sid,t) saved_path FROM kf")
+def picks_csv(spark, d):
+    path = fresh_path(spark)
+    sinks.write_csv(sinks.picks_table(keyed(spark, d)[1]), path)
+    return src.read_picks(spark, path).select("stream_id", "pick_id", "segment_id", "timestamp_sec", "sharpness", "rank_in_segment", "saved_path")
+
+
+@query(f"{TO_SEG} SELECT stream_id,sid::INT segment_id,round_even(start,3) start_sec,round_even(end_,3) end_sec,round_even(greatest(end_-start,0),3) duration_sec,n num_frames FROM seg")
+def segments_csv(spark, d):
+    path = fresh_path(spark)
+    sinks.write_csv(sinks.segments_table(segment.segment_rollup(shotted(spark, d))), path)
+    return spark.read.csv(path, header=True, schema="stream_id int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SEGMENT))
+
+
+@query(f"{TO_SEG} SELECT stream_id,'segment_closed' event,sid::INT segment_id,round_even(start,3) start_sec,round_even(end_,3) end_sec,n frames FROM seg WHERE closed")
+def events_jsonl(spark, d):
+    path = fresh_path(spark)
+    sinks.write_events(segment.event_log(shotted(spark, d)), path)
+    return spark.read.schema("stream_id int, event string, segment_id int, start_sec double, end_sec double, frames long").json(path)
+
+
+@query(f"{TO_KF} SELECT x.stream_id::BIGINT stream_id,frames,segments,picks,duration_sec FROM (SELECT stream_id,count(*) frames,count(DISTINCT sid) segments,max(t)-min(t) duration_sec FROM fr GROUP BY 1) x JOIN (SELECT stream_id,count(*) picks FROM kf GROUP BY 1) y USING(stream_id)")
+def run_overview(spark, d):
+    """A whole run, written to a folder with its reports and read back."""
+    from .pipeline import Pipeline
+
+    pipeline = Pipeline(PipelineConfig(output_root=fresh_path(spark), segmenter=SEG, selector=SEL))
+    return src.load_run(spark, pipeline.write(pipeline.run(emb(spark, d)), "run"))
+
+
+@query("""SELECT event_id, (640 + 10 * (event_id % 5))::INT width, 480 height, CASE event_id % 3 WHEN 0 THEN round(30000 / 1001.0, 6) WHEN 1 THEN 25.0 ELSE 12.5 END fps, round(value, 6) duration_sec,
+CASE WHEN event_id % 4 = 0 THEN floor(round(value, 6) * CASE event_id % 3 WHEN 0 THEN 30000 / 1001.0 WHEN 1 THEN 25.0 ELSE 12.5 END)::BIGINT ELSE event_id END frame_count, ((360 - 90 * (event_id % 4)) % 360)::INT rotation FROM events""")
+def media_probe(spark, d):
+    """Answers of a media prober as JSON, made from events, with rates, durations and turns in the places where probers put them."""
+    i = F.col("event_id")
+    rate = F.when(i % 3 == 0, "30000/1001").when(i % 3 == 1, "0/0").otherwise("12.5")
+    stream = F.struct(
+        (640 + 10 * (i % 5)).cast("int").alias("width"),
+        F.lit(480).alias("height"),
+        rate.alias("avg_frame_rate"),
+        F.lit("25/1").alias("r_frame_rate"),
+        F.when(i % 2 == 0, F.round("value", 6).cast("string")).alias("duration"),
+        F.when(i % 4 == 0, "").otherwise(i.cast("string")).alias("nb_frames"),
+        F.struct(F.when(i % 4 < 2, (90 * (i % 4)).cast("string")).alias("rotate")).alias("tags"),
+        F.when(i % 4 >= 2, F.array(F.struct((90 * (i % 4)).cast("string").alias("rotation")))).alias("side_data_list"),
+    )
+    meta = F.to_json(F.struct(F.array(stream).alias("streams"), F.struct(F.round("value", 6).cast("string").alias("duration")).alias("format")))
+    rows = src.probe(read(spark, d, "events").select("event_id", meta.alias("meta")))
+    return rows.select("event_id", "width", "height", r6("fps"), r6("duration_sec"), F.col("frame_count").cast("long").alias("frame_count"), F.col("rotation").cast("int").alias("rotation"))
+
+
+@query(f"WITH {EV_} SELECT stream_id,event_id source_idx FROM v WHERE t>=1704500000 AND t<1705000000")
+def time_range(spark, d):
+    return src.between(ev(spark, d), 1704500000, 1705000000).select("stream_id", "source_idx")
+
+
+@query(f"WITH {EV_}, c AS (SELECT *,t-min(t) OVER (PARTITION BY stream_id) x FROM v) SELECT stream_id,event_id source_idx FROM c WHERE x<=900000 QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY t,event_id)<=5")
+def bounded_capture(spark, d):
+    return src.capture(ev(spark, d), 900000, 5).select("stream_id", "source_idx")
+
+
+@query(ORACLE_SQL["grid_sample"])
+def sampling_dispatch(spark, d):
+    return src.sample(ev(spark, d).drop("timestamp_sec").join(ev(spark, d).select("source_idx", "timestamp_sec"), "source_idx"), 0.7, 4.0).select("stream_id", "analyzed_idx", r6("timestamp_sec"), "source_idx")
+
+
+# --- prompts of shots, counters, benchmark ------------------------------------------------------------
+@query(f"{TO_KF}, b AS (SELECT stream_id,sid,least(3,count(*)) m FROM kf GROUP BY 1,2) SELECT stream_id,sid::INT segment_id,m::INT frames_sent,printf('Shot starting at t=%.1fs, ending at t=%.1fs (%.1fs long). %d frame(s) follow.',start,end_,end_-start,m) prompt FROM b JOIN seg USING(stream_id,sid)")
+def shot_prompts(spark, d):
+    s, k = keyed(spark, d)
+    return captions.shot_prompts(k, segment.segment_rollup(s)).select("stream_id", "segment_id", "frames_sent", "prompt")
+
+
+@query(f"{TO_KF} SELECT fr.stream_id,fr.vec_id source_idx,count(*) OVER w frames_so_far,sum(fr.is_start::INT) OVER w::BIGINT segments_so_far,count(kf.pick_id) OVER w picks_so_far FROM fr LEFT JOIN kf ON kf.stream_id=fr.stream_id AND kf.vec_id=fr.vec_id WINDOW w AS (PARTITION BY fr.stream_id ORDER BY fr.t)")
+def live_counters_picks(spark, d):
+    return evaluate.live_counters(*keyed(spark, d)).select("stream_id", "source_idx", "frames_so_far", "segments_so_far", "picks_so_far")
+
+
+@query(f"{TO_KF} SELECT e.embedder,x.stream_id,frames,segments,picks,duration_sec,1.0::DOUBLE jaccard FROM (VALUES ('one'),('two')) e(embedder), (SELECT stream_id,count(*) frames,count(DISTINCT sid) segments,max(t)-min(t) duration_sec FROM fr GROUP BY 1) x JOIN (SELECT stream_id,count(*) picks FROM kf GROUP BY 1) y USING(stream_id)")
+def benchmark_embedders(spark, d):
+    """Two embedders with equal vectors, in one plan: equal counts, full agreement."""
+    from .pipeline import benchmark
+
+    both = emb(spark, d).withColumn("embedder", F.explode(F.array(F.lit("one"), F.lit("two"))))
+    return benchmark(both, PipelineConfig(segmenter=SEG, selector=SEL))

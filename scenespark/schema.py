@@ -18,8 +18,9 @@ SEGMENT = T.StructType([
     T.StructField("duration_sec", T.DoubleType()),
     T.StructField("num_frames", T.LongType()),
 ])
-KEYFRAME_CSV = T.StructType([
-    T.StructField("keyframe_id", T.IntegerType()),
+PICK_CSV = T.StructType([
+    T.StructField("stream_id", T.IntegerType()),
+    T.StructField("pick_id", T.IntegerType()),
     T.StructField("segment_id", T.IntegerType()),
     T.StructField("timestamp_sec", T.DoubleType()),
     T.StructField("sharpness", T.DoubleType()),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import embedders
 from ..functions.vectors import var_pop
 from ..operators.folds import fold
-from ..schema import KEYFRAME_CSV
+from ..schema import PICK_CSV
 
 MEDIA = ("mp4", "mov", "mkv", "avi", "webm", "m4v")
 
@@ -36,12 +36,14 @@ def frames_from_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("source_idx"), seconds(F.col("ts")).alias("timestamp_sec"), F.col("value").alias("sharpness"), "event_type")
 
 
-def frames_from_images(spark: SparkSession, path: str, embedder: str = "phash", interval_sec: float = 1.0, stream_id: int = 0) -> DataFrame:
+def frames_from_images(spark: SparkSession, path: str, embedder: str = "phash", interval_sec: float = 1.0, stream_id: int = 0, device: str = "auto", max_width: int = 0) -> DataFrame:
     """A folder of images as a stream, in the order of their names; unreadable ones are left out."""
     rows = spark.read.format("image").option("dropInvalid", True).load(path)
-    ordinal = F.row_number().over(Window.partitionBy(F.lit(stream_id)).orderBy("image.origin")) - 1
-    named = rows.select("image", ordinal.cast("int").alias("analyzed_idx"))
-    return named.select(F.lit(stream_id).alias("stream_id"), F.col("analyzed_idx").cast("long").alias("source_idx"), "analyzed_idx", (F.col("analyzed_idx") * interval_sec).alias("timestamp_sec"), embedders.embed(F.col("image"), embedder).alias("embedding"), embedders.image_sharpness(F.col("image")).alias("sharpness"), F.col("image.origin").alias("bgr_path"))
+    # Only names are numbered in one order; the images stay where they are read.
+    ordinal = F.row_number().over(Window.partitionBy(F.lit(stream_id)).orderBy("origin")) - 1
+    names = rows.select("image.origin").select("origin", ordinal.cast("int").alias("analyzed_idx"))
+    named = rows.join(names, rows["image.origin"] == names["origin"]).select("image", "analyzed_idx")
+    return named.select(F.lit(stream_id).alias("stream_id"), F.col("analyzed_idx").cast("long").alias("source_idx"), "analyzed_idx", (F.col("analyzed_idx") * interval_sec).alias("timestamp_sec"), embedders.embed(F.col("image"), embedder, device, max_width).alias("embedding"), embedders.image_sharpness(F.col("image")).alias("sharpness"), F.col("image.origin").alias("bgr_path"))
 
 
 def greedy_sample(frames: DataFrame, interval_sec: float, key: str = "stream_id") -> DataFrame:
@@ -109,18 +111,62 @@ def pick_backend(kind: str, realtime: bool, workers: int = 1, decoder: bool = Fa
 
 
 def list_media(spark: SparkSession, folder: str) -> DataFrame:
-    """Media files of a folder, by extension and then name."""
-    every = None
-    for k, ext in enumerate(MEDIA):
-        part = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").load(folder).select(F.lit(k).alias("k"), "path", "length")
-        every = part if every is None else every.unionByName(part)
-    return every.orderBy("k", "path").drop("k")
+    """Media files of a folder, by extension and then name; one listing, contents unread."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(MEDIA) + "}").load(folder).select("path", "length")
+    place = F.array_position(F.array(*[F.lit(x) for x in MEDIA]), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)))
+    return files.orderBy(place, "path")
 
 
-def read_keyframes(spark: SparkSession, path: str) -> DataFrame:
-    """A run's keyframe table; rows with bad cells are left out; in time order."""
-    rows = spark.read.csv(path, schema=KEYFRAME_CSV, header=True, mode="DROPMALFORMED", encoding="UTF-8")
-    return rows.where("timestamp_sec is not null and keyframe_id is not null").orderBy("timestamp_sec")
+def between(frames: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
+    """Frames from ``start`` on and before ``end``: a filter on the time column, which Parquet scans prune by."""
+    if start is not None:
+        frames = frames.where(F.col("timestamp_sec") >= F.lit(float(start)))
+    return frames if end is None else frames.where(F.col("timestamp_sec") < F.lit(float(end)))
+
+
+def sample(frames: DataFrame, interval_sec: float, fps: float | None = None, key: str = "stream_id") -> DataFrame:
+    """Frames thinned out by time: on a grid where the rate is known, so that frames can be sought by number, else greedily."""
+    if fps:
+        grid = grid_sample(frames, interval_sec, fps, key)
+        rest = [c for c in frames.columns if c not in grid.columns]
+        return grid.join(frames.select(key, "source_idx", *rest), [key, "source_idx"])
+    return greedy_sample(frames, interval_sec, key) if interval_sec > 0 else frames
+
+
+def capture(frames: DataFrame, seconds: float | None = None, most: int | None = None, key: str = "stream_id") -> DataFrame:
+    """A bounded piece of each stream: its first ``seconds``, and of these at most ``most`` frames."""
+    if seconds is not None:
+        frames = frames.withColumn("_t0", F.min("timestamp_sec").over(Window.partitionBy(key))).where(F.col("timestamp_sec") - F.col("_t0") <= seconds).drop("_t0")
+    if most is not None:
+        frames = frames.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("timestamp_sec", "source_idx"))).where(F.col("_n") <= most).drop("_n")
+    return frames
+
+
+def open_source(spark: SparkSession, spec: str, realtime: bool = False, embedder: str = "phash", interval_sec: float = 1.0, files_per_batch: int = 1, device: str = "auto", max_width: int = 0) -> DataFrame:
+    """A table of frames (``.parquet``) or a folder of images, as a batch or, paced, as a stream of new files.
+
+    Cameras and network streams need a decoder that writes their frames to a folder; reading that with
+    ``realtime`` follows it. Other specs are an error.
+    """
+    kind, name = sampled_source(spark, spec)
+    if kind != "file":
+        raise ValueError(f"{kind} {name!r}: let a decoder write its frames to a folder and open that with realtime=True")
+    if pick_backend(kind, realtime) == "stream":
+        if not name.rstrip("/").endswith(".parquet"):
+            raise ValueError("a paced source is a folder of Parquet files of frames")
+        schema = spark.read.parquet(name).schema
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(name)
+    if name.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(name)
+    return frames_from_images(spark, name, embedder, interval_sec, 0, device, max_width)
+
+
+def read_picks(spark: SparkSession, path: str) -> DataFrame:
+    """A run's table of picks, its columns by the header's names; rows with a bad time or number are left out; in time order."""
+    rows = spark.read.csv(path, header=True, encoding="UTF-8")
+    have = {c.lstrip("\ufeff"): c for c in rows.columns}
+    typed = rows.select(*[(F.col(f"`{have[f.name]}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in PICK_CSV])
+    return typed.where("timestamp_sec is not null and pick_id is not null").orderBy("timestamp_sec")
 
 
 # Files that mark a folder as a finished run.
@@ -135,8 +181,15 @@ def run_history(spark: SparkSession, root: str, most: int = 200) -> DataFrame:
 
 
 def load_run(spark: SparkSession, run: str) -> DataFrame:
-    """The JSON documents of one run as rows."""
-    return spark.read.json(f"{run}/*.json", multiLine=True)
+    """An overview of one run, a row per stream: counts from its summary, or, where that lacks them, from its tables."""
+    table = lambda name: spark.read.csv(f"{run}/{name}.csv", header=True).withColumn("stream_id", F.col("stream_id").try_cast("long"))
+    frames = table("analyzed_frames").groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_frames"), (F.max(F.col("timestamp_sec").try_cast("double")) - F.min(F.col("timestamp_sec").try_cast("double"))).alias("span"))
+    segments = table("segments").groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_segments"))
+    picks = table("picks").groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_picks"))
+    kind = "streams array<struct<stream_id:long,frames:long,segments:long,picks:long,duration_sec:double>>"
+    said = spark.read.text(f"{run}/summary.json", wholetext=True).select(F.inline(F.from_json("value", kind)["streams"]))
+    every = frames.join(segments, "stream_id", "left").join(picks, "stream_id", "left").join(said, "stream_id", "left")
+    return every.select("stream_id", F.coalesce("frames", "n_frames").alias("frames"), F.coalesce("segments", "n_segments", F.lit(0)).alias("segments"), F.coalesce("picks", "n_picks", F.lit(0)).alias("picks"), F.coalesce("duration_sec", "span").alias("duration_sec"))
 
 
 def probe(meta: DataFrame, column: str = "meta") -> DataFrame:

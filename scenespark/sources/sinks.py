@@ -1,32 +1,76 @@
-"""Tables and documents of a run: Parquet, CSV, JSON lines, and small reports."""
+"""Tables and documents of a run: CSV, JSON, JSON lines, reports, and copies of images, all by Spark's file systems."""
 
 from __future__ import annotations
 
 import json
 import re
 import time
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import frame_file, pick_file
+from ..schema import PICK_CSV
+from ..store import write_text
+
 
 def run_folder(root: str, label: str) -> str:
     safe = re.sub(r"[^\w.-]", "_", label)
     return f"{root}/{safe}_{time.strftime('%Y%m%d_%H%M%S')}"
 
 
-def write_tables(folder: str, sampled: DataFrame, segments: DataFrame, keyframes: DataFrame) -> None:
-    """The run's tables as CSV with the rounding that readers expect."""
-    sampled.select("stream_id", "analyzed_idx", "source_idx", F.bround("timestamp_sec", 3).alias("timestamp_sec"), F.bround("sim_to_shot_mean", 4).alias("sim_to_shot_mean"), F.bround("sharpness", 1).alias("sharpness"), F.col("is_shot_start").cast("int").alias("is_shot_start")).write.mode("overwrite").csv(f"{folder}/analyzed_frames.csv", header=True)
-    segments.select("stream_id", "segment_id", *[F.bround(c, 3).alias(c) for c in ("start_sec", "end_sec", "duration_sec")], "num_frames").write.mode("overwrite").csv(f"{folder}/segments.csv", header=True)
-    keyframes.select("stream_id", "keyframe_id", "segment_id", F.bround("timestamp_sec", 3).alias("timestamp_sec"), F.bround("sharpness", 1).alias("sharpness"), F.bround("representativeness", 4).alias("representativeness"), F.bround("composite_score", 4).alias("composite_score"), "rank_in_segment").write.mode("overwrite").csv(f"{folder}/keyframes.csv", header=True)
+def rounded(**places: int) -> list[Column]:
+    return [F.bround(c, n).alias(c) for c, n in places.items()]
+
+
+def frames_table(sampled: DataFrame) -> DataFrame:
+    """The rows of analyzed_frames.csv, with the rounding that readers expect."""
+    return sampled.select("stream_id", "analyzed_idx", "source_idx", *rounded(timestamp_sec=3, sim_to_shot_mean=4, sharpness=1), F.col("is_shot_start").cast("int").alias("is_shot_start"))
+
+
+def segments_table(segments: DataFrame) -> DataFrame:
+    return segments.select("stream_id", "segment_id", *rounded(start_sec=3, end_sec=3, duration_sec=3), "num_frames")
+
+
+def picks_table(picks: DataFrame) -> DataFrame:
+    path = pick_file(F.col("pick_id"), F.col("segment_id"), F.col("timestamp_sec")).alias("saved_path")
+    return picks.select("stream_id", "pick_id", "segment_id", *rounded(timestamp_sec=3, sharpness=1, representativeness=4, composite_score=4), "rank_in_segment", path).select(*PICK_CSV.names)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def write_tables(folder: str, sampled: DataFrame, segments: DataFrame, picks: DataFrame) -> None:
+    write_csv(frames_table(sampled), f"{folder}/analyzed_frames.csv")
+    write_csv(segments_table(segments), f"{folder}/segments.csv")
+    write_csv(picks_table(picks), f"{folder}/picks.csv")
+
 
+def write_events(events: DataFrame, path: str) -> None:
+    """JSON lines, a file for each partition."""
+    events.write.mode("append").json(path)
 
-def write_json(folder: str, name: str, content: dict) -> None:
-    path = Path(folder)
-    path.mkdir(parents=True, exist_ok=True)
-    (path / name).write_text(json.dumps(content, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
+
+def write_json(spark, folder: str, name: str, content: dict | list) -> None:
+    write_text(spark, f"{folder}/{name}", json.dumps(content, indent=2, ensure_ascii=False, default=str))
+
+
+def copy_images(frames: DataFrame, folder: str, picked: bool = False) -> DataFrame:
+    """Files of frames that name one in ``bgr_path``, copied under a frame's or a pick's file name; a row per copy.
+
+    Executors read and write the bytes as a table of (path, content); the driver sees neither.
+    """
+    name = pick_file(F.col("pick_id"), F.col("segment_id"), F.col("timestamp_sec")) if picked else frame_file(F.col("analyzed_idx"), F.col("timestamp_sec"))
+    wanted = frames.where("bgr_path is not null").select("stream_id", "bgr_path", name.alias("saved_path"))
+    spark = frames.sparkSession
+    where = wanted.select(F.regexp_extract("bgr_path", r"^(.*)/[^/]*$", 1).alias("d")).distinct().collect()  # a row per folder of images
+    if not where:
+        return wanted.withColumn("content", F.lit(b"")).limit(0)
+    content = spark.read.format("binaryFile").load([r["d"] for r in where]).select(F.regexp_replace("path", "^file:/+", "/").alias("_p"), "content")
+    copies = wanted.withColumn("_p", F.regexp_replace("bgr_path", "^file:/+", "/")).join(content, "_p").drop("_p")
+    copies.write.mode("overwrite").parquet(f"{folder}/images")
+    return spark.read.parquet(f"{folder}/images")
 
 
 def markdown(title: str, df: DataFrame, most: int = 200) -> str:
@@ -34,3 +78,42 @@ def markdown(title: str, df: DataFrame, most: int = 200) -> str:
     rows = df.limit(most).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join(str(x) for x in r) + " |" for r in rows) + "\n"
+
+
+def write_report(spark, folder: str, name: str, title: str, df: DataFrame, notes: str = "") -> str:
+    """A small result as a table in ``name``.md and as a list in ``name``.json; the report's text."""
+    text = markdown(title, df) + (f"\n{notes}\n" if notes else "")
+    write_text(spark, f"{folder}/{name}.md", text)
+    write_json(spark, folder, f"{name}.json", [r.asDict(recursive=True) for r in df.limit(200).collect()])
+    return text
+
+
+def run_readme(folder: str, cfg, summary: DataFrame, segments: DataFrame, picks: DataFrame, captions: DataFrame, most: int = 200) -> str:
+    """What a run did: settings, counts, files, and its first shots, picks and captions."""
+    s, g = cfg.selector, cfg.segmenter
+    settings = [
+        f"sampled every {cfg.sampler.interval_sec:.2f} s, embedder `{cfg.embedder.name}`",
+        f"similarity below {g.sim_threshold} cuts after {g.min_shot_sec:.1f} s ({'running' if g.use_ema else 'arithmetic'} mean)",
+        f"weights of sharpness and representativeness {s.sharpness_weight} and {s.representativeness_weight}",
+    ]
+    files = {"analyzed_frames.csv": "frames with their similarity", "segments.csv": "shots", "picks.csv": "chosen frames", "config.json": "settings", "summary.json": "counts", "caption.md": "the narration"}
+    parts = [f"# Run {folder.rpartition('/')[2]}", "\n".join(f"* {x}" for x in settings), "| File | Holds |\n| --- | --- |\n" + "\n".join(f"| `{k}` | {v} |" for k, v in files.items())]
+    for title, df in (("Summary", summary), ("Shots", segments.select("stream_id", "segment_id", *rounded(start_sec=2, end_sec=2, duration_sec=2), "num_frames").orderBy("stream_id", "segment_id")), ("Picks", picks.select("stream_id", F.format_string("KF%02d", "pick_id").alias("pick"), "segment_id", *rounded(timestamp_sec=2, sharpness=0, representativeness=3, composite_score=2)).orderBy("stream_id", "pick"))):
+        parts.append(markdown(title, df, most).replace("# ", "## ", 1).rstrip())
+    parts.append("## Caption\n\n" + ("\n\n".join(r["text"] or "(no caption)" for r in captions.orderBy("stream_id").limit(most).collect()) or "(no caption)"))
+    return "\n\n".join(parts) + "\n"
+
+
+def caption_document(captions: DataFrame, source: str, embedder: str, most: int = 200) -> str:
+    """The narration of each stream, with its model, frames and latency."""
+    out = ["# Captions", f"Source `{source}`, embedder `{embedder}`."]
+    for r in captions.orderBy("stream_id").limit(most).collect():
+        out.append(f"## Stream {r['stream_id']}\n\nModel `{r['model']}`, {r['frames_sent']} frames sent, {r['latency_sec']:.2f} s.\n\n{r['text'] or r['error']}")
+    return "\n\n".join(out) + "\n"
+
+
+def shot_captions_document(captions: DataFrame, most: int = 1000) -> str:
+    """A line for each shot's caption, in order of streams and shots."""
+    rows = captions.orderBy("stream_id", "segment_id").limit(most).collect()
+    lines = [f"- **#{r['segment_id']}** `t={r['start_sec']:.1f}–{r['end_sec']:.1f}s` ({r['latency_sec']:.1f}s, `{r['model']}`): {r['text'] or r['error']}" for r in rows]
+    return "\n".join(["# Captions of shots", "", *lines]) + "\n"

@@ -55,9 +55,9 @@ def test_nothing_else_imports_the_optional_part():
 
 def test_cli(capsys):
     assert main(["list-embedders"]) == 0 and "phash" in capsys.readouterr().out
-    args = build_parser().parse_args(["run", "video", "--sim-threshold", "0.5", "--no-ema", "--min-keyframes", "2"])
+    args = build_parser().parse_args(["run", "video", "--sim-threshold", "0.5", "--no-ema", "--min-picks", "2"])
     cfg = config_of(args)
-    assert (cfg.segmenter.sim_threshold, cfg.segmenter.use_ema, cfg.selector.min_keyframes, cfg.sampler.interval_sec) == (0.5, False, 2, 1.0)
+    assert (cfg.segmenter.sim_threshold, cfg.segmenter.use_ema, cfg.selector.min_picks, cfg.sampler.interval_sec) == (0.5, False, 2, 1.0)
     with pytest.raises(SystemExit):
         build_parser().parse_args([])
 

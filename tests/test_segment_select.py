@@ -1,4 +1,4 @@
-"""Shots and keyframes: golden cases, edges, and equal results of the different ways to run."""
+"""Shots and picks: golden cases, edges, and equal results of the different ways to run."""
 
 import math
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scenespark.config import SegmenterConfig, SelectorConfig
 from scenespark.operators.segment import ShotState, event_log, segment_frames, segment_frames_sql, segment_rollup
-from scenespark.operators.select import diversity, number_keyframes, pick_spaced, select_keyframes
+from scenespark.operators.select import diversity, number_picks, pick_spaced, select_picks
 
 SCHEMA = "stream_id int, source_idx long, analyzed_idx int, timestamp_sec double, embedding array<float>, sharpness double"
 
@@ -81,49 +81,49 @@ def sampled(spark, rows, segments=None):
 
 
 def test_single_frame(spark):
-    out = select_keyframes(sampled(spark, [(0, X)])).collect()
-    assert [(r["keyframe_id"], r["representativeness"], r["composite_score"], r["rank_in_segment"]) for r in out] == [(1, 1.0, 0.0, 0)]
+    out = select_picks(sampled(spark, [(0, X)])).collect()
+    assert [(r["pick_id"], r["representativeness"], r["composite_score"], r["rank_in_segment"]) for r in out] == [(1, 1.0, 0.0, 0)]
 
 
 def test_spacing(spark):
-    cfg = SelectorConfig(max_frames_per_segment=3, seconds_per_keyframe=0.5, min_temporal_spacing_sec=1.0, sharpness_weight=1.0, representativeness_weight=0.0, diversity_sim_threshold=1.0)
-    t = sorted(r["timestamp_sec"] for r in select_keyframes(sampled(spark, [(0.2 * i, X, 100 - i) for i in range(10)]), cfg).collect())
+    cfg = SelectorConfig(max_frames_per_segment=3, seconds_per_pick=0.5, min_temporal_spacing_sec=1.0, sharpness_weight=1.0, representativeness_weight=0.0, diversity_sim_threshold=1.0)
+    t = sorted(r["timestamp_sec"] for r in select_picks(sampled(spark, [(0.2 * i, X, 100 - i) for i in range(10)]), cfg).collect())
     assert len(t) > 1 and all(b - a >= 1.0 - 1e-9 for a, b in zip(t, t[1:]))
 
 
 def test_all_ties(spark):
-    cfg = SelectorConfig(max_frames_per_segment=4, seconds_per_keyframe=5.0, min_temporal_spacing_sec=0.5, diversity_sim_threshold=1.0)
-    out = select_keyframes(sampled(spark, [(i, X, 50) for i in range(20)]), cfg).orderBy("keyframe_id").collect()
+    cfg = SelectorConfig(max_frames_per_segment=4, seconds_per_pick=5.0, min_temporal_spacing_sec=0.5, diversity_sim_threshold=1.0)
+    out = select_picks(sampled(spark, [(i, X, 50) for i in range(20)]), cfg).orderBy("pick_id").collect()
     assert [r["timestamp_sec"] for r in out] == [0.0, 1.0, 2.0, 3.0]
 
 
 def test_near_duplicates_and_floor(spark):
     three = sampled(spark, [(0, X), (1, X), (2, Y)], [0, 1, 2])
-    assert select_keyframes(three, SelectorConfig(diversity_sim_threshold=0.99, min_keyframes=1)).count() == 2
+    assert select_picks(three, SelectorConfig(diversity_sim_threshold=0.99, min_picks=1)).count() == 2
     four = sampled(spark, [(i, X) for i in range(4)], range(4))
-    assert select_keyframes(four, SelectorConfig(diversity_sim_threshold=0.5, min_keyframes=3)).count() == 3
-    assert select_keyframes(four, SelectorConfig(diversity_sim_threshold=1.0, min_keyframes=3)).count() == 4
-    assert select_keyframes(four, SelectorConfig(diversity_sim_threshold=0.5, min_keyframes=9)).count() == 4
+    assert select_picks(four, SelectorConfig(diversity_sim_threshold=0.5, min_picks=3)).count() == 3
+    assert select_picks(four, SelectorConfig(diversity_sim_threshold=1.0, min_picks=3)).count() == 4
+    assert select_picks(four, SelectorConfig(diversity_sim_threshold=0.5, min_picks=9)).count() == 4
 
 
 def test_null_embeddings_are_kept_and_block_nothing(spark):
     rows = sampled(spark, [(0, None), (1, X), (2, X)], range(3)).withColumn("composite_score", F.lit(0.0))
-    out = diversity(rows, SelectorConfig(diversity_sim_threshold=0.9, min_keyframes=0))
+    out = diversity(rows, SelectorConfig(diversity_sim_threshold=0.9, min_picks=0))
     assert sorted(r["source_idx"] for r in out.collect()) == [0, 1]
-    assert [r["keyframe_id"] for r in number_keyframes(out, 5).orderBy("timestamp_sec").collect()] == [5, 6]
+    assert [r["pick_id"] for r in number_picks(out, 5).orderBy("timestamp_sec").collect()] == [5, 6]
 
 
 @pytest.mark.parametrize("per,most,want", [(0.0, 4, 4), (8.0, 4, 1), (2.0, 2, 2)])
 def test_target_number(spark, per, most, want):
-    cfg = SelectorConfig(max_frames_per_segment=most, seconds_per_keyframe=per, min_temporal_spacing_sec=0.0)
+    cfg = SelectorConfig(max_frames_per_segment=most, seconds_per_pick=per, min_temporal_spacing_sec=0.0)
     rows = sampled(spark, [(i, X) for i in range(6)]).withColumn("rank_in_segment", F.col("analyzed_idx")).withColumn("composite_score", F.lit(0.0))
     assert pick_spaced(rows, cfg).count() == want
 
 
-def test_kept_keyframes_are_unlike_each_other(spark):
+def test_kept_picks_are_unlike_each_other(spark):
     from scenespark.plans.queries import SEL, keyed
 
-    _, k = keyed(spark, "/root/testdata/sf0.01", SelectorConfig(**{**SEL.__dict__, "min_keyframes": 0}))
+    _, k = keyed(spark, "/root/testdata/sf0.01", SelectorConfig(**{**SEL.__dict__, "min_picks": 0}))
     from scenespark.functions.vectors import np_cosine
 
     import numpy as np

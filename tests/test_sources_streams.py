@@ -14,6 +14,7 @@ from scenespark.functions import embedders, images
 from scenespark.plans.pipeline import Pipeline, benchmark, with_options
 from scenespark.sources import frames as src
 from scenespark.sources import sinks
+from scenespark.store import read_text
 from scenespark.streaming import shots
 
 
@@ -87,7 +88,14 @@ def test_registry():
     assert embedders.microbenchmark("phash", x[0], 1, 3)["fps"] > 0
 
 
-def test_image_folder_to_keyframes(spark, tmp_path):
+def sees(name, content):
+    return f"{name}: " + ",".join(p["type"] for p in content)
+
+
+sees.wants_content = True
+
+
+def test_image_folder_to_picks(spark, tmp_path):
     rng = np.random.default_rng(1)
     scenes = [rng.integers(0, 256, (24, 32, 3), dtype=np.uint8) for _ in range(2)]
     for k in range(8):
@@ -98,8 +106,17 @@ def test_image_folder_to_keyframes(spark, tmp_path):
     run = Pipeline(with_options(PipelineConfig(), sim_threshold=0.99, min_shot_sec=1.0, output_root=str(tmp_path / "out"))).run(f)
     assert run.segments.count() == 2 and run.summary.first()["frames"] == 8
     folder = Pipeline(PipelineConfig(output_root=str(tmp_path / "out"))).write(run, "my run/1")
-    assert "my_run_1" in folder and src.read_keyframes(spark, f"{folder}/keyframes.csv").columns == src.KEYFRAME_CSV.names
-    assert src.run_history(spark, str(tmp_path / "out")).count() == 1 and src.load_run(spark, folder).count() == 2
+    back = src.read_picks(spark, f"{folder}/picks.csv")
+    want = [(r["pick_id"], r["segment_id"], r["timestamp_sec"], r["rank_in_segment"]) for r in run.picks.orderBy("pick_id").collect()]
+    assert "my_run_1" in folder and back.columns == src.PICK_CSV.names
+    assert [(r["pick_id"], r["segment_id"], r["timestamp_sec"], r["rank_in_segment"]) for r in back.collect()] == want
+    over = src.load_run(spark, folder).first()
+    assert src.run_history(spark, str(tmp_path / "out")).count() == 1 and (over["frames"], over["segments"], over["picks"]) == (8, 2, len(want))
+    assert "## Shots" in read_text(spark, f"{folder}/README.md") and "disabled" in read_text(spark, f"{folder}/caption.md") and "# Captions of shots" in read_text(spark, f"{folder}/segments.md")
+    copies = spark.read.parquet(f"{folder}/images").collect()
+    assert len(copies) == len(want) and all(bytes(r["content"]).startswith(b"\x89PNG") and r["saved_path"].startswith("kf_") for r in copies)
+    seen = Pipeline(PipelineConfig()).run(f, model=sees, images=spark.read.format("binaryFile").load(str(tmp_path / "*.png")))
+    assert all(r["text"].startswith("default: text,text,image") for r in seen.captions.collect()) and seen.shot_captions.count() == seen.segments.count()
     assert "| frames |" in sinks.markdown("T", run.summary.select("frames"))
     two = benchmark({"hsv": f, "phash": src.frames_from_images(spark, str(tmp_path), "phash")})
     assert {r["embedder"]: r["jaccard"] for r in two.collect()}["hsv"] == 1.0
@@ -133,3 +150,88 @@ def test_stream_in_pieces_equals_one_batch(spark, tmp_path):
     key = ["stream_id", "source_idx", "segment_id", "is_shot_start"]
     assert sorted(got.withColumn("stream_id", F.col("stream_id").cast("int")).select(*key).collect()) == sorted(batch.select(*key).collect())
     assert spark.read.json(f"{tmp_path}/events").count() == event_log(batch).count()
+
+
+class State:
+    """What a stream's state offers, in memory."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, 0
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_idle_stream_closes_its_open_shot():
+    import pandas as pd
+
+    state, cfg = State(), SegmenterConfig(sim_threshold=0.9, min_shot_sec=0.0)
+    rows = pd.DataFrame({"source_idx": [0, 1, 2], "timestamp_sec": [0.0, 1.0, 2.0], "embedding": [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]})
+    out = pd.concat(shots.shot_rows((7,), iter([rows]), state, cfg, 0.0, 30.0))
+    assert list(out["kind"]) == ["frame", "frame", "segment_closed", "frame"] and state.timeout == 30_000
+    state.hasTimedOut = True
+    last = pd.concat(shots.shot_rows((7,), iter([]), state, cfg, 0.0, 30.0))
+    assert [tuple(r) for r in last[["kind", "segment_id", "start_sec", "end_sec", "num_frames"]].values] == [("segment_closed", 1, 2.0, 2.0, 1)] and not state.exists
+
+
+def test_progress_and_restarts(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+    told, starts = [], []
+    listener = shots.Progress(told.append)
+    spark.streams.addListener(listener)
+
+    def start():
+        starts.append(1)
+        rows = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+        if len(starts) == 1:
+            rows = rows.select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+        return rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+
+    shots.restarted(start, 3, 0.0)
+    assert len(starts) == 2 and spark.read.parquet(f"{tmp_path}/out").count() == 10
+    for _ in range(50):
+        if sum(e["stage"] == "done" for e in told) == 2:
+            break
+        import time
+
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert {e["stage"] for e in told} == {"init", "frame", "done"}
+
+
+def test_command_line_runs(spark, tmp_path, capsys):
+    from scenespark.cli import main
+
+    rng = np.random.default_rng(3)
+    rows = [(0, k, k, float(k), rng.normal(size=8).tolist(), 1.0 * k) for k in range(30)]
+    spark.createDataFrame(rows, "stream_id int, source_idx long, analyzed_idx int, timestamp_sec double, embedding array<double>, sharpness double").coalesce(1).write.parquet(f"{tmp_path}/f.parquet")
+    common = ["--sim-threshold", "0.1", "--output-root", f"{tmp_path}/out"]
+    assert main(["run", f"{tmp_path}/f.parquet", *common]) == 0
+    folder = capsys.readouterr().out.strip().splitlines()[-1]
+    assert src.load_run(spark, folder).first()["frames"] == 30
+    assert main(["run", f"{tmp_path}/f.parquet", "--realtime", "--output-root", f"{tmp_path}/live"]) == 0
+    live = [x for x in capsys.readouterr().out.strip().splitlines() if "/live/" in x][-1]
+    assert spark.read.parquet(f"{live}/frames").count() == 30
+    assert main(["caption-bench", f"{tmp_path}/f.parquet", *common, "--models", "a", "b", "--caller", "tests.test_sources_streams:answer"]) == 0
+    assert "a says" in capsys.readouterr().out
+
+
+def answer(name, prompt):
+    return f"{name} says {len(prompt)}"
+
+
+def test_compare_runs(spark):
+    from scenespark.plans.pipeline import compare
+
+    rows = [("a", 1, 0.0), ("a", 1, 5.0), ("b", 1, 1.0), ("b", 1, 9.0), ("b", 2, 3.0)]
+    got = {(r["run"], r["stream_id"]): r["jaccard"] for r in compare(spark.createDataFrame(rows, "run string, stream_id int, timestamp_sec double")).collect()}
+    assert got == {("a", 1): 1.0, ("b", 1): 0.333, ("b", 2): 0.0}
