@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import shared_folder, written
+
 #: Code points that separate words: space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,24 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints that the cluster shares.
-
-    Only where neither the context nor spark.checkpoint.dir names one is a temporary folder made, and
-    only if all executors are threads of this process; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in that folder."""
-    checkpoint_folder(df.sparkSession)
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -112,17 +97,11 @@ def stored(df: DataFrame) -> DataFrame:
     before = conf.get(clean, None)
     conf.set(clean, "true")
     try:
-        return _stored(df)
+        return written(df)
     finally:
         conf.unset(clean) if before is None else conf.set(clean, before)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def released(df: DataFrame) -> None:
     """Delete what ``stored`` wrote for a table that no later plan reads."""
     spark = df.sparkSession
