@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def labels_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest index reachable from each of n points by links u-v."""
+    lab = np.arange(n)
+    while True:
+        old = lab.copy()
+        low = np.minimum(lab[u], lab[v])
+        np.minimum.at(lab, u, low)
+        np.minimum.at(lab, v, low)
+        lab = lab[lab]
+        if (lab == old).all():
+            return lab
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the checkpoint folder: smaller than a checkpoint's rows.
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row, checkpoint, connected_components, stored
+from .common import by_row, checkpoint, connected_components, labels_of, stored
 
 #: Vectors in a block, about; two blocks meet in one task.
 BLOCK = 32_768
@@ -136,19 +136,6 @@ def node_pairs(nodes: list[Node], reach: dict[int, float], far: float) -> list[t
     return out
 
 
-def labels_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each of n points by links u-v."""
-    lab = np.arange(n)
-    while True:
-        old = lab.copy()
-        low = np.minimum(lab[u], lab[v])
-        np.minimum.at(lab, u, low)
-        np.minimum.at(lab, v, low)
-        lab = lab[lab]
-        if (lab == old).all():
-            return lab
-
-
 def flat(x: np.ndarray, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[np.ndarray]]:
     """Centres, covering radii, children and points of a tree in which all points are in leaves."""
     nodes = list(nodes)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row, checkpoint, connected_components, text_bytes
+from .common import by_row, checkpoint, connected_components, labels_of, text_bytes
 from .xxh import words_of, xxh64_ranges
 
 
@@ -60,15 +60,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", also: tuple[str, ...]
     return by_row(docs, [*(F.col(c).cast("long").alias(c) for c in names), text_bytes()], ", ".join(f"{c} long" for c in (*names, "fp")), rows)
 
 
-def links_of_list(fps: np.ndarray, keep: tuple[int, ...], max_bits: int, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs of one posting list, whose members share the bytes at the positions ``keep``.
+def links_of_list(fps: np.ndarray, keep: tuple[int, ...], max_bits: int, cells: int = 1 << 22):
+    """Verified pairs of one posting list, whose members share the bytes at the positions ``keep``, some members at a time.
 
-    Pairs are tallied a tile of members against all later ones, so that memory is bounded. A pair
+    A tile of members is tallied against all later ones, so that memory is bounded. A pair
     that shares more than the minimum is in several lists and left to the one with the first positions.
+    Yields the places of each pair in the sorted distinct members.
     """
     f = np.unique(fps.view(np.uint64))
     places = f.view(np.uint8).reshape(-1, 8)
-    left, right = [], []
+    tile = max(1, cells // len(f))
     for k in range(0, len(f), tile):
         some = places[k : k + tile]
         tally = np.zeros((len(some), len(f) - k), np.uint8)
@@ -80,16 +81,24 @@ def links_of_list(fps: np.ndarray, keep: tuple[int, ...], max_bits: int, tile: i
             tally += same
         differ = np.bitwise_count(f[k : k + tile, None] ^ f[None, k:])
         i, j = np.nonzero((tally >= 8 - max_bits) & ours & (differ <= max_bits))
-        i, j = i[i < j], j[i < j]
-        left.append(f[k + i])
-        right.append(f[k + j])
-    return np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+        yield k + i[i < j], k + j[i < j]
+
+
+def spanning(fps: np.ndarray, keep: tuple[int, ...], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a list's members that join the same members as all its verified pairs, fewer than the members."""
+    f = np.unique(fps.view(np.uint64))
+    root = np.arange(len(f))
+    for i, j in links_of_list(fps, keep, max_bits):
+        if len(i):
+            root = labels_of(len(f), np.concatenate([np.arange(len(f)), i]), np.concatenate([root, j]))
+    led = np.flatnonzero(root != np.arange(len(f)))
+    return f[led].view(np.int64), f[root[led]].view(np.int64)
 
 
 def near_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b): every pair of distinct fingerprints of column fp within ``max_bits`` bits, once.
+    """(a, b): links between distinct fingerprints of column fp that join the same ones as all pairs within ``max_bits`` bits.
 
-    A fingerprint has a bounded number of others within that many bits.
+    Each list gives fewer links than it has members, however many pairs are near in it.
     """
     if not 0 < max_bits < 8:
         raise ValueError("max_bits must be 1 to 7")
@@ -102,7 +111,7 @@ def near_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     lists = postings.groupBy("k", "shared").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
 
     def rows(cols):
-        found = [links_of_list(np.array(members, np.int64), keeps[k], max_bits) for k, members in zip(*cols, strict=True)]
+        found = [spanning(np.array(members, np.int64), keeps[k], max_bits) for k, members in zip(*cols, strict=True)]
         return {"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}
 
     return by_row(lists, ["k", "members"], "a long, b long", rows)

@@ -82,10 +82,39 @@ def test_simhash_links_are_whole(spark, bits):
     f = sorted(f)
     signed = [x - (1 << 64) if x >> 63 else x for x in f]
     links = simhash.near_pairs(spark.createDataFrame([(x,) for x in signed], "fp long"), bits).collect()
-    got = [tuple(sorted((r["a"], r["b"]))) for r in links]
-    # every pair within the bits, once
-    want = {tuple(sorted((signed[i], signed[j]))) for i, j in itertools.combinations(range(len(f)), 2) if (f[i] ^ f[j]).bit_count() <= bits}
-    assert len(got) == len(set(got)) and set(got) == want
+    near = [(signed[i], signed[j]) for i, j in itertools.combinations(range(len(f)), 2) if (f[i] ^ f[j]).bit_count() <= bits]
+
+    def groups(pairs):
+        root = {x: x for x in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in signed}
+
+    assert groups([(r["a"], r["b"]) for r in links]) == groups(near)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_tallies_give_every_pair_once(bits):
+    """Over all lists of the index, each pair within the bits is verified in one list alone."""
+    rng = random.Random(bits)
+    f = sorted({b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in (rng.getrandbits(64) for _ in range(30)) for n in range(6)})
+    got = []
+    for keep in itertools.combinations(range(8), 8 - bits):
+        mask = sum(255 << 8 * p for p in keep)
+        lists = collections.defaultdict(list)
+        for x in f:
+            lists[x & mask].append(x)
+        for members in lists.values():
+            for i, j in simhash.links_of_list(np.array(members, np.uint64).view(np.int64), keep, bits, cells=7):
+                got += [(sorted(members)[a], sorted(members)[b]) for a, b in zip(i, j)]
+    want = {(a, b) for a, b in itertools.combinations(f, 2) if (a ^ b).bit_count() <= bits}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
 def test_simhash_ids_of_several_texts(spark):
