@@ -36,7 +36,9 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prints = checkpoint(simhash.fingerprints(rows.select(F.col("own.doc_id").alias("doc_id"), F.col("own.text").alias("text"), "row"), "doc_id", ("row",)))
     groups = simhash.components(checkpoint(prints.select("fp").distinct()), max_bits=NEAR_BITS)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    stay = prints.join(groups, "fp").groupBy("component").agg(first.alias("x")).select("x.row")
+    # copies of a text share a fingerprint: the first of them, before any join
+    each = prints.groupBy("fp").agg(first.alias("x"))
+    stay = each.join(groups, "fp").groupBy("component").agg(F.min("x").alias("x")).select("x.row")
     return rows.join(stay, "row", "left_semi").select("own.*")
 
 
