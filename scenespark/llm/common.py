@@ -26,6 +26,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """The table with a hint to broadcast it if its rows, as JSON, hold at most ``most`` bytes; else as it is, for a join by shuffle.
+
+    The size is counted over the whole table, which should be a checkpoint.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def by_row(df: DataFrame, columns: list[str | Column], schema: str, rows: Callable[[list[tuple]], dict[str, list]], chunk: int = 512) -> DataFrame:
     """Run ``rows`` over the selected columns, ``chunk`` rows at a time, in Arrow batches.
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, small
 
 
 def word_count(text: Column) -> Column:
@@ -75,7 +75,7 @@ def repetitions(rows: DataFrame, weights: tuple[float, ...], max_epochs: float,
     goal = goal.withColumn("whole", F.least(F.floor(ratio + 1e-12), F.lit(int(max_epochs))).cast("long")).withColumn("more", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     cut = F.when(F.col("whole") >= int(max_epochs), -1).otherwise(F.coalesce("cut", F.lit(-1))).alias("cut")
     goal = goal.join(cut_places(sums, goal), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", cut)
-    goal = checkpoint(goal)  # a row per source; dealt anew for the join, so that a large source's rows can be split
+    goal = small(checkpoint(goal))  # a row per source: with it broadcast, documents stay where they are
     repeats = F.when(F.col("size") > 0, F.col("whole") + (F.col("bucket") <= F.col("cut")).cast("long")).otherwise(F.lit(0))
     return rows.join(goal, F.col("s").eqNullSafe(F.col("source"))).withColumn("repeats", repeats.cast("long"))
 

@@ -428,6 +428,17 @@ def test_components_of_long_chains(spark):
     assert all(got[k] == 1 for k in range(1, 201)) and all(got[k] == 400 for k in (400, 450, 500)) and all(got[1001 + k] == 1000 for k in range(300))
 
 
+def test_mix_without_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), "en", ["a", "b", None, ""][i % 4]) for i in range(400)]
+    taken = lambda: sorted((r["doc_id"], r["taken"], r["target"]) for r in mixing.mix(documents(spark, rows)).collect())
+    near = taken()
+    goal = common.checkpoint(spark.range(3))
+    assert "broadcast" in spark.range(9).join(common.small(goal), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert common.small(goal, 0) is goal and common.small(goal.where("false"), 0).count() == 0
+    monkeypatch.setattr(mixing, "small", lambda df: df)
+    assert taken() == near
+
+
 # --- pipeline -----------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(6)
