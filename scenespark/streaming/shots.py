@@ -110,7 +110,7 @@ def run_available(stream: DataFrame) -> DataFrame:
 
 
 def watermarked(frames: DataFrame, ts: str, late: str) -> DataFrame:
-    """A stream without rows older than the newest event time less ``late``."""
+    """A stream with a watermark ``late`` behind its newest event time: what keeps state after it drops older rows."""
     return frames.withWatermark(ts, late)
 
 
