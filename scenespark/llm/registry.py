@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, licenses, mixing, pitman_yor, quality, rules, secrets, sharding, simhash
+from . import attribution, bpe, covertree, licenses, merkle, mixing, pitman_yor, quality, rules, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -55,15 +55,77 @@ def op10_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_dups(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_secrets, op3_bpe, op4_simhash, op5_sharding, op6_rules, op7_licenses, op8_mixing, op9_pitman_yor, op10_covertree)}
+def op11_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales")).drop("click_at")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("lang")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_quality, op2_secrets, op3_bpe, op4_simhash, op5_sharding, op6_rules, op7_licenses, op8_mixing, op9_pitman_yor, op10_covertree, op11_attribution, op12_toxicity, op13_merkle)
+}
+
+#: DuckDB has no crc32: the table of its 256 bytes, and the sum over a number's digits.
+CRC_BYTES = "crc_bytes AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) crc_t)"
+
+
+def crc_sql(column: str) -> str:
+    """crc32 of a number's decimal text, where the table of CRC_BYTES is at hand."""
+    text = f"({column})::VARCHAR"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda k: ascii(substr({text}, k::INT, 1))::BIGINT)), lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def merkle_sql(deep: int = 9, langs: int = 4) -> str:
+    """The manifest by plain joins, a statement for each level: up to 8 ** deep rows of a lang and 8 ** langs langs."""
+    framed = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    head = " || ".join(map(framed, merkle.FIELDS[:-1]))
+    low = f"translate(text, '{merkle.CAPITALS}', '{merkle.CAPITALS.lower()}')"
+    parents = lambda new, old: f"{new} AS (SELECT g, pos, n, p, sha256(p) h FROM (SELECT g, pos >> 3 pos, (any_value(n) + 7) >> 3 n, string_agg(h, '' ORDER BY pos) p FROM {old} WHERE n > 1 GROUP BY g, pos >> 3))"
+    with_ = [
+        CRC_BYTES,
+        f"d AS (SELECT doc_id, lang g, sha256({head} || {framed('text')}) h, CASE WHEN {crc_sql('doc_id')} % 3 = 0 THEN sha256({head} || {framed(low)}) END bad FROM documents, crc_bytes)",
+        "l0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 pos, count(*) OVER (PARTITION BY g) n FROM d)",
+        *(parents(f"l{k}", f"l{k - 1}") for k in range(1, deep + 1)),
+        "u0 AS (SELECT 0 g, lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 pos, count(*) OVER () n FROM (" + " UNION ALL ".join(f"SELECT g lang, h FROM l{k} WHERE n = 1" for k in range(deep + 1)) + "))",
+        *(parents(f"u{k}", f"u{k - 1}") for k in range(1, langs + 1)),
+        "top AS (" + " UNION ALL ".join(f"SELECT h root FROM u{k} WHERE n = 1" for k in range(langs + 1)) + ")",
+        "x0 AS (SELECT l0.*, u0.h subroot, u0.pos top_pos, root, '' proof, coalesce(bad, l0.h) f FROM l0 JOIN u0 ON l0.g IS NOT DISTINCT FROM u0.lang, top)",
+    ]
+    steps = [(f"l{k}", "x.g IS NOT DISTINCT FROM y.g", "x.pos", k - 1) for k in range(1, deep + 1)] + [(f"u{k}", "true", "x.top_pos", k - 1) for k in range(1, langs + 1)]
+    for i, (level, same, at, k) in enumerate(steps):
+        cut = f"(({at} >> {3 * k}) % 8) * 64"
+        parts = f"substr(y.p, 1, {cut})", f"substr(y.p, {cut} + 65)"
+        with_.append(f"x{i + 1} AS (SELECT x.* EXCLUDE (proof, f), CASE WHEN y.p IS NULL THEN proof ELSE proof || {parts[0]} || {parts[1]} END proof, CASE WHEN y.p IS NULL THEN f ELSE sha256({parts[0]} || f || {parts[1]}) END f FROM x{i} x LEFT JOIN {level} y ON {same} AND {at} >> {3 * (k + 1)} = y.pos)")
+    return "WITH " + ",\n".join(with_) + f"\nSELECT doc_id, h leaf, subroot, root, sha256(proof) proof_sha256, f folded_root, f = root verified FROM x{len(steps)}"
+
 
 def quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
 ORACLE_SQL: dict[str, str] = {
+    # Without a stream: a sale closes in the first later batch whose mark has passed it, and counts the clicks taken by then.
+    "op11_attribution": f"""
+WITH {CRC_BYTES},
+c AS (SELECT click_id id, client_id client, epoch_us(ts) t, epoch_us(arrived_at) // 3600000000 + CASE WHEN {crc_sql('click_id')} % 4 = 0 THEN 240 ELSE 0 END h FROM (SELECT DISTINCT ON (click_id) * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL ORDER BY click_id, ts, client_id, arrived_at), crc_bytes),
+s AS (SELECT sale_id id, client_id client, epoch_us(sold_at) t, epoch_us(arrived_at) // 3600000000 + CASE WHEN {crc_sql('sale_id')} % 4 = 0 THEN 240 ELSE 0 END h FROM sales, crc_bytes WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+e AS (SELECT min(h) lo, max(h) hi FROM c),
+cb AS (SELECT c.*, (12 * (h - lo)) // (hi - lo + 1) b FROM c, e),
+sb AS (SELECT s.*, CASE WHEN h < lo THEN 0 ELSE least(11, (12 * (h - lo)) // (hi - lo + 1)) END b FROM s, e),
+w AS (SELECT b, least(max(ct) OVER before, max(st) OVER before) - 21600000000 w, max(ct) OVER before mc, max(st) OVER before ms FROM (SELECT range b, (SELECT max(t) FROM cb WHERE cb.b = range) ct, (SELECT max(t) FROM sb WHERE sb.b = range) st FROM range(13)) WINDOW before AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT b, CASE WHEN mc IS NOT NULL AND ms IS NOT NULL THEN w END w FROM w),
+k AS (SELECT cb.* FROM cb JOIN m USING (b) WHERE m.w IS NULL OR cb.t >= m.w),
+sl AS (SELECT row_number() OVER () r, sb.*, coalesce(sb.t < m.w, false) late, coalesce((SELECT min(m2.b) FROM m m2 WHERE m2.b > sb.b AND m2.b < 12 AND m2.w > sb.t), 12) closing FROM sb JOIN m USING (b)),
+j AS (SELECT sl.r, k.id, k.t FROM sl JOIN k ON k.client = sl.client AND k.t BETWEEN sl.t - 604800000000 AND sl.t AND k.b <= sl.closing WHERE NOT sl.late),
+f AS (SELECT r, count(*) n, arg_min(id, (-t, id)) click_id FROM j GROUP BY r)
+SELECT sl.id sale_id, CASE WHEN late THEN sl.b ELSE closing END::INTEGER batch, late, f.click_id, coalesce(f.n, 0)::BIGINT n_clicks FROM sl LEFT JOIN f USING (r)""",
+    "op13_merkle": merkle_sql(),
     # Without the operator's prefilter: every line, sentence and whole text is scored.
     "op7_licenses": rf"""
 WITH d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) path, text FROM documents),
