@@ -2,52 +2,83 @@
 
 Fingerprints of 64 bits are eight positional bytes. Two that differ in at most
 ``max_bits`` bits share at least ``8 - max_bits`` positional bytes: the guaranteed
-minimum. A list for one positional byte alone would hold a 256th of all fingerprints,
-so the index has a posting list for every choice of the minimum's number of positions and the
-bytes found there. For every pair in a list the shared positional bytes are tallied; a pair
-that reaches the minimum is kept in the first of its lists alone, and then verified bit by bit.
-Distinct fingerprints only are indexed (copies of a text share one), and a list has
-at most 256 ** max_bits members by construction, however many documents there are.
+minimum. A list for one positional byte alone would hold a 256th of all fingerprints, so
+the index has lists for the bytes at some positions together, one position fewer than the
+minimum. The choices of positions are a covering design: whatever positions a near pair shares, one
+choice lies within them. In a list the shared positional bytes of every pair are tallied; pairs
+below the minimum go, and those that reach it are kept in the first of their lists alone, and then
+verified bit by bit. Lists with many members are cut into tiles, and every two tiles meet in a task of their own.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row, checkpoint, connected_components, labels_of, text_bytes
+from .common import by_row, checkpoint, connected_components, labels_of, small, stored, text_bytes
 from .xxh import words_of, xxh64_ranges
 
+#: Members of a list beyond which it is cut into tiles of about so many.
+TILE = 4096
 
-def fingerprint_texts(texts: list[bytes], width: int = 3) -> np.ndarray:
-    """Unsigned fingerprints: bit set if set in over half the shingles' XXH64 (seed 42)."""
-    data, starts, ends, counts = words_of([x.lower() for x in texts])
-    has = np.flatnonzero(counts)
-    out = np.zeros(len(texts), np.uint64)
-    if not len(has):
-        return out
-    n = np.maximum(counts[has] - width + 1, 1)
-    first = np.concatenate([[0], np.cumsum(counts[has])[:-1]])
-    at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    i = np.arange(n.sum()) - np.repeat(at, n) + np.repeat(first, n)
-    last = i + np.repeat(np.minimum(counts[has], width), n) - 1
-    h = xxh64_ranges(data, starts[i], ends[last] - starts[i])
-    fp = np.zeros(len(has), np.uint64)
+
+def majority(h: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprint of each owner: a bit is set if it is in over half of the owner's ``n`` hashes, which stand in order of owner."""
     step = 1 << 16  # bits are counted in blocks: memory stays bounded for very long texts
-    ones = np.zeros((len(has), 64), np.int64)
-    owner = np.repeat(np.arange(len(has)), n)
+    ones = np.zeros((len(n), 64), np.int64)
     for k in range(0, len(h), step):
         bits = np.unpackbits(h[k : k + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         own = owner[k : k + step]
         cut = np.flatnonzero(np.diff(own, prepend=-1))
         ones[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
+    fp = np.zeros(len(n), np.uint64)
     for bit in range(64):
         fp |= (ones[:, bit] * 2 > n).astype(np.uint64) << np.uint64(bit)
-    out[has] = fp
-    return out
+    return fp
+
+
+def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of every shingle of the lower-cased texts, repeats included: hashes, their texts' places, shingles of each text."""
+    data, starts, ends, counts = words_of([x.lower() for x in texts])
+    n = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+    if not n.sum():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), n
+    first, at = np.concatenate([[0], np.cumsum(counts)[:-1]]), np.concatenate([[0], np.cumsum(n)[:-1]])
+    i = np.arange(n.sum()) - np.repeat(at, n) + np.repeat(first, n)
+    last = i + np.repeat(np.minimum(counts, width), n) - 1
+    return xxh64_ranges(data, starts[i], ends[last] - starts[i]), np.repeat(np.arange(len(texts)), n), n
+
+
+def fingerprint_texts(texts: list[bytes], width: int = 3) -> np.ndarray:
+    """Unsigned fingerprints: bit set if set in over half the shingles' XXH64 (seed 42)."""
+    return majority(*shingle_hashes(texts, width))
+
+
+def stirred(h: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes, one of each (the finaliser of SplitMix64)."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_fingerprints(texts: list[bytes], many: int) -> np.ndarray:
+    """``many`` independent fingerprints of each text's words, lower-cased: a word's second occurrence is another word than its first."""
+    h, owner, n = shingle_hashes(texts, 1)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    at = np.arange(len(h))
+    nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h = stirred(h + nth * np.uint64(0x9E3779B97F4A7C15))
+        return np.stack([majority(stirred(h + np.uint64(k + 1) * np.uint64(0xD1B54A32D192ED03)), owner, n) for k in range(many)], axis=1)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
@@ -60,61 +91,109 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", also: tuple[str, ...]
     return by_row(docs, [*(F.col(c).cast("long").alias(c) for c in names), text_bytes()], ", ".join(f"{c} long" for c in (*names, "fp")), rows)
 
 
-def links_of_list(fps: np.ndarray, keep: tuple[int, ...], max_bits: int, cells: int = 1 << 22):
-    """Verified pairs of one posting list, whose members share the bytes at the positions ``keep``, some members at a time.
+@lru_cache
+def choices(share: int, size: int) -> list[tuple[int, ...]]:
+    """Sets of ``size`` positions of eight such that any ``share`` positions hold one of them: the most useful first, ties in order."""
+    wanted, out = {frozenset(x) for x in combinations(range(8), share)}, []
+    while wanted:
+        best = max(combinations(range(8), size), key=lambda x: sum(w.issuperset(x) for w in wanted))
+        out.append(best)
+        wanted = {w for w in wanted if not w.issuperset(best)}
+    return out
+
+
+def design(max_bits: int) -> list[tuple[int, ...]]:
+    """The positions of the index's lists for a limit of bits."""
+    if not 0 < max_bits < 7:
+        raise ValueError("max_bits must be 1 to 6")
+    return choices(8 - max_bits, 7 - max_bits)
+
 
-    A tile of members is tallied against all later ones, so that memory is bounded. A pair
-    that shares more than the minimum is in several lists and left to the one with the first positions.
-    Yields the places of each pair in the sorted distinct members.
+@lru_cache
+def first_choice(max_bits: int) -> np.ndarray:
+    """For each set of shared positions, as bits, the first of the design's choices within it; 255 if there is none."""
+    out = np.full(256, 255, np.uint8)
+    for k, keep in reversed(list(enumerate(design(max_bits)))):
+        bits = sum(1 << p for p in keep)
+        out[[m for m in range(256) if m & bits == bits]] = k
+    return out
+
+
+def near_in_list(f: np.ndarray, k: int, max_bits: int, tile: np.ndarray | None = None, cells: int = 1 << 20):
+    """Pairs of a list's members (unsigned fingerprints) that share the minimum of bytes, belong to this list and are near.
+
+    Some members are tallied at a time against all later ones, so that memory is bounded. With ``tile``, only pairs of
+    different tiles. Yields places i < j, and the bits that differ.
     """
-    f = np.unique(fps.view(np.uint64))
-    places = f.view(np.uint8).reshape(-1, 8)
-    tile = max(1, cells // len(f))
-    for k in range(0, len(f), tile):
-        some = places[k : k + tile]
-        tally = np.zeros((len(some), len(f) - k), np.uint8)
-        ours = np.ones(tally.shape, bool)
+    first, step = first_choice(max_bits), max(1, cells // max(1, len(f)))
+    for at in range(0, len(f), step):
+        differ = f[at : at + step, None] ^ f[None, at:]
+        shared = np.zeros(differ.shape, np.uint8)
         for p in range(8):
-            same = some[:, p, None] == places[None, k:, p]
-            # the list's own positions are the first that the pair shares
-            ours &= ~same | (tally >= len(keep)) | (p in keep)
-            tally += same
-        differ = np.bitwise_count(f[k : k + tile, None] ^ f[None, k:])
-        i, j = np.nonzero((tally >= 8 - max_bits) & ours & (differ <= max_bits))
-        yield k + i[i < j], k + j[i < j]
+            shared |= ((differ >> np.uint64(8 * p)) & np.uint64(255) == 0).astype(np.uint8) << np.uint8(p)
+        i, j = np.nonzero((np.bitwise_count(shared) >= 8 - max_bits) & (first[shared] == k))
+        bits = np.bitwise_count(differ[i, j])
+        ok = (i < j) & (bits <= max_bits)
+        i, j, bits = at + i[ok], at + j[ok], bits[ok]
+        if tile is not None:
+            apart = tile[i] != tile[j]
+            i, j, bits = i[apart], j[apart], bits[apart]
+        yield i, j, bits
+
+
+def tile_of(f: np.ndarray, tiles: int) -> np.ndarray:
+    return np.mod(f.view(np.int64), tiles)
 
 
-def spanning(fps: np.ndarray, keep: tuple[int, ...], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a list's members that join the same members as all its verified pairs, fewer than the members."""
+def spanning(fps: np.ndarray, k: int, max_bits: int, tiles: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a list's members that join the same members as all its near pairs, fewer than the members.
+
+    ``tiles``: the members are those of two tiles of a long list, whose own pairs are found elsewhere.
+    """
     f = np.unique(fps.view(np.uint64))
     root = np.arange(len(f))
-    for i, j in links_of_list(fps, keep, max_bits):
+    for i, j, _ in near_in_list(f, k, max_bits, tile_of(f, tiles) if tiles else None):
         if len(i):
             root = labels_of(len(f), np.concatenate([np.arange(len(f)), i]), np.concatenate([root, j]))
     led = np.flatnonzero(root != np.arange(len(f)))
     return f[led].view(np.int64), f[root[led]].view(np.int64)
 
 
-def near_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+def postings(fps: DataFrame, fp: str, max_bits: int, *also: str) -> DataFrame:
+    """(k, shared, fp, further columns): a row for each choice of positions, with the bytes found there."""
+    masks = [sum(255 << 8 * p for p in keep) for keep in design(max_bits)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(k).cast("short").alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("shared")) for k, m in enumerate(signed)])
+    rows = fps.select(F.col(fp).alias("fp"), *also)
+    # A fingerprint has many postings: the table is dealt to as many tasks as a shuffle has.
+    rows = rows.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns)
+    return rows.select("fp", *also, F.explode(keys).alias("x")).select("x.k", "x.shared", "fp", *also)
+
+
+def lists(of: DataFrame, member: Column, by: tuple[str, ...] = ("k", "shared"), tile: int = TILE) -> DataFrame:
+    """(by, i, j, tiles, members): the lists of postings that have two members or more; those with over ``tile`` members by pairs of tiles.
+
+    tiles is null for a list that is whole; else the row has the members of tiles i and j.
+    """
+    long_ones = small(checkpoint(of.groupBy(*by).count().where(F.col("count") > tile).select(*by, (F.floor(F.col("count") / (2 * tile)) * 2 + 3).cast("int").alias("tiles"))))
+    marked = of.join(long_ones, list(by), "left").withColumn("own", F.expr("pmod(fp, tiles)").cast("int"))
+    two = F.expr("if(tiles is null, array(named_struct('i', 0, 'j', 0)), transform(sequence(0, tiles - 1), u -> named_struct('i', least(own, u), 'j', greatest(own, u))))")
+    dealt = marked.withColumn("two", F.explode(two))
+    out = dealt.groupBy(*by, "two.i", "two.j", "tiles").agg(F.collect_list(member).alias("members"))
+    return out.where(F.size("members") > 1)
+
+
+def near_pairs(fps: DataFrame, max_bits: int = 2, tile: int = TILE) -> DataFrame:
     """(a, b): links between distinct fingerprints of column fp that join the same ones as all pairs within ``max_bits`` bits.
 
     Each list gives fewer links than it has members, however many pairs are near in it.
     """
-    if not 0 < max_bits < 8:
-        raise ValueError("max_bits must be 1 to 7")
-    keeps = list(combinations(range(8), 8 - max_bits))
-    masks = [sum(255 << 8 * p for p in keep) for keep in keeps]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("shared")) for k, m in enumerate(signed)])
-    # A fingerprint has many postings: the table is dealt to as many tasks as a shuffle has.
-    postings = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select("fp", F.explode(keys).alias("x")).select("fp", "x.k", "x.shared")
-    lists = postings.groupBy("k", "shared").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
 
     def rows(cols):
-        found = [spanning(np.array(members, np.int64), keeps[k], max_bits) for k, members in zip(*cols, strict=True)]
+        found = [spanning(np.array(members, np.int64), k, max_bits, tiles if i != j else None) for k, members, tiles, i, j in zip(*cols, strict=True)]
         return {"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}
 
-    return by_row(lists, ["k", "members"], "a long, b long", rows)
+    return by_row(lists(postings(fps, "fp", max_bits), F.col("fp"), tile=tile), ["k", "members", "tiles", "i", "j"], "a long, b long", rows, 64)
 
 
 def components(fps: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -138,3 +217,95 @@ def near_dups(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id") -> Dat
     rep = whole.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fp.join(rep, "fp").select(id_col, hexed, "component_id")
+
+
+def nearest(f: np.ndarray, k: int, max_bits: int, tile: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Near pairs of a list, of each member the ``most`` nearest later ones alone, and whether any were left out."""
+    found, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], False
+    for i, j, bits in near_in_list(f, k, max_bits, tile):
+        order = np.lexsort((j, bits, i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        more |= bool((rank >= most).any())
+        found.append((i[rank < most], j[rank < most]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]), more
+
+
+def similar(pairs: DataFrame, shingles: DataFrame, at_least: float) -> DataFrame:
+    """The pairs (a, b) whose arrays of distinct shingles have a Jaccard similarity of ``at_least``."""
+    one, two = (shingles.select(F.col("row").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("n") >= at_least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+
+
+def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width: int = 5, max_bits: int = 4, prints: int = 3, most: int = 8) -> DataFrame:
+    """(row, component): texts that are linked by a Jaccard similarity of ``at_least`` between their distinct shingles of ``width`` words.
+
+    Words are lower-cased (A to Z). Candidates are within ``max_bits`` bits in one of several fingerprints of their words;
+    each is verified by its whole shingles before it links, so unlike texts never do. A list with very many near pairs
+    first gives the ``most`` nearest of each member; once these have linked, all its near pairs between different
+    components follow, so that none is lost. Texts with the same words in the same order are one text before
+    anything is paired; null and empty texts and those of spaces alone are one such text. ``row`` must be distinct longs; component is
+    the smallest of a group. An empty table gives no rows. Very long texts have their distinct shingles in one array.
+    """
+
+    def measured(cols):
+        texts = [b" ".join(t.lower().split()) for t in cols[1]]
+        f = word_fingerprints(texts, prints).view(np.int64)
+        h, owner, _ = shingle_hashes(texts, width)
+        n = np.bincount(np.unique(np.stack([owner.astype(np.uint64), h]), axis=1)[0].astype(np.int64), minlength=len(texts)) if len(h) else np.zeros(len(texts), np.int64)
+        return {"row": cols[0], "text_key": [xxhash.xxh3_128_digest(t) for t in texts], "n": n, "f": list(f)}
+
+    rows = stored(by_row(docs, [F.col(row).cast("long").alias("row"), text_bytes()], "row long, text_key binary, n long, f array<long>", measured))
+    reps = stored(rows.groupBy("text_key").agg(F.min(F.struct("row", "n", "f")).alias("x")).select("text_key", "x.*"))
+    each = reps.where("n > 0").select("row", "n", F.posexplode("f").alias("q", "fp"))
+    by = ("q", "k", "shared")
+    index = postings(each, "fp", max_bits, "row", "n", "q").select("q", "k", "shared", "fp", "row", "n")
+
+    def candidates(cols):
+        out: dict[str, list] = {c: [] for c in ("a", "b", "more", *by)}
+        for q, k, shared, members, tiles, i, j in zip(*cols, strict=True):
+            f = np.array([m["fp"] for m in members], np.int64)
+            n, ids, part = (np.array([m[c] for m in members], np.int64) for c in ("n", "row", "part"))
+            a, b, more = nearest(f.view(np.uint64), k, max_bits, tile_of(f, tiles) if i != j else None, most if part.min() < 0 else len(f))
+            ok = (np.minimum(n[a], n[b]) >= at_least * np.maximum(n[a], n[b])) & ((part[a] < 0) | (part[a] != part[b]))
+            a, b = ids[a[ok]], ids[b[ok]]
+            out["a"] += [*np.minimum(a, b).tolist(), None][: len(a) + more]
+            out["b"] += [*np.maximum(a, b).tolist(), None][: len(a) + more]
+            out["more"] += [False] * len(a) + [True] * more
+            for c, v in zip(by, (q, k, shared), strict=True):
+                out[c] += [v] * (len(a) + more)
+        return out
+
+    def paired(of: DataFrame) -> DataFrame:
+        return by_row(of, [*by, "members", "tiles", "i", "j"], "a long, b long, more boolean, q int, k short, shared long", candidates, 16)
+
+    member = F.struct("fp", "row", "n", F.lit(-1).cast("long").alias("part"))
+    found = stored(paired(lists(index, member, by)))
+    pairs = found.where("not more").select("a", "b").distinct()
+    named = stored(pairs)
+
+    def shingles_of(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+
+        def arrays(cols):
+            h, owner, _ = shingle_hashes(cols[1], width)
+            cut = np.searchsorted(owner, np.arange(len(cols[1]) + 1))
+            return {"row": cols[0], "s": [np.unique(h[x:y]).view(np.int64) for x, y in zip(cut, cut[1:], strict=False)]}
+
+        return by_row(docs.select(F.col(row).cast("long").alias("row"), "text").join(asked, "row", "left_semi"), ["row", text_bytes()], "row long, s array<long>", arrays, 64)
+
+    links = stored(similar(named, stored(shingles_of(named)), at_least))
+    parts = checkpoint(connected_components(links))
+    # lists that had more near pairs than they gave: now those between components that are still apart
+    dense = found.where("more").select(*by).distinct()
+    again = index.join(small(checkpoint(dense)), list(by), "left_semi").join(parts.select(F.col("node").alias("row"), "component"), "row", "left")
+    again = again.withColumn("part", F.coalesce("component", "row"))
+    apart = again.groupBy(*by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*by)
+    again = again.join(apart, list(by), "left_semi")
+    late = stored(paired(lists(again.select(*by, "fp", "row", "n", "part"), F.struct("fp", "row", "n", "part"), by)).select("a", "b").distinct())
+    if not late.isEmpty():
+        links = links.unionByName(similar(late, stored(shingles_of(late)), at_least))
+        parts = connected_components(links)
+    own = reps.join(parts.withColumnRenamed("node", "row"), "row", "left").select("text_key", F.coalesce("component", "row").alias("component"))
+    return rows.select("row", "text_key").join(own, "text_key").select("row", "component")

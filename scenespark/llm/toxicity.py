@@ -174,7 +174,7 @@ def swapped(text: str, key: int) -> list[tuple[Counter, Counter]]:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 4_000, least_texts: int = 4, swap_weight: float = 1.0, seed: int = 42, id_col: str = "doc_id") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 4_000, least_texts: int = 4, swap_weight: float = 20.0, seed: int = 42, id_col: str = "doc_id") -> Model:
     """Fit on at most ``sample`` labels that are not held out, the first by a seeded hash of the id.
 
     An id with several labels counts by its highest, one with several texts by the first of them in
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_feature
     return Model(model.place, w, start)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 20_000, swap_weight: float = 1.0, id_col: str = "doc_id") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 20_000, swap_weight: float = 20.0, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 
     held_out is true if crc32 of the id as text leaves 2 when divided by 4; those rows' labels are never

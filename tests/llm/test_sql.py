@@ -12,7 +12,7 @@ from .edges import documents
 
 def same(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", *(("clicks", "sales") if sf_dir.startswith(DATA) else ())):
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet{'' if sf_dir.startswith(DATA) else '/*.parquet'}')")
     plain = lambda rows: sorted(str(tuple(round(float(x), 6) if isinstance(x, float) else x for x in r)) for r in rows)
     got = QUERIES[name](spark, sf_dir)
@@ -44,6 +44,10 @@ def test_query_equals_sql(spark, name):
     assert same(spark, f"{DATA}/sf0.001", name)
 
 
+def test_manifest_of_edges_equals_sql(spark, edge_dir):
+    same(spark, edge_dir, "op13_merkle")
+
+
 def test_mixing_of_edges_equals_sql(spark, edge_dir):
     same(spark, edge_dir, "op8_mixing")
 

@@ -99,22 +99,98 @@ def test_simhash_links_are_whole(spark, bits):
     assert groups([(r["a"], r["b"]) for r in links]) == groups(near)
 
 
+@pytest.mark.parametrize("bits,most", [(1, 4), (2, 11), (3, 23), (4, 23), (6, 8)])
+def test_choices_cover_what_near_pairs_share(bits, most):
+    keys = simhash.design(bits)
+    assert len(keys) <= most and all(len(k) == 7 - bits for k in keys)
+    assert all(any(set(k) <= set(x) for k in keys) for x in itertools.combinations(range(8), 8 - bits))
+    for mask in range(256):
+        held = [k for k, keep in enumerate(keys) if all(mask >> p & 1 for p in keep)]
+        assert simhash.first_choice(bits)[mask] == min(held, default=255)
+
+
 @pytest.mark.parametrize("bits", [1, 2, 4])
 def test_tallies_give_every_pair_once(bits):
-    """Over all lists of the index, each pair within the bits is verified in one list alone."""
+    """Over all lists of the index, each pair within the bits is verified in one list alone, and the tally rejects others."""
     rng = random.Random(bits)
     f = sorted({b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in (rng.getrandbits(64) for _ in range(30)) for n in range(6)})
-    got = []
-    for keep in itertools.combinations(range(8), 8 - bits):
+    got, met = [], 0
+    for k, keep in enumerate(simhash.design(bits)):
         mask = sum(255 << 8 * p for p in keep)
         lists = collections.defaultdict(list)
         for x in f:
             lists[x & mask].append(x)
         for members in lists.values():
-            for i, j in simhash.links_of_list(np.array(members, np.uint64).view(np.int64), keep, bits, cells=7):
-                got += [(sorted(members)[a], sorted(members)[b]) for a, b in zip(i, j)]
+            met += len(members) * (len(members) - 1) // 2
+            for i, j, _ in simhash.near_in_list(np.array(members, np.uint64), k, bits, cells=7):
+                got += [(members[a], members[b]) for a, b in zip(i, j)]
     want = {(a, b) for a, b in itertools.combinations(f, 2) if (a ^ b).bit_count() <= bits}
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20 and met > len(want)
+
+
+@pytest.mark.parametrize("tile", [8, 50])
+def test_long_lists_by_tiles(spark, tile):
+    rng = random.Random(tile)
+    hub = rng.getrandbits(64)
+    f = sorted({hub ^ (rng.getrandbits(10) << 3) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in f]
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    parts = [{frozenset(x) for x in groups_of(signed, [(r["a"], r["b"]) for r in simhash.near_pairs(table, 2, tile=t).collect()])} for t in (tile, 4096)]
+    near = [(signed[i], signed[j]) for i, j in itertools.combinations(range(len(f)), 2) if (f[i] ^ f[j]).bit_count() <= 2]
+    assert parts[0] == parts[1] == {frozenset(x) for x in groups_of(signed, near)}
+
+
+def groups_of(nodes, pairs):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    out = collections.defaultdict(set)
+    for x in nodes:
+        out[find(x)].add(x)
+    return list(out.values())
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("most", [1, 8])
+def test_near_copies_against_all_pairs(spark, most):
+    """Components are those of links by exact similarity; few nearest ones a member make the second step find the rest."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(600)]
+    texts = []
+    for k in range(25):
+        base = rng.choices(vocabulary, k=rng.choice([20, 80, 300]))
+        texts += [" ".join(base)] + [edited(rng, base, rng.choice([0, 1, 1, 2, 9])) for _ in range(5)]
+    hub = rng.choices(vocabulary, k=400)
+    texts += [edited(rng, hub, 1) for _ in range(60)]
+    texts += [None, "", " \t", "one two", "ONE two", "x " * 3000]
+    got = {r["row"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3), most=most).collect()}
+    sets = [shingle_set(t) for t in texts]
+    like = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (not sets[a] and not sets[b]) or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    want = groups_of(range(len(texts)), like)
+    # nothing unlike is joined, and at most one pair in ten that is alike is missed
+    assert len(got) == len(texts) and all(got[x] == min(y for y in got if got[y] == got[x]) for x in got)
+    whole = {x: k for k, g in enumerate(want) for x in g}
+    assert all(whole[x] == whole[c] for x, c in got.items())
+    assert sum(got[a] == got[b] for a, b in like) >= 0.9 * len(like)
+    assert len({got[x] for x in range(150, 210)}) == 1 and got[210] == got[211] == got[212] and got[213] == got[214]
+    assert simhash.near_copies(spark.createDataFrame([], "row long, text string")).count() == 0
 
 
 def test_simhash_ids_of_several_texts(spark):
