@@ -19,26 +19,18 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
-#: Bits in which the fingerprints of near copies may differ. At sf0.1, no pair of unlike texts is within 5.
-NEAR_BITS = 4
-
-
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: the one with the smallest id, any id before none.
 
-    Rows without an id link and go like others; of rows with equal ids in a group one stays, and
+    Texts link at a similarity of 0.8 or more of their shingles of five words; candidates come from the index of
+    fingerprints, and each is compared whole before it links. Rows without an id link and go like others; of rows with equal ids in a group one stays, and
     rows with equal ids in different groups all stay. Null and empty texts are one group. Of equal ids
-    in a group the row that stays is the first as the input was stored. Columns may have any names.
-    Fingerprints link at 4 bits or fewer: of texts with a similarity of 0.8 or more, most differ in more than 2.
+    in a group the row that stays is the first as the input was stored. Texts of any length are compared whole. Columns may have any names.
     """
-    own = docs.select(F.struct(*docs.columns).alias("own"), F.monotonically_increasing_id().alias("row"))
-    rows = stored(own)
-    prints = checkpoint(simhash.fingerprints(rows.select(F.col("own.doc_id").alias("doc_id"), F.col("own.text").alias("text"), "row"), "doc_id", ("row",)))
-    groups = simhash.components(checkpoint(prints.select("fp").distinct()), max_bits=NEAR_BITS)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    # copies of a text share a fingerprint: the first of them, before any join
-    each = prints.groupBy("fp").agg(first.alias("x"))
-    stay = each.join(groups, "fp").groupBy("component").agg(F.min("x").alias("x")).select("x.row")
+    rows = stored(docs.select(F.struct(*docs.columns).alias("own"), F.monotonically_increasing_id().alias("row")))
+    groups = simhash.near_copies(rows.select("row", F.col("own.text").alias("text")))
+    first = F.min(F.struct(F.col("own.doc_id").isNull(), F.col("own.doc_id"), F.col("row").alias("row")))
+    stay = rows.select("row", F.struct(F.col("own.doc_id").alias("doc_id")).alias("own")).join(groups, "row").groupBy("component").agg(first.alias("x")).select("x.row")
     return rows.join(stay, "row", "left_semi").select("own.*")
 
 
