@@ -238,7 +238,7 @@ def similar(pairs: DataFrame, shingles: DataFrame, at_least: float) -> DataFrame
     return both.where(F.col("n") >= at_least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
-def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width: int = 5, max_bits: int = 4, prints: int = 3, most: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width: int = 5, max_bits: int = 3, prints: int = 7, most: int = 8) -> DataFrame:
     """(row, component): texts that are linked by a Jaccard similarity of ``at_least`` between their distinct shingles of ``width`` words.
 
     Words are lower-cased (A to Z). Candidates are within ``max_bits`` bits in one of several fingerprints of their words;
