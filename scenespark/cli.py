@@ -39,7 +39,15 @@ def build_parser() -> argparse.ArgumentParser:
             p.add_argument(flag, dest=dest, type=kind, default=None)
         p.add_argument("--no-ema", dest="use_ema", action="store_false", default=None)
         p.add_argument("--no-caption", dest="enabled", action="store_false", default=None)
-        p.add_argument("--realtime", action="store_true")
+        p.add_argument("--fps", type=float, default=0.0, help="rate of a folder's frames, which are then read on the grid of the interval")
+        p.add_argument("--start", type=float, default=None, help="leave out frames before this second")
+        p.add_argument("--end", type=float, default=None, help="leave out frames from this second on")
+        p.add_argument("--workers", type=int, default=8, help="stretches of a folder that are read side by side")
+        p.add_argument("--realtime", action="store_true", help="follow the source until stopped")
+        p.add_argument("--frames-per-batch", type=int, default=30, help="of each stream, with --realtime")
+        p.add_argument("--late-sec", type=float, default=5.0, help="how late a frame may come, with --realtime")
+        p.add_argument("--idle-sec", type=float, default=60.0, help="after so long without frames a stream has ended, with --realtime")
+        p.add_argument("--stop-after", type=float, default=None, help="seconds after which a followed source is left")
         p.add_argument("--log-level", default="INFO", choices=("DEBUG", "INFO", "WARNING", "ERROR"))
         if name == "benchmark":
             p.add_argument("--embedders", nargs="+", default=["phash", "hsv"])
@@ -77,8 +85,8 @@ def main(argv: list[str] | None = None) -> int:
     from .operators.captions import compare_models, prompts
     from .plans.pipeline import Pipeline, benchmark
     from .sources import sinks
-    from .sources.frames import open_source, sample
-    from .streaming.shots import Progress, restarted, two_sinks
+    from .sources.frames import is_table, open_source, sample
+    from .streaming.shots import Progress
 
     load_dotenv(".env")
     spark = SparkSession.builder.appName("scenespark").getOrCreate()
@@ -89,11 +97,19 @@ def main(argv: list[str] | None = None) -> int:
     label = args.source.rstrip("/").rpartition("/")[2] or "run"
 
     def frames(embedder: str, realtime: bool = False):
-        return open_source(spark, args.source, realtime, embedder, cfg.sampler.interval_sec, 1, resolve_device(cfg.embedder.device), cfg.embed_max_width)
+        return open_source(spark, args.source, realtime, embedder, cfg.sampler.interval_sec, args.frames_per_batch, resolve_device(cfg.embedder.device), cfg.embed_max_width, args.fps, args.start, args.end, args.workers)
 
     if args.command == "benchmark":
+        if is_table(args.source):
+            table = frames("")
+            if "embedder" not in table.columns:
+                raise SystemExit("a benchmark needs images to embed, or a table of frames with a column embedder")
+            by_name = {n: table.where(table["embedder"] == n).drop("embedder") for n in args.embedders}
+        else:
+            by_name = {n: frames(n) for n in args.embedders}
         folder = sinks.run_folder(cfg.output_root, "benchmark")
-        print(sinks.write_report(spark, folder, "benchmark", "Embedders", benchmark({n: frames(n) for n in args.embedders}, cfg), "Agreement is of the picks' times with the first embedder's, within 1.5 s."))
+        rows = benchmark({n: sample(f, cfg.sampler.interval_sec) for n, f in by_name.items()}, cfg)
+        print(sinks.write_report(spark, folder, "benchmark", "Embedders", rows, "Agreement is of the picks' times with the first embedder's, within 1.5 s."))
     elif args.command == "caption-bench":
         if model is None:
             raise SystemExit("caption-bench needs --caller module:function")
@@ -101,11 +117,12 @@ def main(argv: list[str] | None = None) -> int:
         folder = sinks.run_folder(cfg.output_root, "caption_bench")
         print(sinks.write_report(spark, folder, "caption_bench", "Models", compare_models(prompts(run.picks, cfg.captioner), args.models, model).drop("content")))
     elif args.realtime:
-        folder = sinks.run_folder(cfg.output_root, label)
-        spark.streams.addListener(Progress(lambda event: print(event, flush=True)))
-        rows = pipeline.stream(frames(args.name, True), sample=True)
-        restarted(lambda: two_sinks(rows, f"{folder}/frames", f"{folder}/events", f"{folder}/state").trigger(availableNow=True).start())
-        print(folder)
+        listener = Progress(lambda event: print(event, flush=True))
+        spark.streams.addListener(listener)
+        try:
+            print(pipeline.follow(frames(args.name, True), label, model, args.late_sec, args.idle_sec, args.stop_after))
+        finally:
+            spark.streams.removeListener(listener)
     else:
         print(pipeline.write(pipeline.run(sample(frames(args.name), cfg.sampler.interval_sec), model), label))
     return 0

@@ -53,6 +53,7 @@ class EmbedderConfig:
 class PipelineConfig:
     output_root: str = "outputs"
     embed_max_width: int = 640
+    cache_frames: bool = True
     sampler: SamplerConfig = field(default_factory=SamplerConfig)
     segmenter: SegmenterConfig = field(default_factory=SegmenterConfig)
     selector: SelectorConfig = field(default_factory=SelectorConfig)

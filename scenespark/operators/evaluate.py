@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_count, word_count
-
-
-def latency(x: str) -> list[Column]:
-    """Mean and interpolated percentiles of a column, and frames a second."""
-    return [F.round(F.avg(x), 6).alias("mean_ms"), F.round(F.percentile(x, 0.5), 6).alias("p50_ms"), F.round(F.percentile(x, 0.95), 6).alias("p95_ms"), F.round(1000 / F.greatest(F.avg(x), F.lit(1e-6)), 6).alias("fps")]
+from .prefix import running
+from .ranks import quantiles
 
 
 def latency_summary(rows: DataFrame, by: str, x: str) -> DataFrame:
-    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("frames"), *latency(x))
+    """Frames, mean, interpolated percentiles and frames a second of each key."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("frames"), F.avg(x).alias("_mean"))
+    ranks = quantiles(rows, by, x, [0.5, 0.95]).withColumnRenamed(by, "_by")
+    out = counts.join(ranks, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return out.select(by, "frames", F.round("_mean", 6).alias("mean_ms"), F.round("q0", 6).alias("p50_ms"), F.round("q1", 6).alias("p95_ms"), F.round(1000 / F.greatest("_mean", F.lit(1e-6)), 6).alias("fps"))
 
 
 def running_latency(rows: DataFrame, by: str, order: list[str], x: str) -> DataFrame:
     """Mean of all rows so far."""
-    so_far = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running_ms", F.avg(x).over(so_far)).withColumn("seen", F.count(F.lit(1)).over(so_far))
+    known = rows.withColumn("_has", F.col(x).isNotNull())
+    so_far = running(known, [by], order, {"_sum": x, "_n": "_has", "seen": None})
+    return so_far.withColumn("running_ms", F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))).drop("_sum", "_n", "_has")
 
 
 def run_summary(sampled: DataFrame, picks: DataFrame) -> DataFrame:
@@ -32,12 +34,18 @@ def run_summary(sampled: DataFrame, picks: DataFrame) -> DataFrame:
 
 def live_counters(sampled: DataFrame, picks: DataFrame | None = None) -> DataFrame:
     """Frames, shots and, with picks, picks up to each frame."""
-    so_far = Window.partitionBy("stream_id").orderBy("timestamp_sec", "source_idx").rowsBetween(Window.unboundedPreceding, 0)
-    out = sampled.withColumn("frames_so_far", F.count(F.lit(1)).over(so_far)).withColumn("segments_so_far", F.sum(F.col("is_shot_start").cast("long")).over(so_far))
-    if picks is None:
-        return out
-    marked = out.join(picks.select("stream_id", "source_idx", F.lit(1).alias("_k")), ["stream_id", "source_idx"], "left")
-    return marked.withColumn("picks_so_far", F.count("_k").over(so_far)).drop("_k")
+    adds = {"frames_so_far": None, "segments_so_far": "is_shot_start"}
+    if picks is not None:
+        marked = picks.select("stream_id", "source_idx", F.lit(True).alias("_k"))
+        sampled = sampled.join(marked, ["stream_id", "source_idx"], "left")
+        adds |= {"picks_so_far": "_k"}
+    return running(sampled, ["stream_id"], ["timestamp_sec", "source_idx"], adds).drop("_k")
+
+
+def by_embedder(rows: DataFrame) -> DataFrame:
+    """A benchmark's rows, of embedders and streams, summed up for each embedder."""
+    sums = [F.sum(c).alias(c) for c in ("frames", "segments", "picks")]
+    return rows.groupBy("embedder").agg(F.count(F.lit(1)).alias("streams"), *sums, F.round(F.avg("jaccard"), 6).alias("jaccard"))
 
 
 def caption_metrics(rows: DataFrame, model: str, text: str) -> DataFrame:

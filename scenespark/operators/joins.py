@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from bisect import bisect_left, insort
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def mark_picks(frames: DataFrame, picks: DataFrame) -> DataFrame:
     """All frames, with the pick at the same time to three places, or null."""
@@ -38,37 +40,51 @@ def nearest(frames: DataFrame, points: DataFrame, key: str = "stream_id") -> Dat
     return both.select(key, "point", "t", first.alias("f")).select(key, "point", "t", F.col("f.t").alias("frame_t"), F.col("f.source_idx").alias("source_idx"))
 
 
-def matches(a, b, tolerance: float) -> int:
-    """Times of ``a``, in order, that find a free time of ``b``; only those within the tolerance are looked at."""
-    times = np.sort(np.asarray(b, np.float64))
-    free, n = np.ones(len(times), bool), 0
-    reach = tolerance + 1e-9
-    for t in a:
-        lo, hi = np.searchsorted(times, (t - reach, t + reach + 1e-9))
-        band = np.flatnonzero(free[lo:hi]) + lo
-        if len(band):
-            off = np.abs(times[band] - t)
-            near = band[len(band) - 1 - int(off[::-1].argmin())]
-            if abs(times[near] - t) <= reach:
-                free[near] = False
-                n += 1
-    return n
-
-
-def match_one_to_one(pairs: DataFrame, by: list[str], tolerance: float) -> DataFrame:
-    """How many times of list ``a`` find a time of list ``b`` of their own within ``tolerance``.
-
-    ``pairs``: the keys, and arrays a and b in order. Each a in turn takes the nearest b that is
-    free, the last of equally near ones. Columns matched, n_a, n_b, jaccard (both empty: 1).
-    """
+class FreeTimes:
+    """Times of ``b`` within reach of those of ``a`` that are still to come, in order: the only state of a match."""
+
+    def __init__(self) -> None:
+        self.free: list[float] = []
 
-    @F.pandas_udf("long")
-    def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([matches(x, y, tolerance) for x, y in zip(a, b, strict=True)], dtype="int64")
+    def take(self, t: float, reach: float) -> bool:
+        """Take the free time nearest to ``t``, the later of two equally near ones, if it is within reach."""
+        gone = bisect_left(self.free, t - 2 * reach)
+        del self.free[:gone]
+        k = bisect_left(self.free, t)
+        off = [abs(self.free[i] - t) if 0 <= i < len(self.free) else float("inf") for i in (k - 1, k)]
+        near = k if off[1] <= off[0] else k - 1
+        if off[near - k + 1] > reach:
+            return False
+        del self.free[near]
+        return True
 
-    rows = pairs.select(*by, count("a", "b").alias("matched"), F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
+
+def match_times(rows: DataFrame, by: list[str], tolerance: float, keys: DataFrame | None = None) -> DataFrame:
+    """How many times of side ``a`` find a time of side ``b`` of their own within ``tolerance``.
+
+    ``rows``: the keys, side ("a" or "b") and t; nulls are left out. Each a in order of time takes the nearest b that is free, the later of equally near
+    ones. Both sides are merged in the order in which an a can be decided, when all times within its reach have gone by, so that one
+    pass holds no more than the free times within reach. Columns matched, n_a, n_b, jaccard. ``keys``: those that get a row, with 0, 0, 0 and 1 where
+    neither side has a time; else those that have one.
+    """
+    reach = tolerance + 1e-9
+    merged = rows.where("t is not null").select(*by, "side", F.col("t").cast("double").alias("t"))
+    merged = merged.withColumn("_due", F.when(F.col("side") == "a", F.col("t") + reach + 1e-6 * (1 + F.abs("t") * 1e-6)).otherwise(F.col("t")))
+
+    def step(state: FreeTimes, side: str, t: float) -> tuple[int]:
+        if side == "b":
+            insort(state.free, t)
+            return (0,)
+        return (int(state.take(t, reach)),)
+
+    told = fold(merged, by, ["_due", F.col("side").desc(), "t"], ["side", "t"], FreeTimes, step, "hit long")
+    one = lambda side: F.sum((F.col("side") == side).cast("long"))
+    out = told.groupBy(*by).agg(F.sum("hit").alias("matched"), one("a").alias("n_a"), one("b").alias("n_b"))
+    if keys is not None:
+        none = F.lit(0).cast("long")
+        out = keys.select(*by).distinct().join(out, by, "left").select(*by, *[F.coalesce(c, none).alias(c) for c in ("matched", "n_a", "n_b")])
     either = F.col("n_a") + F.col("n_b") - F.col("matched")
-    return rows.withColumn("jaccard", F.when(either == 0, F.lit(1.0)).otherwise(F.col("matched") / either))
+    return out.withColumn("jaccard", F.when(either == 0, F.lit(1.0)).otherwise(F.col("matched") / either))
 
 
 def with_images(picks: DataFrame, images: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..config import SegmenterConfig
 from ..functions.vectors import np_cosine
-from .folds import fold
+from .prefix import running
+from .speculate import stitched
 
 
 class ShotState:
@@ -47,12 +48,12 @@ class ShotState:
 
 
 def segment_frames(frames: DataFrame, cfg: SegmenterConfig = SegmenterConfig()) -> DataFrame:
-    """Frames with sim_to_shot_mean, is_shot_start, segment_id; one shuffle, by stream.
+    """Frames with sim_to_shot_mean, is_shot_start, segment_id; a sort by stream and time over ranges, so that a long stream lies in many tasks.
 
-    Frames without an embedding are left out: nothing can be compared with them.
+    Pieces of a stream are folded side by side and stitched (``speculate``). Frames without an embedding are left
+    out: nothing can be compared with them. Times and numbers of a stream's frames should differ.
     """
-    rows = frames.where("embedding is not null")
-    return fold(rows, ["stream_id"], ["timestamp_sec", "source_idx"], ["embedding", "timestamp_sec"], lambda: ShotState(cfg), lambda s, e, t: s.ingest(e, t), "sim_to_shot_mean double, is_shot_start boolean, segment_id int")
+    return stitched(frames.where("embedding is not null"), "stream_id", ["timestamp_sec", "source_idx"], lambda: ShotState(cfg))[0]
 
 
 def segment_frames_sql(frames: DataFrame, cfg: SegmenterConfig = SegmenterConfig()) -> DataFrame:
@@ -86,5 +87,5 @@ def event_log(sampled: DataFrame) -> DataFrame:
 
 def segment_from_flags(frames: DataFrame) -> DataFrame:
     """The shot of each frame from start flags alone: their running count, from 0."""
-    so_far = F.sum(F.col("is_shot_start").cast("int")).over(Window.partitionBy("stream_id").orderBy("timestamp_sec", "source_idx").rowsBetween(Window.unboundedPreceding, 0))
-    return frames.withColumn("segment_from_flags", F.greatest(so_far - 1, F.lit(0)).cast("int"))
+    so_far = running(frames, ["stream_id"], ["timestamp_sec", "source_idx"], {"_starts": "is_shot_start"})
+    return so_far.withColumn("segment_from_flags", F.greatest(F.col("_starts") - 1, F.lit(0)).cast("int")).drop("_starts")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SelectorConfig
 from ..functions.text import target_k
 from ..functions.vectors import cosine, zscore
+from ..store import checkpoint
 from .folds import fold
+from .prefix import in_order
 
 SHOT = ["stream_id", "segment_id"]
 
@@ -51,22 +54,77 @@ def pick_spaced(scored: DataFrame, cfg: SelectorConfig = SelectorConfig()) -> Da
     return fold(rows, SHOT, ["rank_in_segment"], ["timestamp_sec", "k"], list, step, "picked boolean").where("picked").drop("picked", "k")
 
 
-class Kept:
-    """Unit vectors kept so far, as rows of one matrix that grows by doubling."""
-
-    def __init__(self) -> None:
-        self.rows, self.n = np.zeros((0, 0)), 0
-
-    def most_like(self, x: np.ndarray) -> float:
-        return float((self.rows[: self.n] @ x).max()) if self.n else -np.inf
-
-    def add(self, x: np.ndarray) -> None:
-        if self.n == len(self.rows):
-            rows = np.zeros((max(16, 2 * self.n), len(x)))
-            rows[: self.n] = self.rows[: self.n] if self.n else 0
-            self.rows = rows
-        self.rows[self.n] = x
-        self.n += 1
+UNDECIDED, KEPT, GONE = 0, 1, 2
+
+
+def decide(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """What is certain of a block's candidates, in order: kept if no better one near it is left or undecided, gone if one near it is kept."""
+    block = block.sort_values("_id")
+    x = np.stack(block["e"].to_numpy())
+    gone, blocked = block["gone"].to_numpy(bool), block["blocked"].to_numpy(bool)
+    state = np.full(len(x), GONE)
+    chosen: list[int] = []  # kept and undecided ones, in order
+    near = np.zeros((0, x.shape[1]))
+    for k in range(len(x)):
+        if gone[k]:
+            continue
+        like = near[: len(chosen)] @ x[k] > threshold
+        those = state[chosen][like] if like.any() else []
+        if KEPT in those:
+            continue
+        state[k] = UNDECIDED if blocked[k] or len(those) else KEPT
+        if len(chosen) == len(near):
+            near = np.concatenate([near, np.zeros((max(16, len(near)), x.shape[1]))])
+        near[len(chosen)] = x[k]
+        chosen.append(k)
+    return pd.DataFrame({"stream_id": block["stream_id"], "_block": block["_block"], "_id": block["_id"], "e": block["e"], "state": state})
+
+
+def meet(better: pd.DataFrame, worse: pd.DataFrame, threshold: float, tile: int = 256) -> pd.DataFrame:
+    """Candidates of the worse block that are near one of the better block: gone if that one is kept, else blocked."""
+    if not len(better) or not len(worse):
+        return pd.DataFrame({"_id": [], "gone": [], "blocked": []}).astype({"_id": "int64", "gone": bool, "blocked": bool})
+    x, kept, out = np.stack(better["e"].to_numpy()), (better["state"] == KEPT).to_numpy(), []
+    for k in range(0, len(worse), tile):
+        part = worse.iloc[k : k + tile]
+        like = np.stack(part["f"].to_numpy()) @ x.T > threshold
+        out.append(pd.DataFrame({"_id": part["of"].to_numpy(), "gone": like[:, kept].any(1), "blocked": like[:, ~kept].any(1)}))
+    out = pd.concat(out)
+    return out[out["gone"] | out["blocked"]]
+
+
+def first_free(vectors: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """(_id): the candidates that a walk in order of _id keeps, taking none that is too like one taken before; and the rounds that took.
+
+    ``vectors``: stream_id, _block (which holds a stretch of the order), _id, and unit vectors e. In a round a candidate is decided as soon as
+    all better ones near it are, so that blocks are judged side by side; pairs of blocks meet in tasks of their own, and no block holds more than
+    it and one other.
+    """
+    kind = "stream_id string, _block int, _id long, e array<double>, state int"
+    flags = "_id long, gone boolean, blocked boolean"
+    left = checkpoint(vectors.select("stream_id", "_block", "_id", "e"))
+    # streams that lie in several blocks, fewer than there are blocks
+    wide = left.groupBy("stream_id").agg(F.collect_set("_block").alias("blocks")).where(F.size("blocks") > 1)
+    wide = checkpoint(wide)
+    many = not wide.isEmpty()
+    kept, newly, rounds = None, None, 0
+    while True:
+        rounds += 1
+        if many:
+            better = left.withColumn("state", F.lit(UNDECIDED))
+            better = better if newly is None else better.unionByName(newly)
+            better = better.join(wide, "stream_id").withColumn("j", F.explode(F.filter("blocks", lambda b: b > F.col("_block")))).select("stream_id", F.col("_block").alias("i"), "j", "e", "state")
+            worse = left.join(wide, "stream_id").withColumn("i", F.explode(F.filter("blocks", lambda b: b < F.col("_block")))).select(F.col("stream_id").alias("s"), "i", F.col("_block").alias("j"), F.col("_id").alias("of"), F.col("e").alias("f"))
+            met = better.groupBy("stream_id", "i", "j").cogroup(worse.groupBy("s", "i", "j")).applyInPandas(lambda a, b: meet(a, b, threshold), flags)
+            met = met.groupBy("_id").agg(F.bool_or("gone").alias("gone"), F.bool_or("blocked").alias("blocked"))
+            asked = left.join(met, "_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("gone", "blocked")})
+        else:
+            asked = left.withColumns({"gone": F.lit(False), "blocked": F.lit(False)})
+        judged = checkpoint(asked.groupBy("stream_id", "_block").applyInPandas(lambda b: decide(b, threshold), kind))
+        newly, left = judged.where(F.col("state") == KEPT), judged.where(F.col("state") == UNDECIDED).drop("state")
+        kept = newly.select("_id") if kept is None else kept.unionByName(newly.select("_id"))
+        if not many or left.isEmpty():
+            return kept, rounds
 
 
 def diversity(candidates: DataFrame, cfg: SelectorConfig = SelectorConfig(), score: str = "composite_score") -> DataFrame:
@@ -76,23 +134,19 @@ def diversity(candidates: DataFrame, cfg: SelectorConfig = SelectorConfig(), sco
     """
     if cfg.diversity_sim_threshold >= 1:
         return candidates
-
-    def step(kept: Kept, e) -> tuple[bool]:
-        if e is None:
-            return (True,)
-        x = np.asarray(e, np.float64)
-        size = np.sqrt(x @ x)
-        x = x / size if size else x
-        ok = not kept.most_like(x) > cfg.diversity_sim_threshold
-        if ok:
-            kept.add(x)
-        return (ok,)
-
     order = [F.desc(score), F.col("segment_id"), F.col("timestamp_sec"), F.col("source_idx")]
-    judged = fold(candidates, ["stream_id"], order, ["embedding"], Kept, step, "kept boolean")
-    stream = Window.partitionBy("stream_id")
-    judged = judged.withColumn("_n", F.sum(F.col("kept").cast("int")).over(stream)).withColumn("_d", F.row_number().over(Window.partitionBy("stream_id", "kept").orderBy(*order)))
-    return judged.where(F.col("kept") | (F.col("_d") <= cfg.min_picks - F.col("_n"))).drop("kept", "_n", "_d")
+    rows = in_order(candidates, ["stream_id"], order).withColumn("_block", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    x = F.col("embedding").cast("array<double>")
+    size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+    unit = F.when(size > 0, F.transform(x, lambda v: v / size)).otherwise(x)
+    kept, _ = first_free(rows.where("embedding is not null").select(F.to_json(F.struct("stream_id")).alias("stream_id"), "_block", "_id", unit.alias("e")), cfg.diversity_sim_threshold)
+    judged = rows.join(kept.withColumn("_kept", F.lit(True)), "_id", "left").withColumn("_kept", F.col("embedding").isNull() | F.coalesce("_kept", F.lit(False)))
+    judged = judged.drop("_block")
+    have = judged.groupBy("stream_id").agg(F.count_if("_kept").alias("_n"))
+    # the best others of each stream: a limit for each group, which Spark takes before it shuffles
+    others = judged.where(~F.col("_kept")).withColumn("_d", F.row_number().over(Window.partitionBy("stream_id").orderBy("_id"))).where(F.col("_d") <= max(cfg.min_picks, 0))
+    floor = others.join(have.withColumnRenamed("stream_id", "_s"), F.col("stream_id").eqNullSafe(F.col("_s"))).where(F.col("_d") <= cfg.min_picks - F.col("_n"))
+    return judged.where("_kept").select(*candidates.columns).unionByName(floor.select(*candidates.columns))
 
 
 def number_picks(rows: DataFrame, start: int = 1) -> DataFrame:

@@ -14,7 +14,7 @@ from ..schema import SEGMENT
 from ..sources import frames as src
 from ..sources import sinks
 from ..store import fresh_path, written
-from ..streaming import shots
+from ..streaming import ordered, shots
 
 # Thresholds at which the test vectors, which are nearly random, give shots and near copies.
 SEG = SegmenterConfig(sim_threshold=0.05, min_shot_sec=2.0, ema_alpha=0.25)
@@ -267,10 +267,8 @@ m AS (SELECT stream_id,1 i,a,b free,0 n FROM l UNION ALL SELECT stream_id,i+1,a,
 SELECT m.stream_id,n::BIGINT matched,len(l.a) n_a,len(l.b) n_b,round(CASE WHEN len(l.a)+len(l.b)=0 THEN 1 ELSE n/(len(l.a)+len(l.b)-n) END,6) jaccard FROM m JOIN l USING(stream_id) WHERE i=len(l.a)+1""")
 def tolerance_jaccard(spark, d):
     rows = ev(spark, d)
-    none = F.array().cast("array<double>")
-    times = lambda kind: F.coalesce(F.array_sort(F.collect_list(F.when(F.col("event_type") == kind, F.col("timestamp_sec")))), none)
-    pairs = rows.groupBy("stream_id").agg(times("click").alias("a"), times("view").alias("b"))
-    return joins.match_one_to_one(pairs, ["stream_id"], 86400.0).withColumn("jaccard", F.round("jaccard", 6))
+    sides = rows.where("event_type in ('click', 'view')").select("stream_id", F.when(F.col("event_type") == "click", "a").otherwise("b").alias("side"), F.col("timestamp_sec").alias("t"))
+    return joins.match_times(sides, ["stream_id"], 86400.0, rows).withColumn("jaccard", F.round("jaccard", 6))
 
 
 # --- visual data ------------------------------------------------------------------------------------
@@ -311,12 +309,6 @@ def run_summary(spark, d):
     return evaluate.run_summary(*keyed(spark, d))
 
 
-@query("SELECT event_type embedder,count(*) frames,count(DISTINCT user_id) streams,round(avg(value),6) mean_ms,round(quantile_cont(value,0.95),6) p95_ms FROM events GROUP BY 1")
-def benchmark_rollup(spark, d):
-    rows = read(spark, d, "events").groupBy(F.col("event_type").alias("embedder"))
-    return rows.agg(F.count(F.lit(1)).alias("frames"), F.countDistinct("user_id").alias("streams"), F.round(F.avg("value"), 6).alias("mean_ms"), F.round(F.percentile("value", 0.95), 6).alias("p95_ms"))
-
-
 @query("WITH h AS (SELECT event_type,floor(value/8)::INT bin,count(*) n FROM events WHERE value>=0 AND value<256 GROUP BY 1,2) SELECT event_type,bin,n,round(n/sum(n) OVER (PARTITION BY event_type),9) share FROM h")
 def hist32_l1(spark, d):
     return evaluate.histogram_l1(read(spark, d, "events"), "event_type", "value").withColumn("share", F.round("share", 9))
@@ -449,6 +441,41 @@ def streaming_sample(spark, d):
     return shots.run_available(shots.stream_sample(src.frames_from_events(rows), GAP)).select("stream_id", "source_idx", r6("timestamp_sec"))
 
 
+def arrivals(spark, d) -> DataFrame:
+    """The frames as a stream of four arrivals of two files each, in which frames come up to nine seconds late."""
+    return ordered.in_batches(emb(spark, d), 4, 9.0, 2)
+
+
+def ordered_shots(spark, d) -> DataFrame:
+    return ordered.drained(ordered.stream_ordered(arrivals(spark, d), SEG, SEL, late_sec=10.0, idle_sec=20.0), fresh_path(spark)).withColumn("stream_id", F.col("stream_id").cast("int"))
+
+
+@query(f"{TO_SEG} {FRAMES_OUT}")
+def streaming_late_frames(spark, d):
+    return frames_out(ordered_shots(spark, d).where("kind = 'frame'"))
+
+
+@query(f"{TO_SEG} SELECT stream_id,sid::INT segment_id,start start_sec,end_ end_sec,n num_frames,CASE WHEN closed THEN 'cut' ELSE 'idle' END closed_by FROM seg")
+def streaming_closed_shots(spark, d):
+    return ordered_shots(spark, d).where("kind = 'segment_closed'").select("stream_id", "segment_id", "start_sec", "end_sec", "num_frames", "closed_by")
+
+
+@query(f"{TO_CAND} SELECT stream_id,row_number() OVER (PARTITION BY stream_id ORDER BY t)::INT pick_id,sid::INT segment_id,vec_id source_idx,(rn-1)::INT rank_in_segment,comp,round(repr,6) repr FROM cand")
+def streaming_picks(spark, d):
+    """The picks that come with each closed shot, over all batches."""
+    rows = ordered.closed_picks(ordered_shots(spark, d))
+    return rows.select("stream_id", "pick_id", "segment_id", "source_idx", "rank_in_segment", F.round("composite_score", 6).alias("comp"), F.round("representativeness", 6).alias("repr"))
+
+
+@query(f"{TO_CAND}, b AS (SELECT stream_id,sid,least(3,count(*)) m FROM cand GROUP BY 1,2), x AS (SELECT stream_id,sid,m,start,end_,printf('Shot starting at t=%.1fs, ending at t=%.1fs (%.1fs long). %d frame(s) follow.',start,end_,end_-start,m) line FROM b JOIN seg USING(stream_id,sid)) SELECT 'segment_caption' event,stream_id,sid::INT segment_id,start start_sec,end_ end_sec,m::INT frames_sent,'default said '||length(line) \"text\",'default' model,'' error FROM x")
+def streaming_captions(spark, d):
+    """A second streaming query that captions the shots which the first one closes, each with a checkpoint of its own."""
+    path = fresh_path(spark)
+    ordered.drained(ordered.stream_ordered(arrivals(spark, d), SEG, SEL, late_sec=10.0, idle_sec=20.0), path)
+    ordered.caption_stream(spark, f"{path}/rows", f"{path}/captions", f"{path}/captioned", lambda name, prompt: f"{name} said {len(prompt)}").trigger(availableNow=True).start().awaitTermination()
+    return ordered.read_captions(spark, f"{path}/captions").drop("latency_sec").withColumn("stream_id", F.col("stream_id").cast("int"))
+
+
 @query("""WITH m AS (SELECT max(ts) - INTERVAL 6 HOUR w FROM events) SELECT user_id stream_id, epoch_us(date_trunc('day', ts)) / 1e6 begin_sec, count(*) frames, round(avg(value), 6) sharpness
 FROM events, m GROUP BY 1, 2, w HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= w""")
 def streaming_windows(spark, d):
@@ -537,10 +564,33 @@ def live_counters_picks(spark, d):
     return evaluate.live_counters(*keyed(spark, d)).select("stream_id", "source_idx", "frames_so_far", "segments_so_far", "picks_so_far")
 
 
-@query(f"{TO_KF} SELECT e.embedder,x.stream_id,frames,segments,picks,duration_sec,1.0::DOUBLE jaccard FROM (VALUES ('one'),('two')) e(embedder), (SELECT stream_id,count(*) frames,count(DISTINCT sid) segments,max(t)-min(t) duration_sec FROM fr GROUP BY 1) x JOIN (SELECT stream_id,count(*) picks FROM kf GROUP BY 1) y USING(stream_id)")
+def run_sql(vector: str) -> str:
+    """Shots and picks of the vectors that an expression makes of the embeddings: tables fr and kf."""
+    return TO_KF.replace("embedding::DOUBLE[] e,", f"{vector} e,")
+
+
+ONE, TWO = "embedding::DOUBLE[]", "embedding[1:32]::DOUBLE[]"
+EACH_ = ", ".join(f"fr{k} AS ({run_sql(v)} SELECT * FROM fr), kf{k} AS ({run_sql(v)} SELECT * FROM kf)" for k, v in ((1, ONE), (2, TWO)))
+COUNT_ = " UNION ALL ".join(f"SELECT '{n}' embedder,x.*,coalesce(y.picks,0) picks FROM (SELECT stream_id,count(*) frames,count(DISTINCT sid) segments,max(t)-min(t) duration_sec FROM fr{k} GROUP BY 1) x LEFT JOIN (SELECT stream_id,count(*) picks FROM kf{k} GROUP BY 1) y USING(stream_id)" for k, n in ((1, "one"), (2, "two")))
+MATCH_ = """l AS (SELECT c.embedder,c.stream_id,coalesce(a.ts,[]::DOUBLE[]) a,coalesce(b.ts,[]::DOUBLE[]) b FROM c LEFT JOIN (SELECT stream_id,list(t ORDER BY t) ts FROM kf1 GROUP BY 1) a USING(stream_id) LEFT JOIN (SELECT 'one' embedder,stream_id,list(t ORDER BY t) ts FROM kf1 GROUP BY ALL UNION ALL SELECT 'two',stream_id,list(t ORDER BY t) FROM kf2 GROUP BY ALL) b USING(embedder,stream_id)),
+m AS (SELECT embedder,stream_id,1 i,a,b free,0 n FROM l UNION ALL SELECT embedder,stream_id,i+1,a,CASE WHEN j IS NULL THEN free ELSE list_concat(free[1:j-1],free[j+1:]) END,n+(j IS NOT NULL)::INT FROM m, LATERAL (SELECT max(k) j FROM (SELECT k,abs(free[k]-a[i]) x FROM (SELECT unnest(range(1,len(free)+1)) k)) WHERE x<=1.5+1e-9 AND x=(SELECT min(abs(y-a[i])) FROM (SELECT unnest(free) y))) WHERE i<=len(a))"""
+
+
+@query(f"WITH RECURSIVE {EACH_}, c AS ({COUNT_}), {MATCH_} SELECT c.embedder,c.stream_id,frames,segments,picks,duration_sec,round_even(CASE WHEN len(l.a)+len(l.b)=0 THEN 1 ELSE n/(len(l.a)+len(l.b)-n) END,3) jaccard FROM c JOIN m USING(embedder,stream_id) JOIN l USING(embedder,stream_id) WHERE i=len(l.a)+1")
 def benchmark_embedders(spark, d):
-    """Two embedders with equal vectors, in one plan: equal counts, full agreement."""
+    """Two embedders in one plan: the vectors, and their first halves."""
+    return both_embedders(spark, d)
+
+
+@query(f"WITH RECURSIVE {EACH_}, c AS ({COUNT_}), {MATCH_}, j AS (SELECT embedder,stream_id,round_even(CASE WHEN len(l.a)+len(l.b)=0 THEN 1 ELSE n/(len(l.a)+len(l.b)-n) END,3) jaccard FROM m JOIN l USING(embedder,stream_id) WHERE i=len(l.a)+1) SELECT embedder,count(*) streams,sum(frames)::BIGINT frames,sum(segments)::BIGINT segments,sum(picks)::BIGINT picks,round(avg(jaccard),6) jaccard FROM c JOIN j USING(embedder,stream_id) GROUP BY 1")
+def benchmark_rollup(spark, d):
+    """A row per embedder of the same benchmark."""
+    return evaluate.by_embedder(both_embedders(spark, d))
+
+
+def both_embedders(spark, d) -> DataFrame:
     from .pipeline import benchmark
 
-    both = emb(spark, d).withColumn("embedder", F.explode(F.array(F.lit("one"), F.lit("two"))))
-    return benchmark(both, PipelineConfig(segmenter=SEG, selector=SEL))
+    whole = emb(spark, d)
+    half = whole.withColumn("embedding", F.slice("embedding", 1, 32))
+    return benchmark({"one": whole, "two": half}, PipelineConfig(segmenter=SEG, selector=SEL))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import embedders
 from ..functions.vectors import var_pop
 from ..operators.folds import fold
+from ..operators.prefix import running
 from ..schema import PICK_CSV
+from ..store import exists
+from . import images
 
 MEDIA = ("mp4", "mov", "mkv", "avi", "webm", "m4v")
 
@@ -65,8 +68,8 @@ def grid_sample(frames: DataFrame, interval_sec: float, fps: float, key: str = "
     """
     if interval_sec <= 0 or fps <= 0:
         raise ValueError("interval and rate must be positive")
-    order = Window.partitionBy(key).orderBy("timestamp_sec", "source_idx")
-    rows = frames.select(key, F.col("source_idx").alias("frame"), (F.row_number().over(order) - 1).alias("n"))
+    placed = running(frames.select(key, "source_idx", "timestamp_sec"), [key], ["timestamp_sec", "source_idx"], {"_at": None})
+    rows = placed.select(key, F.col("source_idx").alias("frame"), (F.col("_at") - 1).alias("n"))
     length = rows.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
     last = F.floor((F.col("count") / fps - 1e-6) / interval_sec)
     last = F.when(last * interval_sec < F.col("count") / fps - 1e-6, last).otherwise(last - 1)
@@ -142,23 +145,55 @@ def capture(frames: DataFrame, seconds: float | None = None, most: int | None =
     return frames
 
 
-def open_source(spark: SparkSession, spec: str, realtime: bool = False, embedder: str = "phash", interval_sec: float = 1.0, files_per_batch: int = 1, device: str = "auto", max_width: int = 0) -> DataFrame:
-    """A table of frames (``.parquet``) or a folder of images, as a batch or, paced, as a stream of new files.
+def frames_folder(spark: SparkSession, path: str, fps: float = 1.0, interval_sec: float | None = None, start: float | None = None, end: float | None = None, workers: int = 8) -> DataFrame:
+    """The frames of a folder on a sampling grid, with their files' bytes and pixels, a task for each stretch of a stream.
 
-    Cameras and network streams need a decoder that writes their frames to a folder; reading that with
-    ``realtime`` follows it. Other specs are an error.
+    Stretches begin on the grid and stand in order of time. Files outside the range from ``start`` on and before ``end`` are never opened.
+    """
+    images.register(spark)
+    bounded = start is not None or end is not None
+    options = {"path": path, "fps": str(fps), "workers": str(workers), "pushdown": str(bounded).lower()} | ({"interval_sec": str(interval_sec)} if interval_sec else {})
+    return between(spark.read.format("frames").options(**options).load(), start, end)
+
+
+def live_frames(spark: SparkSession, path: str, fps: float = 1.0, most: int = 30, start: str = "begin") -> DataFrame:
+    """A stream of the frames that a decoder writes to a folder, at most so many of each stream in a batch."""
+    images.register(spark)
+    return spark.readStream.format("frames").options(path=path, fps=str(fps), most=str(most), start=start).load()
+
+
+def embedded(rows: DataFrame, embedder: str = "phash", device: str = "auto", max_width: int = 0) -> DataFrame:
+    """Frames with pixels (column ``image``) as frames with embedding and sharpness; those without pixels are left out."""
+    whole = rows.where("image is not null")
+    made = whole.withColumn("embedding", embedders.embed(F.col("image"), embedder, device, max_width)).withColumn("sharpness", embedders.image_sharpness(F.col("image")))
+    return made.select("stream_id", "source_idx", "analyzed_idx", "timestamp_sec", "embedding", "sharpness", "bgr_path")
+
+
+def is_table(name: str) -> bool:
+    return name.rstrip("/").endswith(".parquet")
+
+
+def open_source(spark: SparkSession, spec: str, realtime: bool = False, embedder: str = "phash", interval_sec: float = 1.0, files_per_batch: int = 1, device: str = "auto", max_width: int = 0, fps: float = 0.0, start: float | None = None, end: float | None = None, workers: int = 8) -> DataFrame:
+    """A table of frames (``.parquet``) or a folder of images, as a batch or, with ``realtime``, as a stream of what comes in.
+
+    A folder with a rate (``fps``) is read on the grid of ``interval_sec`` in ``workers`` stretches, of PNG files; without one, all its images, of
+    any kind, ``interval_sec`` apart. With ``realtime`` it is followed, ``files_per_batch`` frames of each stream a batch. Cameras and network streams need a
+    decoder that writes their frames to a folder. Other specs are an error.
     """
     kind, name = sampled_source(spark, spec)
     if kind != "file":
         raise ValueError(f"{kind} {name!r}: let a decoder write its frames to a folder and open that with realtime=True")
-    if pick_backend(kind, realtime) == "stream":
-        if not name.rstrip("/").endswith(".parquet"):
-            raise ValueError("a paced source is a folder of Parquet files of frames")
+    way = pick_backend(kind, realtime, workers, fps > 0)
+    if way == "stream":
+        if not is_table(name):
+            return embedded(live_frames(spark, name, fps or 1 / interval_sec, files_per_batch), embedder, device, max_width)
         schema = spark.read.parquet(name).schema
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(name)
-    if name.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(name)
-    return frames_from_images(spark, name, embedder, interval_sec, 0, device, max_width)
+    if is_table(name):
+        return between(spark.read.parquet(name), start, end)
+    if way == "scan":
+        return between(frames_from_images(spark, name, embedder, interval_sec, 0, device, max_width), start, end)
+    return embedded(frames_folder(spark, name, fps, interval_sec, start, end, workers if way == "parallel" else 1), embedder, device, max_width)
 
 
 def read_picks(spark: SparkSession, path: str) -> DataFrame:
@@ -181,15 +216,30 @@ def run_history(spark: SparkSession, root: str, most: int = 200) -> DataFrame:
 
 
 def load_run(spark: SparkSession, run: str) -> DataFrame:
-    """An overview of one run, a row per stream: counts from its summary, or, where that lacks them, from its tables."""
-    table = lambda name: spark.read.csv(f"{run}/{name}.csv", header=True).withColumn("stream_id", F.col("stream_id").try_cast("long"))
-    frames = table("analyzed_frames").groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_frames"), (F.max(F.col("timestamp_sec").try_cast("double")) - F.min(F.col("timestamp_sec").try_cast("double"))).alias("span"))
+    """An overview of one run, a row per stream: counts from its summary, or, where that lacks them, from its tables.
+
+    A table or a summary that is missing or broken counts as empty: streams are those that any part knows.
+    """
+
+    def table(name: str, *columns: str) -> DataFrame:
+        if exists(spark, f"{run}/{name}.csv"):
+            rows = spark.read.csv(f"{run}/{name}.csv", header=True)
+            if {"stream_id", *columns} <= {*rows.columns}:
+                return rows.withColumn("stream_id", F.col("stream_id").try_cast("long")).where("stream_id is not null")
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns) + ", stream_id long" if columns else "stream_id long")
+
+    frames = table("analyzed_frames", "timestamp_sec").groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_frames"), (F.max(F.col("timestamp_sec").try_cast("double")) - F.min(F.col("timestamp_sec").try_cast("double"))).alias("span"))
     segments = table("segments").groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_segments"))
     picks = table("picks").groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_picks"))
     kind = "streams array<struct<stream_id:long,frames:long,segments:long,picks:long,duration_sec:double>>"
-    said = spark.read.text(f"{run}/summary.json", wholetext=True).select(F.inline(F.from_json("value", kind)["streams"]))
-    every = frames.join(segments, "stream_id", "left").join(picks, "stream_id", "left").join(said, "stream_id", "left")
-    return every.select("stream_id", F.coalesce("frames", "n_frames").alias("frames"), F.coalesce("segments", "n_segments", F.lit(0)).alias("segments"), F.coalesce("picks", "n_picks", F.lit(0)).alias("picks"), F.coalesce("duration_sec", "span").alias("duration_sec"))
+    whole, part = f"{run}/summary_rows", f"{run}/summary.json"
+    said = spark.createDataFrame([], "stream_id long, frames long, segments long, picks long, duration_sec double")
+    if exists(spark, whole):
+        said = spark.read.schema(said.schema).json(whole)
+    elif exists(spark, part):
+        said = spark.read.text(part, wholetext=True).select(F.inline(F.from_json("value", kind)["streams"]))
+    every = frames.join(segments, "stream_id", "full").join(picks, "stream_id", "full").join(said.where("stream_id is not null"), "stream_id", "full")
+    return every.select("stream_id", F.coalesce("frames", "n_frames", F.lit(0)).alias("frames"), F.coalesce("segments", "n_segments", F.lit(0)).alias("segments"), F.coalesce("picks", "n_picks", F.lit(0)).alias("picks"), F.coalesce("duration_sec", "span").alias("duration_sec"))
 
 
 def probe(meta: DataFrame, column: str = "meta") -> DataFrame:

@@ -12,17 +12,23 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of checkpoints that the cluster shares.
 
     Only where neither the context nor spark.checkpoint.dir names one is a temporary folder made, and
-    only if all executors are threads of this process; on a cluster that is an error.
+    only if all executors are threads of this process; on a cluster, one of this machine's own processes too, that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
+        if not named and (sc.master.partition("[")[0] != "local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; partitions stay as they are."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def fresh_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
@@ -47,3 +53,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -113,11 +113,15 @@ def test_image_folder_to_picks(spark, tmp_path):
     over = src.load_run(spark, folder).first()
     assert src.run_history(spark, str(tmp_path / "out")).count() == 1 and (over["frames"], over["segments"], over["picks"]) == (8, 2, len(want))
     assert "## Shots" in read_text(spark, f"{folder}/README.md") and "disabled" in read_text(spark, f"{folder}/caption.md") and "# Captions of shots" in read_text(spark, f"{folder}/segments.md")
-    copies = spark.read.parquet(f"{folder}/images").collect()
-    assert len(copies) == len(want) and all(bytes(r["content"]).startswith(b"\x89PNG") and r["saved_path"].startswith("kf_") for r in copies)
+    for r in back.collect():
+        assert r["saved_path"].startswith("picks/0/kf_") and open(f"{folder}/{r['saved_path']}", "rb").read(4) == b"\x89PNG"  # noqa: SIM115
+    assert len(os.listdir(f"{folder}/picks/0")) == len(want) and len(os.listdir(f"{folder}/frames/0")) == 8
+    summary = json.loads(read_text(spark, f"{folder}/summary.json"))
+    assert (summary["shown"], summary["of"]) == (1, 1) and spark.read.json(f"{folder}/summary_rows").count() == 1
     seen = Pipeline(PipelineConfig()).run(f, model=sees, images=spark.read.format("binaryFile").load(str(tmp_path / "*.png")))
     assert all(r["text"].startswith("default: text,text,image") for r in seen.captions.collect()) and seen.shot_captions.count() == seen.segments.count()
     assert "| frames |" in sinks.markdown("T", run.summary.select("frames"))
+    assert "2 of 8 rows are shown; all of them are in `x`." in sinks.markdown("T", run.sampled.select("source_idx"), 2, "x")
     two = benchmark({"hsv": f, "phash": src.frames_from_images(spark, str(tmp_path), "phash")})
     assert {r["embedder"]: r["jaccard"] for r in two.collect()}["hsv"] == 1.0
 
@@ -218,13 +222,45 @@ def test_command_line_runs(spark, tmp_path, capsys):
     assert main(["run", f"{tmp_path}/f.parquet", *common]) == 0
     folder = capsys.readouterr().out.strip().splitlines()[-1]
     assert src.load_run(spark, folder).first()["frames"] == 30
-    assert main(["run", f"{tmp_path}/f.parquet", "--realtime", "--output-root", f"{tmp_path}/live"]) == 0
-    live = [x for x in capsys.readouterr().out.strip().splitlines() if "/live/" in x][-1]
-    assert spark.read.parquet(f"{live}/frames").count() == 30
+    with pytest.raises(SystemExit):
+        main(["benchmark", f"{tmp_path}/f.parquet", *common])
     assert main(["caption-bench", f"{tmp_path}/f.parquet", *common, "--models", "a", "b", "--caller", "tests.test_sources_streams:answer"]) == 0
     assert "a says" in capsys.readouterr().out
 
 
+def test_overview_of_a_broken_run(spark, tmp_path):
+    """Tables and summaries that are missing, or know other streams, take nothing away."""
+    assert src.load_run(spark, f"{tmp_path}/none").count() == 0
+    sinks.write_csv(spark.createDataFrame([(1, 0.0), (1, 2.5), (2, 1.0)], "stream_id int, timestamp_sec double"), f"{tmp_path}/a/analyzed_frames.csv")
+    (tmp_path / "a" / "summary.json").write_text(json.dumps({"streams": [{"stream_id": 7, "frames": 5, "segments": 2, "picks": 1, "duration_sec": 3.0}]}))
+    got = {r["stream_id"]: (r["frames"], r["segments"], r["picks"], r["duration_sec"]) for r in src.load_run(spark, f"{tmp_path}/a").collect()}
+    assert got == {1: (2, 0, 0, 2.5), 2: (1, 0, 0, 0.0), 7: (5, 2, 1, 3.0)}
+
+
+def test_comparison_is_written(spark, tmp_path):
+    from scenespark.plans.pipeline import write_comparison
+
+    rows = [("a", s, float(s)) for s in range(250)] + [("b", s, s + 1.0) for s in range(250)]
+    text = write_comparison(spark.createDataFrame(rows, "run string, stream_id int, timestamp_sec double"), f"{tmp_path}/c")
+    assert "200 of 500 rows are shown" in text and spark.read.json(f"{tmp_path}/c/compare_rows").count() == 500
+    assert json.loads((tmp_path / "c" / "compare.json").read_text())["of"] == 500
+
+
+def test_cluster_of_processes_needs_a_named_folder():
+    from types import SimpleNamespace
+
+    from scenespark.store import shared_folder
+
+    def session(master):
+        sc = SimpleNamespace(getCheckpointDir=lambda: None, master=master, getConf=lambda: SimpleNamespace(get=lambda name: None), setCheckpointDir=lambda path: None)
+        return SimpleNamespace(sparkContext=sc)
+
+    for master in ("local-cluster[2,1,1024]", "spark://x:7077"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
+    shared_folder(session("local[2]"))
+
+
 def answer(name, prompt):
     return f"{name} says {len(prompt)}"
 
