@@ -54,6 +54,7 @@ class PipelineConfig:
     output_root: str = "outputs"
     embed_max_width: int = 640
     cache_frames: bool = True
+    cache_width: int = 640
     sampler: SamplerConfig = field(default_factory=SamplerConfig)
     segmenter: SegmenterConfig = field(default_factory=SegmenterConfig)
     selector: SelectorConfig = field(default_factory=SelectorConfig)

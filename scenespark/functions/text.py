@@ -109,6 +109,20 @@ def closed_message(segment: Column, end: Column, duration: Column, n: Column) ->
     return F.format_string("Segment #%d closed at t=%.1fs (%.1fs, %d frames)", segment, end, duration, n)
 
 
+def frame_message(number: Column, t: Column, sim: Column, sharp: Column, embed_ms: Column, begins: Column) -> Column:
+    """The message of a sampled frame, numbered from 1."""
+    line = F.format_string("Frame %d: t=%.1fs  sim=%.3f  sharp=%.0f  embed=%.1fms", number, t, sim, sharp, embed_ms)
+    return F.concat(line, F.when(begins, "  [SHOT START]").otherwise(""))
+
+
+def caption_message(segment: Column, start: Column, end: Column, text: Column) -> Column:
+    return F.format_string("Segment #%d (%.1f-%.1fs): %s", segment, start, end, text)
+
+
+def complete_message(frames: Column, segments: Column, picks: Column, wall_sec: Column) -> Column:
+    return F.format_string("Complete: %d frames -> %d segments -> %d keyframes  (%.1fs wall)", frames, segments, picks, wall_sec)
+
+
 def banner(pick: Column, segment: Column, t: Column) -> Column:
     return F.format_string("KF%02d  seg #%d  t=%.1fs", pick, segment, t)
 

@@ -98,7 +98,7 @@ class Pipeline:
         if "bgr_path" in picks.columns:
             sinks.copy_images(picks, folder, sinks.pick_path(picks))
             if cfg.cache_frames:
-                sinks.copy_images(run.sampled, folder, sinks.frame_path())
+                sinks.copy_images(run.sampled, folder, sinks.frame_path(), cfg.cache_width)
         return folder
 
 

@@ -409,6 +409,60 @@ def laplacian_grid(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(vectors.var_pop(lap), 9).alias("sharpness"))
 
 
+BYTE_ = "least(255,greatest(0,round_even((v+1)*127.5::DOUBLE,0)))::DOUBLE"
+GRID_ = f"g AS (SELECT vec_id,(k-1)//8 r,(k-1)%8 c,{BYTE_} v FROM (SELECT vec_id,unnest(embedding::DOUBLE[]) v,generate_subscripts(embedding,1) k FROM embeddings))"
+
+
+def as_bytes(v) -> F.Column:
+    """Numbers between -1 and 1 as bytes."""
+    whole = F.transform(v.cast("array<double>"), lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.rint((x + 1) * 127.5).cast("int"))))
+    return F.unhex(F.array_join(F.transform(whole, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+
+
+def pictures(spark, d, height: int, width: int, channels: int) -> DataFrame:
+    """The vectors as small images: their first numbers as bytes."""
+    size = height * width * channels
+    image = F.struct(F.lit(height).alias("height"), F.lit(width).alias("width"), F.lit(channels).alias("nChannels"), as_bytes(F.slice("embedding", 1, size)).alias("data"))
+    return read(spark, d, "embeddings").select("vec_id", image.alias("image"))
+
+
+@query(f"WITH {GRID_}, l AS (SELECT a.vec_id,sum(CASE WHEN b.r=a.r AND b.c=a.c THEN 0 ELSE b.v*((b.c=a.c)::INT*((b.r=CASE a.r WHEN 0 THEN 1 ELSE a.r-1 END)::INT+(b.r=CASE a.r WHEN 7 THEN 6 ELSE a.r+1 END)::INT)+(b.r=a.r)::INT*((b.c=CASE a.c WHEN 0 THEN 1 ELSE a.c-1 END)::INT+(b.c=CASE a.c WHEN 7 THEN 6 ELSE a.c+1 END)::INT)) END)-4*any_value(a.v) v FROM g a JOIN g b ON a.vec_id=b.vec_id AND abs(a.r-b.r)+abs(a.c-b.c)<=1 GROUP BY a.vec_id,a.r,a.c) SELECT vec_id,round(var_pop(v),6) sharpness FROM l GROUP BY 1")
+def image_sharpness(spark, d):
+    """The sharpness of each vector's image, by the kernel that frames go through."""
+    return pictures(spark, d, 8, 8, 1).select("vec_id", F.round(embedders.image_sharpness(F.col("image")), 6).alias("sharpness"))
+
+
+@query(f"""WITH {GRID_}, w AS (SELECT k,i,sum(cos(pi()*(2*x+1)*k/64.0::DOUBLE))*sqrt(2/32.0::DOUBLE)*CASE WHEN k=0 THEN 1/sqrt(2::DOUBLE) ELSE 1 END w FROM range(8) a(k),range(8) b(i),range(32) t(x) WHERE x//4=i GROUP BY k,i),
+q AS (SELECT vec_id,a.k*8+b.k n,sum(v*a.w*b.w) v FROM g JOIN w a ON a.i=g.r JOIN w b ON b.i=g.c GROUP BY 1,2), m AS (SELECT vec_id,median(v) m FROM q WHERE n>0 GROUP BY 1)
+SELECT vec_id,sum((v>m)::INT)::INT ones,string_agg((v>m)::INT::VARCHAR,'' ORDER BY n) bits FROM q JOIN m USING(vec_id) GROUP BY 1""")
+def image_phash(spark, d):
+    """The perceptual hash of each vector's image, by the registered embedder."""
+    hashed = pictures(spark, d, 8, 8, 1).select("vec_id", embedders.embed(F.col("image"), "phash").cast("array<int>").alias("b"))
+    return hashed.select("vec_id", F.aggregate("b", F.lit(0), lambda a, x: a + x).alias("ones"), F.array_join(F.col("b").cast("array<string>"), "").alias("bits"))
+
+
+@query(f"""WITH p AS (SELECT vec_id,(k-1)//3 p,max({BYTE_}) FILTER (k%3=1) b,max({BYTE_}) FILTER (k%3=2) g,max({BYTE_}) FILTER (k%3=0) r FROM (SELECT vec_id,unnest(embedding::DOUBLE[]) v,generate_subscripts(embedding,1) k FROM embeddings) WHERE k<=63 GROUP BY 1,2),
+x AS (SELECT *,greatest(r,g,b) v,greatest(r,g,b)-least(r,g,b) d FROM p), h AS (SELECT vec_id,v,CASE WHEN d=0 THEN 0 ELSE CASE WHEN v=r THEN (g-b)/d WHEN v=g THEN 2+(b-r)/d ELSE 4+(r-g)/d END*60 END h,CASE WHEN v=0 THEN 0 ELSE d/v*255 END s FROM x),
+z AS (SELECT vec_id,unnest([((round_even((h-360*floor(h/360))/2,0)::INT%180)//8),32+round_even(s,0)::INT//8,64+v::INT//8]) bin FROM h) SELECT vec_id,bin::INT bin,round(count(*)/21.0::DOUBLE,6) share FROM z GROUP BY 1,2""")
+def image_hsv(spark, d):
+    """The colour histogram of each vector's image of three by seven pixels, by the registered embedder; its bins that are not empty."""
+    made = pictures(spark, d, 3, 7, 3).select("vec_id", embedders.embed(F.col("image"), "hsv").alias("h"))
+    return made.select("vec_id", F.posexplode("h").alias("bin", "share")).where("share > 0").select("vec_id", "bin", F.round(F.col("share").cast("double"), 6).alias("share"))
+
+
+@query(f"{TO_SEG} SELECT stream_id,vec_id source_idx,printf('Frame %d: t=%.1fs  sim=%.3f  sharp=%.0f  embed=%.1fms',t::INT+1,t,round(round(sim,6),3),round(round(sharp,6),0),t/10)||CASE WHEN is_start THEN '  [SHOT START]' ELSE '' END message FROM fr")
+def frame_messages(spark, d):
+    rows = shotted(spark, d)
+    line = text.frame_message(F.col("analyzed_idx") + 1, F.col("timestamp_sec"), F.round(F.round("sim_to_shot_mean", 6), 3), F.round(F.round("sharpness", 6), 0), F.col("timestamp_sec") / 10, F.col("is_shot_start"))
+    return rows.select("stream_id", "source_idx", line.alias("message"))
+
+
+@query(f"{TO_KF}, x AS (SELECT stream_id,count(*) frames,count(DISTINCT sid) segments FROM fr GROUP BY 1) SELECT stream_id,printf('Complete: %d frames -> %d segments -> %d keyframes  (%.1fs wall)',frames,segments,picks,1.5) message FROM x JOIN (SELECT stream_id,count(*) picks FROM kf GROUP BY 1) USING(stream_id)")
+def complete_messages(spark, d):
+    rows = evaluate.run_summary(*keyed(spark, d))
+    return rows.select("stream_id", text.complete_message(F.col("frames"), F.col("segments"), F.col("picks"), F.lit(1.5)).alias("message"))
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}',{embedders.REGISTRY[n].dim})" for n in embedders.list_embedders()) + ") t(name,dim)")
 def embedder_registry(spark, d):
     return embedders.catalog(spark).select("name", "dim")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import png
+from ..functions.images import resize_max_width
 from ..functions.text import frame_file, pick_file
 from ..schema import PICK_CSV
 from ..store import write_text
@@ -77,10 +79,11 @@ def write_json(spark, folder: str, name: str, content: dict | list) -> None:
     write_text(spark, f"{folder}/{name}", json.dumps(content, indent=2, ensure_ascii=False, default=str))
 
 
-def copy_images(rows: DataFrame, folder: str, name: Column) -> None:
+def copy_images(rows: DataFrame, folder: str, name: Column, most: int = 0) -> None:
     """The files that rows name in ``bgr_path``, copied to ``name`` below the folder: all of them, or none if the job fails.
 
-    Executors read and write the bytes, a file at a time; the driver sees neither names nor bytes.
+    PNG files that are wider than ``most`` are shrunk to it; other kinds are copied as they are. Executors read and write the bytes, a file at a
+    time; the driver sees neither names nor bytes.
     """
     wanted = rows.where("bgr_path is not null").select(name.alias("name"), F.regexp_replace("bgr_path", "^file:/+", "/").alias("bgr_path"))
 
@@ -89,7 +92,11 @@ def copy_images(rows: DataFrame, folder: str, name: Column) -> None:
             for row in batch.to_pylist():
                 files, path = images.opened(row["bgr_path"])
                 with files.open_input_stream(path) as f:
-                    yield pa.RecordBatch.from_pydict({"name": [row["name"]], "content": [f.read()]}, pa.schema([("name", pa.string()), ("content", pa.binary())]))
+                    content = f.read()
+                if most and content[:8] == png.SIGNATURE:
+                    whole = png.decode(content)
+                    content = content if whole.shape[1] <= most else png.encode(resize_max_width(whole, most))
+                yield pa.RecordBatch.from_pydict({"name": [row["name"]], "content": [content]}, pa.schema([("name", pa.string()), ("content", pa.binary())]))
 
     images.register(rows.sparkSession)
     wanted.mapInArrow(read, "name string, content binary").write.format("frames").mode("append").save(folder)

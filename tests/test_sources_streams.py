@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scenespark.config import PipelineConfig, SegmenterConfig, load_dotenv, resolve_device
 from scenespark.functions import embedders, images
+from scenespark.functions import png as png_codec
 from scenespark.plans.pipeline import Pipeline, benchmark, with_options
 from scenespark.sources import frames as src
 from scenespark.sources import sinks
@@ -105,7 +106,7 @@ def test_image_folder_to_picks(spark, tmp_path):
     assert f.count() == 8
     run = Pipeline(with_options(PipelineConfig(), sim_threshold=0.99, min_shot_sec=1.0, output_root=str(tmp_path / "out"))).run(f)
     assert run.segments.count() == 2 and run.summary.first()["frames"] == 8
-    folder = Pipeline(PipelineConfig(output_root=str(tmp_path / "out"))).write(run, "my run/1")
+    folder = Pipeline(PipelineConfig(output_root=str(tmp_path / "out"), cache_width=16)).write(run, "my run/1")
     back = src.read_picks(spark, f"{folder}/picks.csv")
     want = [(r["pick_id"], r["segment_id"], r["timestamp_sec"], r["rank_in_segment"]) for r in run.picks.orderBy("pick_id").collect()]
     assert "my_run_1" in folder and back.columns == src.PICK_CSV.names
@@ -116,6 +117,9 @@ def test_image_folder_to_picks(spark, tmp_path):
     for r in back.collect():
         assert r["saved_path"].startswith("picks/0/kf_") and open(f"{folder}/{r['saved_path']}", "rb").read(4) == b"\x89PNG"  # noqa: SIM115
     assert len(os.listdir(f"{folder}/picks/0")) == len(want) and len(os.listdir(f"{folder}/frames/0")) == 8
+    small = f"{folder}/frames/0/{sorted(os.listdir(f'{folder}/frames/0'))[0]}"
+    with open(small, "rb") as image:
+        assert png_codec.decode(image.read()).shape == (12, 16, 3)
     summary = json.loads(read_text(spark, f"{folder}/summary.json"))
     assert (summary["shown"], summary["of"]) == (1, 1) and spark.read.json(f"{folder}/summary_rows").count() == 1
     seen = Pipeline(PipelineConfig()).run(f, model=sees, images=spark.read.format("binaryFile").load(str(tmp_path / "*.png")))
