@@ -38,7 +38,10 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path of their own; source, language and id stand for one, so that no name tells a licence file, only a whole licence's text."""
+    """Documents have no path of their own; source, language and id stand for one, so that no name tells a licence file, only a whole licence's text.
+
+    Where one document of a source and language is such a text, the others inherit it. The test tables hold none, so that nothing inherits there.
+    """
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licenses.license_scan(table(spark, sf_dir, "documents"), path)
 

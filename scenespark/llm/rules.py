@@ -107,17 +107,23 @@ def bin_of(m: str) -> str:
     return f"cast(signum({m}) * floor(log2(1 + abs({m}) * {FINEST}) * {BINS}) as int)"
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str = "doc_id", few: int = 400) -> DataFrame:
+def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str = "doc_id") -> DataFrame:
     """(stratum, level, n, k, and a cutoff for each measure) of the strictest admitted level, a row per stratum with labels.
 
     Labelled clean rows (quality 1) that the base rules keep are dealt by crc32 of the
-    id; an id that is labelled more than once counts by its lowest label. Strata with fewer than ``few``
-    such rows are pooled and get the same row. The numbers collected are a row for each stratum and level.
+    id; an id that is labelled more than once counts by its lowest label. A stratum whose holdout is too small to refute ``alpha`` even
+    without a rejection (below ln(delta / strata) / ln(1 - alpha) rows) is pooled with the others like it, and, if these are still too few
+    together, with the smallest of the rest (ties by name): those of the pool get the same row. The numbers collected are a row for each stratum and level.
     """
     clean = labels.where(f"{id_col} is not null").groupBy(F.col(id_col).cast("long").alias(id_col)).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
     known = rows.where("not base_failed").join(clean, id_col, "left_semi").select("stratum", (crc_mod(id_col, 3) == 0).alias("proposes"), *MEASURES)
-    sizes = known.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows")).select(F.col("stratum").alias("of"), F.when(F.col("rows") < few, F.lit(True)).otherwise(F.lit(False)).alias("pooled"))
-    sizes = checkpoint(sizes)
+    sizes = checkpoint(known.groupBy("stratum").agg(F.count_if(~F.col("proposes")).alias("rows")).select(F.col("stratum").alias("of"), "rows"))
+    least = math.log(delta / max(sizes.count(), 1)) / math.log1p(-alpha)
+    small_ones = F.col("rows") < least
+    rest = F.min(F.when(~small_ones, F.struct("rows", F.col("of").isNotNull().alias("named"), "of")))
+    n, held, next_one = sizes.agg(F.count_if(small_ones), F.coalesce(F.sum(F.when(small_ones, F.col("rows"))), F.lit(0)), rest).first()
+    joins = F.col("of").eqNullSafe(F.lit(next_one["of"]).cast("string")) if n and held < least and next_one else F.lit(False)
+    sizes = checkpoint(sizes.select("of", (small_ones | joins).alias("pooled")))
     group = F.struct("pooled", F.when(~F.col("pooled"), F.col("stratum")).alias("name")).alias("group")
     known = checkpoint(known.join(sizes, F.col("stratum").eqNullSafe(F.col("of"))).select(group, "proposes", *MEASURES))
     counted = known.where("proposes").select("group", F.expr("stack(" + str(len(MEASURES)) + ", " + ", ".join(f"'{m}', {bin_of(m)}" for m in MEASURES) + ") as (measure, bin)")).groupBy("group", "measure", "bin").agg(F.count(F.lit(1)).alias("c"))

@@ -4,10 +4,11 @@ import duckdb
 import numpy as np
 import pytest
 
+from scenespark.llm import licenses
 from scenespark.llm.registry import ORACLE_SQL, QUERIES
 
 from ..conftest import DATA
-from .edges import documents
+from .edges import TEXTS, documents
 
 
 def same(spark, sf_dir, name):
@@ -29,7 +30,8 @@ def edge_dir(spark, tmp_path_factory):
     DuckDB's cosine refuses null components, which brute force tests instead.
     """
     path = str(tmp_path_factory.mktemp("edges"))
-    documents(spark).write.parquet(f"{path}/documents.parquet")
+    # a directory (source and language) with a whole licence's text, whose other documents inherit it
+    documents(spark, [*TEXTS, (20, licenses.FILES[0][1], "en", "a")]).write.parquet(f"{path}/documents.parquet")
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(25, 16))
     rows = [(k, (centres[k % 25] + rng.normal(size=16) * rng.choice([0.02, 0.25, 0.4])).astype(np.float32).tolist()) for k in range(300)]
@@ -48,6 +50,11 @@ def test_manifest_of_edges_equals_sql(spark, edge_dir):
     same(spark, edge_dir, "op13_merkle")
 
 
+def test_inherited_licences_equal_sql(spark, edge_dir):
+    rows = same(spark, edge_dir, "op7_licenses")
+    assert {r["doc_id"] for r in rows if r["inherited_license"]} >= {1, 4, 8} and {r["inherited_from"] for r in rows if r["inherited_license"]} == {"a/en"}
+
+
 def test_mixing_of_edges_equals_sql(spark, edge_dir):
     same(spark, edge_dir, "op8_mixing")
 

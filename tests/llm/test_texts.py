@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from scenespark.llm import bpe, quality, rules, secrets, simhash
 from scenespark.llm.xxh import xxh64_ranges
@@ -345,6 +346,45 @@ def test_rule_cutoffs_reject_junk_within_the_bound(spark):
     assert all(not r["base_failed"] for r in got if r["doc_id"] < 1600)
 
 
+def test_small_strata_are_pooled_until_they_can_refute(spark):
+    """Languages too few on their own are judged together, and with the smallest of the others if need be; none is left out."""
+    rng = random.Random(4)
+    least = math.log(0.05 / 4) / math.log1p(-0.02)
+    for counts, alone in (({"a": 900, "b": 800, "c": 40, "d": 30}, {"a"}), ({"a": 900, "b": 300, "c": 260, "d": 240}, {"a"}), ({"a": 1200, "b": 900, "c": 900, "d": 900}, {"a", "b", "c", "d"})):
+        rows, i = [], 0
+        for lang, n in counts.items():
+            for _ in range(n):
+                rows.append((i, " ".join(f"w{rng.randrange(900)}" for _ in range(10)) + f" more {i} of it", lang, "s"))
+                i += 1
+        docs = documents(spark, rows)
+        measured = rules.measured(docs).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
+        got = {r["stratum"]: r for r in rules.cutoffs(measured, labels(spark, [(k, 1, 0) for k in range(i)]), 0.02, 0.05).collect()}
+        assert set(got) == set(counts) and all(r["level"] is not None and r["n"] >= least for r in got.values())
+        held = {lang: sum(zlib.crc32(str(r[0]).encode()) % 3 != 0 for r in rows if r[2] == lang) for lang in counts}
+        assert {lang for lang in counts if got[lang]["n"] == held[lang]} >= alone
+        pool = [lang for lang in counts if lang not in alone]
+        assert len({got[lang]["n"] for lang in pool}) <= 1 and all(got[lang]["n"] == sum(held[x] for x in pool) for lang in pool)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_cuts_are_the_best_of_all(seed):
+    """The cut and the pair of cuts that the classifier's trees take gain most of all that there are."""
+    rng = np.random.default_rng(seed)
+    g, h = rng.normal(size=9), rng.random(9) + 0.1
+    part = lambda a, b: a.sum() ** 2 / (b.sum() + 2.0)
+    gains = {k: part(g[:k], h[:k]) + part(g[k:], h[k:]) - part(g, h) for k in range(1, 9)}
+    gain, k = quality.best_cut(g, h, 2.0)
+    assert k == max(gains, key=gains.get) and gain == pytest.approx(gains[k])
+    leaves = quality.tree(g, h, 1, 2.0)
+    assert np.allclose(leaves, [-(g[:k].sum() / (h[:k].sum() + 2.0))] * k + [-(g[k:].sum() / (h[k:].sum() + 2.0))] * (9 - k))
+    g, h = rng.normal(size=(4, 5)), rng.random((4, 5)) + 0.1
+    best = 0.0
+    for a, b in ((g, h), (g.T, h.T)):
+        for k in range(1, len(a)):
+            best = max(best, sum(max(part(a[s][:, :c], b[s][:, :c]) + part(a[s][:, c:], b[s][:, c:]) for c in range(1, a.shape[1])) for s in (slice(None, k), slice(k, None))))
+    assert quality.pair_tree(g, h, 2.0)[0] == pytest.approx(best)
+
+
 def test_rule_edges(spark):
     got = rules.quality_rules(documents(spark), labels(spark)).collect()
     assert by_key(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines") == sorted(((r[0], *brute_rules(r[1] if len(r[1] or "") < 9999 else "")[:4]) if r[0] != 8 else (8, 20000, 80000, 0, 0) for r in TEXTS), key=str)
