@@ -116,11 +116,11 @@ def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, batch: in
     state.setTimeoutTimestamp(max(int(next_at - base) // 1000 - 1, state.getCurrentWatermarkMs(), 1))
 
 
-def dealt(clicks: DataFrame, sales: DataFrame, batches: int, key_rows: int, salts: int) -> tuple[DataFrame, list[int | None], int, int]:
-    """Rows of both inputs with batch and key; the mark before each batch; the earliest time; the number of keys.
+def dealt(clicks: DataFrame, sales: DataFrame, batches: int, key_rows: int, slot: int) -> tuple[DataFrame, list[int | None], int]:
+    """Rows of both inputs with batch and key; the mark before each batch; the earliest time.
 
-    Clients with over a sixty-fourth of the rows, so 64 at most, are salted: their clicks lie in ``salts`` keys, and their sales
-    ask all of these.
+    Clients share keys by a hash, but those with over a sixty-fourth of the rows, 64 at most, have a key for every ``slot`` of time: a
+    click lies in its slot's, and a sale asks all the slots that its days of reach touch.
     """
     spark = clicks.sparkSession
     hour = lambda df, of: F.floor(micros(df, "arrived_at") / F.lit(HOUR)).cast("long") + F.when(crc_mod(of, 4) == 0, 240).otherwise(0)
@@ -144,13 +144,17 @@ def dealt(clicks: DataFrame, sales: DataFrame, batches: int, key_rows: int, salt
                 top[kind] = max(top.get(kind, seen[k, kind]["t"]), seen[k, kind]["t"])
     n = sum(r["n"] for r in seen.values())
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // key_rows))
-    hot = [r["client"] for r in both.groupBy("client").count().where(F.col("count") > n / 64).collect()]
-    group = F.pmod(F.xxhash64("client"), F.lit(groups))
-    many = F.col("client").isin(hot) if hot else F.lit(False)
-    salt = F.when(many & (F.col("kind") == SALE), F.sequence(F.lit(0), F.lit(salts - 1))).when(many, F.array(F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))).otherwise(F.array(F.lit(0)))
-    rows = both.withColumn("salt", F.explode(salt)).select("batch", "kind", (group + F.col("salt") * groups).alias("key"), "client", "t", F.coalesce("id", F.lit(int(NONE))).alias("id"), F.coalesce("row", F.lit(-1).cast("long")).alias("row"))
+    hot = sorted(r["client"] for r in both.groupBy("client").count().where(F.col("count") > n / 64).collect())
+    own = F.lit(groups).cast("long") + F.array_position(F.array(*[F.lit(x).cast("long") for x in hot]), F.col("client")) - 1 if hot else None
+    at = lambda t: F.floor(t / F.lit(slot)).cast("long")
+    slots = F.when(F.col("kind") == SALE, F.sequence(at(F.col("t") - REACH), at(F.col("t")))).otherwise(F.array(at(F.col("t"))))
+    # a hot client's keys lie above the groups: its place in the list, and the slot, which may be below zero
+    keys = F.array(F.pmod(F.xxhash64("client"), F.lit(groups)))
+    if hot:
+        keys = F.when(F.col("client").isin(hot), F.transform(slots, lambda x: own + (x + F.lit(1 << 40)) * F.lit(64))).otherwise(keys)
+    rows = both.withColumn("key", F.explode(keys)).select("batch", "kind", "key", "client", "t", F.coalesce("id", F.lit(int(NONE))).alias("id"), F.coalesce("row", F.lit(-1).cast("long")).alias("row"))
     base = min((r["first"] for r in seen.values()), default=0) - REACH - LAG - DAY
-    return rows, marks, base, groups * (salts if hot else 1)
+    return rows, marks, base
 
 
 def folder(spark: SparkSession, path: str):
@@ -159,7 +163,7 @@ def folder(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def attribute(clicks: DataFrame, sales: DataFrame, batches: int = 12, key_rows: int = 100_000, salts: int = 16) -> DataFrame:
+def attribute(clicks: DataFrame, sales: DataFrame, batches: int = 12, key_rows: int = 100_000, slot: int = REACH // 2) -> DataFrame:
     """One row per sale: sale_id, batch, late, click_id, n_clicks, click_at (microseconds since 1970).
 
     Rows without a client or a time are dropped; of clicks with one id one row counts (the earliest, then that of the smallest client,
@@ -170,7 +174,7 @@ def attribute(clicks: DataFrame, sales: DataFrame, batches: int = 12, key_rows:
     """
     spark = clicks.sparkSession
     path = fresh_path(spark)
-    rows, marks, base, keys = dealt(clicks, sales, batches, key_rows, salts)
+    rows, marks, base = dealt(clicks, sales, batches, key_rows, slot)
     rows.write.partitionBy("batch").parquet(f"{path}/dealt")
     shape = T.StructType([f for f in rows.schema if f.name != "batch"] + [T.StructField("mark", T.LongType())])
     plain = spark.read.schema(rows.schema).parquet(f"{path}/dealt")
@@ -181,7 +185,7 @@ def attribute(clicks: DataFrame, sales: DataFrame, batches: int = 12, key_rows:
     try:
         for k in range(batches + 1):
             brought = marks[min(k + 1, batches)]
-            arrived = plain.where(F.col("batch") == k).drop("batch") if k < batches else ends(spark, keys)
+            arrived = plain.where(F.col("batch") == k).drop("batch") if k < batches else ends(plain)
             arrived.withColumn("mark", F.lit(None if brought is None else brought - base).cast("long")).write.parquet(f"{path}/ready/{k}")
             fs, ready = folder(spark, f"{path}/ready/{k}")
             fs.mkdirs(folder(spark, f"{path}/in")[1])
@@ -194,16 +198,16 @@ def attribute(clicks: DataFrame, sales: DataFrame, batches: int = 12, key_rows:
         fs, gone = folder(spark, f"{path}/{name}")
         fs.delete(gone, True)
     out = spark.read.schema(OUT).parquet(f"{path}/out")
-    # a salted client's sale has a part of each key
+    # a hot client's sale has a part from each slot
     last = F.min(F.when(F.col("n_clicks") > 0, F.struct((-F.col("click_at")).alias("back"), F.coalesce("click_id", F.lit(int(NONE))).alias("order"), "click_id", "click_at")))
     whole = out.groupBy("row").agg(F.first("sale_id").alias("sale_id"), F.first("batch").alias("batch"), F.first("late").alias("late"), F.sum("n_clicks").alias("n_clicks"), last.alias("x"))
     return whole.select("sale_id", "batch", "late", F.col("x.click_id").alias("click_id"), "n_clicks", F.col("x.click_at").alias("click_at"))
 
 
-def ends(spark: SparkSession, keys: int) -> DataFrame:
+def ends(rows: DataFrame) -> DataFrame:
     """A row for each key: the stream's end, which wakes all groups."""
     zero = F.lit(0).cast("long")
-    return spark.range(keys).select(F.lit(END).alias("kind"), F.col("id").alias("key"), zero.alias("client"), zero.alias("t"), zero.alias("id"), zero.alias("row"))
+    return rows.select("key").distinct().select(F.lit(END).alias("kind"), "key", zero.alias("client"), zero.alias("t"), zero.alias("id"), zero.alias("row"))
 
 
 def run(spark: SparkSession, path: str, shape: T.StructType, each) -> None:

@@ -101,7 +101,7 @@ def as_rows(c, s):
 
 def test_attribution_equals_a_plain_loop(spark):
     c, s = shop(2)
-    got = attributed(spark, c, s, key_rows=40, salts=3, batches=7)
+    got = attributed(spark, c, s, key_rows=40, slot=3 * 86_400_000_000, batches=7)
     assert got == plain_attribution(*as_rows(c, s), batches=7)
     assert any(x[2] for x in got) and any(x[1] == 7 for x in got) and any(x[4] > 3 for x in got) and len({x[1] for x in got}) > 4
 
