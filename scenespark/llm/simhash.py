@@ -12,12 +12,13 @@ verified bit by bit. Lists with many members are cut into tiles, and every two t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_row, checkpoint, connected_components, labels_of, small, stored, text_bytes
@@ -219,16 +220,30 @@ def near_dups(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id") -> Dat
     return fp.join(rep, "fp").select(id_col, hexed, "component_id")
 
 
-def nearest(f: np.ndarray, k: int, max_bits: int, tile: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Near pairs of a list, of each member the ``most`` nearest later ones alone, and whether any were left out."""
-    found, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], False
+def nearest(f: np.ndarray, k: int, max_bits: int, tile: np.ndarray | None, most: int, may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Near pairs of a list that ``may`` link, of each member the ``most`` nearest later ones alone, and whether any were left out.
+
+    A member that no such pair names comes with its nearest earlier one, so that every member that is near another is named.
+    """
+    out, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], False
+    named, least, who = np.zeros(len(f), bool), np.full(len(f), 255), np.full(len(f), -1)
     for i, j, bits in near_in_list(f, k, max_bits, tile):
+        ok = may(i, j)
+        i, j, bits = i[ok], j[ok], bits[ok]
         order = np.lexsort((j, bits, i))
-        i, j = i[order], j[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        more |= bool((rank >= most).any())
-        found.append((i[rank < most], j[rank < most]))
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]), more
+        i, j, bits = i[order], j[order], bits[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+        more |= not keep.all()
+        named[i[keep]] = named[j[keep]] = True
+        out.append((i[keep], j[keep]))
+        order = np.lexsort((bits, j))
+        last, at = np.unique(j[order], return_index=True)
+        at = order[at]
+        nearer = bits[at] < least[last]
+        least[last[nearer]], who[last[nearer]] = bits[at][nearer], i[at][nearer]
+    rest = np.flatnonzero(~named & (who >= 0))
+    out.append((who[rest], rest))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]), more
 
 
 def similar(pairs: DataFrame, shingles: DataFrame, at_least: float) -> DataFrame:
@@ -267,9 +282,10 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
         for q, k, shared, members, tiles, i, j in zip(*cols, strict=True):
             f = np.array([m["fp"] for m in members], np.int64)
             n, ids, part = (np.array([m[c] for m in members], np.int64) for c in ("n", "row", "part"))
-            a, b, more = nearest(f.view(np.uint64), k, max_bits, tile_of(f, tiles) if i != j else None, most if part.min() < 0 else len(f))
-            ok = (np.minimum(n[a], n[b]) >= at_least * np.maximum(n[a], n[b])) & ((part[a] < 0) | (part[a] != part[b]))
-            a, b = ids[a[ok]], ids[b[ok]]
+            # texts whose sizes differ too much are not similar; those of one component need no more links
+            may = lambda a, b, n=n, part=part: (np.minimum(n[a], n[b]) >= at_least * np.maximum(n[a], n[b])) & ((part[a] < 0) | (part[a] != part[b]))
+            a, b, more = nearest(f.view(np.uint64), k, max_bits, tile_of(f, tiles) if i != j else None, most if part.min() < 0 else len(f), may)
+            a, b = ids[a], ids[b]
             out["a"] += [*np.minimum(a, b).tolist(), None][: len(a) + more]
             out["b"] += [*np.maximum(a, b).tolist(), None][: len(a) + more]
             out["more"] += [False] * len(a) + [True] * more
@@ -280,11 +296,6 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
     def paired(of: DataFrame) -> DataFrame:
         return by_row(of, [*by, "members", "tiles", "i", "j"], "a long, b long, more boolean, q int, k short, shared long", candidates, 16)
 
-    member = F.struct("fp", "row", "n", F.lit(-1).cast("long").alias("part"))
-    found = stored(paired(lists(index, member, by)))
-    pairs = found.where("not more").select("a", "b").distinct()
-    named = stored(pairs)
-
     def shingles_of(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
 
@@ -295,17 +306,44 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
 
         return by_row(docs.select(F.col(row).cast("long").alias("row"), "text").join(asked, "row", "left_semi"), ["row", text_bytes()], "row long, s array<long>", arrays, 64)
 
-    links = stored(similar(named, stored(shingles_of(named)), at_least))
-    parts = checkpoint(connected_components(links))
-    # lists that had more near pairs than they gave: now those between components that are still apart
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs)
+        return stored(similar(pairs, stored(shingles_of(pairs)), at_least))
+
+    def joined(links: DataFrame) -> DataFrame:
+        return checkpoint(connected_components(links).select(F.col("node").alias("row"), "component"))
+
+    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """The pairs whose rows are in different components by now."""
+        for c in "ab":
+            pairs = pairs.join(parts.select(F.col("row").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+        return pairs.where("ca <> cb").drop("ca", "cb")
+
+    member = F.struct("fp", "row", "n", F.lit(-1).cast("long").alias("part"))
+    found = stored(paired(lists(index, member, by)))
+    pairs = found.where("not more").select("a", "b").distinct()
+    for c in "ab":
+        pairs = pairs.join(reps.select(F.col("row").alias(c), F.col("f").alias(f"f{c}")), c)
+    far = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
+    pairs = stored(pairs.select("a", "b", far.alias("d")))
+    # first the likeliest partners of each text, then the pairs that these have not joined
+    rank = lambda of, other: F.row_number().over(Window.partitionBy(of).orderBy("d", other))
+    likely = pairs.withColumn("r", rank("a", "b")).where("r <= 2").select("a", "b").unionByName(pairs.withColumn("r", rank("b", "a")).where("r <= 2").select("a", "b")).distinct()
+    likely = stored(likely)
+    links = linked(likely)
+    parts = joined(links)
+    others = apart(pairs.select("a", "b").join(likely, ["a", "b"], "left_anti"), parts)
+    links = links.unionByName(linked(others))
+    parts = joined(links)
+    # lists that had more near pairs than they gave, and members in several components: all near pairs between these
     dense = found.where("more").select(*by).distinct()
-    again = index.join(small(checkpoint(dense)), list(by), "left_semi").join(parts.select(F.col("node").alias("row"), "component"), "row", "left")
-    again = again.withColumn("part", F.coalesce("component", "row"))
-    apart = again.groupBy(*by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*by)
-    again = again.join(apart, list(by), "left_semi")
-    late = stored(paired(lists(again.select(*by, "fp", "row", "n", "part"), F.struct("fp", "row", "n", "part"), by)).select("a", "b").distinct())
-    if not late.isEmpty():
-        links = links.unionByName(similar(late, stored(shingles_of(late)), at_least))
-        parts = connected_components(links)
-    own = reps.join(parts.withColumnRenamed("node", "row"), "row", "left").select("text_key", F.coalesce("component", "row").alias("component"))
+    named = found.where("not more").join(dense, list(by), "left_semi")
+    of_list = named.select(*by, F.col("a").alias("row")).unionByName(named.select(*by, F.col("b").alias("row"))).join(parts, "row", "left").withColumn("part", F.coalesce("component", "row"))
+    open_lists = small(checkpoint(of_list.groupBy(*by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*by)))
+    again = index.join(open_lists, list(by), "left_semi").join(parts, "row", "left").withColumn("part", F.coalesce("component", "row"))
+    late = apart(paired(lists(again.select(*by, "fp", "row", "n", "part"), F.struct("fp", "row", "n", "part"), by)).select("a", "b").distinct(), parts)
+    more_links = linked(late)
+    if not more_links.isEmpty():
+        parts = joined(links.unionByName(more_links))
+    own = reps.join(parts, "row", "left").select("text_key", F.coalesce("component", "row").alias("component"))
     return rows.select("row", "text_key").join(own, "text_key").select("row", "component")
