@@ -450,7 +450,7 @@ def image_hsv(spark, d):
     return made.select("vec_id", F.posexplode("h").alias("bin", "share")).where("share > 0").select("vec_id", "bin", F.round(F.col("share").cast("double"), 6).alias("share"))
 
 
-@query(f"{TO_SEG} SELECT stream_id,vec_id source_idx,printf('Frame %d: t=%.1fs  sim=%.3f  sharp=%.0f  embed=%.1fms',t::INT+1,t,round(round(sim,6),3),round(round(sharp,6),0),t/10)||CASE WHEN is_start THEN '  [SHOT START]' ELSE '' END message FROM fr")
+@query(f"{TO_SEG} SELECT stream_id,vec_id source_idx,printf('Frame %d: t=%.1fs  sim=%.3f  sharp=%.0f  embed=%.1fms',t::INT+1,t,round(round(sim,6),3)+0.0::DOUBLE,round(round(sharp,6),0),t/10)||CASE WHEN is_start THEN '  [SHOT START]' ELSE '' END message FROM fr")
 def frame_messages(spark, d):
     rows = shotted(spark, d)
     line = text.frame_message(F.col("analyzed_idx") + 1, F.col("timestamp_sec"), F.round(F.round("sim_to_shot_mean", 6), 3), F.round(F.round("sharpness", 6), 0), F.col("timestamp_sec") / 10, F.col("is_shot_start"))
