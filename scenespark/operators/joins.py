@@ -21,23 +21,31 @@ def only_picks(frames: DataFrame, picks: DataFrame) -> DataFrame:
     return frames.withColumn("_t", F.bround("timestamp_sec", 3)).join(k, ["stream_id", "_t"], "left_semi").drop("_t")
 
 
-def nearest(frames: DataFrame, points: DataFrame, key: str = "stream_id") -> DataFrame:
-    """For each point (key, point, t) the nearest frame in time, the earlier one of equals.
+def nearest(frames: DataFrame, points: DataFrame, key: str = "stream_id", cell_sec: float = 86400.0) -> DataFrame:
+    """For each point (key, point, t) the nearest frame in time; of equally near ones the earlier, then the smaller ``source_idx``.
 
-    Points and frames are merged in one time order; the last frame before and the first
-    after each point are carried over by windows, so nothing is multiplied.
+    Points and frames are merged in time order within cells of ``cell_sec`` of a stream, so that a stream of any
+    length is many tasks'. The last frame before a cell and the first after it come from one row for each
+    cell. Frames without a time are not read; a point without one, or whose stream has no frames, gets nulls.
     """
-    rows = frames.select(key, F.col("timestamp_sec").alias("t"), F.lit(None).cast("long").alias("point"), F.struct(F.col("timestamp_sec").alias("t"), "source_idx").alias("f"))
-    marks = points.select(key, "t", F.col("point").cast("long").alias("point"), F.lit(None).cast(rows.schema["f"].dataType).alias("f"))
-    # frames sort before points of the same time
-    order = Window.partitionBy(key).orderBy("t", F.col("point").isNotNull(), F.col("f.source_idx"), "point")
+    cell = F.floor(F.col("t") / cell_sec).alias("cell")
+    own = frames.where("timestamp_sec is not null").select(key, F.col("timestamp_sec").alias("t"), F.struct(F.col("timestamp_sec").alias("t"), F.col("source_idx").cast("long").alias("source_idx")).alias("f"))
+    rows = own.select(key, "t", cell, F.lit(False).alias("asks"), F.lit(None).cast("long").alias("point"), "f")
+    marks = points.select(key, "t", cell, F.lit(True).alias("asks"), F.col("point").cast("long").alias("point"), F.lit(None).cast(own.schema["f"].dataType).alias("f"))
     every = rows.unionByName(marks)
-    before = F.last("f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("f", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = every.withColumn("b", before).withColumn("a", after).where("point is not null")
-    # the last frame before may be one of several at its time: the first of those is meant
-    first = F.when(F.col("b").isNull() | (F.abs(F.col("a.t") - F.col("t")) < F.abs(F.col("t") - F.col("b.t"))), F.col("a")).otherwise(F.col("b"))
-    return both.select(key, "point", "t", first.alias("f")).select(key, "point", "t", F.col("f.t").alias("frame_t"), F.col("f.source_idx").alias("source_idx"))
+    # One sort for each direction, frames before points of their time: a window without an end would be read anew for every row.
+    here, tie = Window.partitionBy(key, "cell"), [F.col("asks"), F.col("f.source_idx").desc_nulls_first()]
+    so_far = [w.rowsBetween(Window.unboundedPreceding, 0) for w in (here.orderBy(F.col("t"), *tie), here.orderBy(F.col("t").desc(), *tie))]
+    met = every.select("*", *[F.last("f", ignorenulls=True).over(w).alias(c) for c, w in zip("ba", so_far, strict=True)]).where("asks")
+    # of a cell's last frames the smallest index, as of its first ones
+    ends = every.groupBy(key, "cell").agg(F.min("f").alias("low"), F.max(F.when(F.col("f").isNotNull(), F.struct("f.t", (-F.col("f.source_idx")).alias("s")))).alias("high"))
+    ends = ends.withColumn("high", F.when(F.col("high").isNotNull(), F.struct("high.t", (-F.col("high.s")).alias("source_idx"))))
+    line = Window.partitionBy(key)
+    earlier, later = (line.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("cell").asc_nulls_first(), F.col("cell").desc_nulls_first()))
+    beyond = ends.select(F.col(key).alias("_key"), F.col("cell").alias("_cell"), F.last("high", ignorenulls=True).over(earlier).alias("_b"), F.last("low", ignorenulls=True).over(later).alias("_a"))
+    met = met.join(beyond, F.col(key).eqNullSafe(F.col("_key")) & (F.col("cell") == F.col("_cell")), "left").select(key, "point", "t", F.coalesce("b", "_b").alias("b"), F.coalesce("a", "_a").alias("a"))
+    found = F.when(F.col("b").isNull() | (F.abs(F.col("a.t") - F.col("t")) < F.abs(F.col("t") - F.col("b.t"))), F.col("a")).otherwise(F.col("b"))
+    return met.select(key, "point", "t", found.alias("f")).select(key, "point", "t", F.col("f.t").alias("frame_t"), F.col("f.source_idx").alias("source_idx"))
 
 
 class FreeTimes:

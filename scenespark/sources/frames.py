@@ -42,9 +42,9 @@ def frames_from_events(events: DataFrame) -> DataFrame:
 def frames_from_images(spark: SparkSession, path: str, embedder: str = "phash", interval_sec: float = 1.0, stream_id: int = 0, device: str = "auto", max_width: int = 0) -> DataFrame:
     """A folder of images as a stream, in the order of their names; unreadable ones are left out."""
     rows = spark.read.format("image").option("dropInvalid", True).load(path)
-    # Only names are numbered in one order; the images stay where they are read.
-    ordinal = F.row_number().over(Window.partitionBy(F.lit(stream_id)).orderBy("origin")) - 1
-    names = rows.select("image.origin").select("origin", ordinal.cast("int").alias("analyzed_idx"))
+    # Only names are numbered in one order, sorted by ranges; the images stay where they are read.
+    placed = running(rows.select("image.origin", F.lit(stream_id).alias("stream_id")), ["stream_id"], ["origin"], {"_at": None})
+    names = placed.select("origin", (F.col("_at") - 1).cast("int").alias("analyzed_idx"))
     named = rows.join(names, rows["image.origin"] == names["origin"]).select("image", "analyzed_idx")
     return named.select(F.lit(stream_id).alias("stream_id"), F.col("analyzed_idx").cast("long").alias("source_idx"), "analyzed_idx", (F.col("analyzed_idx") * interval_sec).alias("timestamp_sec"), embedders.embed(F.col("image"), embedder, device, max_width).alias("embedding"), embedders.image_sharpness(F.col("image")).alias("sharpness"), F.col("image.origin").alias("bgr_path"))
 

@@ -162,3 +162,22 @@ def test_diversity_in_rounds_equals_a_walk(spark, n):
             if all(x @ y <= 0.01 for _, y in kept):
                 kept.append((i, x))
         assert sorted(r["_id"] for r in some.collect()) == [i for i, _ in kept] and 2 <= rounds <= 9
+
+
+@pytest.mark.parametrize("cell", [0.5, 7.0, 1e6])
+def test_nearest_frame_against_all_pairs(spark, cell):
+    """Cells of any width: ties in time and index, times before 0, nulls, points far from all frames, streams without frames."""
+    rng = random.Random(4)
+    streams = [1, 1, 1, 1, 2, None]
+    frames = [(rng.choice(streams), k, rng.choice([rng.randint(-60, 60) / 4, None] if k % 9 == 0 else [rng.randint(-60, 60) / 4])) for k in range(300)]
+    frames += [(1, 999, f[2]) for f in frames[:20]]
+    points = [(rng.choice([*streams, 3]), k, rng.choice([-500.0, 500.0, None]) if k % 10 == 0 else rng.randint(-200, 200) / 8) for k in range(200)]
+    f = spark.createDataFrame(frames, "stream_id int, source_idx long, timestamp_sec double")
+    p = spark.createDataFrame(points, "stream_id int, point long, t double")
+    want = {}
+    for stream, k, t in points:
+        near = [] if t is None else [(abs(x - t), x, i) for s, i, x in frames if s == stream and x is not None]
+        want[k] = (stream, t, *(min(near)[1:] if near else (None, None)))
+    got = joins.nearest(f, p, cell_sec=cell).collect()
+    assert len(got) == len(points) and {r["point"]: (r["stream_id"], r["t"], r["frame_t"], r["source_idx"]) for r in got} == want
+    assert joins.nearest(f.where("false"), p).where("source_idx is not null").count() == 0 and joins.nearest(f, p.where("false")).count() == 0
