@@ -469,11 +469,15 @@ def embedder_registry(spark, d):
 
 
 # --- streams --------------------------------------------------------------------------------------------
+def table_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a file stream, be it one file or a folder of files: a stream opens a single file only by a pattern, and all files of either."""
+    return spark.readStream.schema(read(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def embedding_stream(spark: SparkSession, d: str) -> DataFrame:
     """The table as a file stream; a frame's place in its stream is its rank among smaller ids."""
-    path = f"{d}/embeddings.parquet"
     ordered = emb(spark, d).select("source_idx", "stream_id", "timestamp_sec")
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    rows = table_stream(spark, d, "embeddings")
     return rows.withColumnRenamed("vec_id", "source_idx").select("source_idx", "embedding").join(ordered, "source_idx")
 
 
@@ -491,7 +495,7 @@ def streaming_frames(spark, d):
 
 @query(ORACLE_SQL["greedy_sample"])
 def streaming_sample(spark, d):
-    rows = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = table_stream(spark, d, "events")
     return shots.run_available(shots.stream_sample(src.frames_from_events(rows), GAP)).select("stream_id", "source_idx", r6("timestamp_sec"))
 
 
@@ -533,7 +537,7 @@ def streaming_captions(spark, d):
 @query("""WITH m AS (SELECT max(ts) - INTERVAL 6 HOUR w FROM events) SELECT user_id stream_id, epoch_us(date_trunc('day', ts)) / 1e6 begin_sec, count(*) frames, round(avg(value), 6) sharpness
 FROM events, m GROUP BY 1, 2, w HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= w""")
 def streaming_windows(spark, d):
-    rows = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = table_stream(spark, d, "events")
     rows = rows.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("sharpness"))
     out = shots.run_available(shots.windowed_counts(rows, "ts", "1 day", "6 hours"))
     return out.select("stream_id", src.seconds(F.col("begin")).alias("begin_sec"), "frames", F.round("sharpness", 6).alias("sharpness"))

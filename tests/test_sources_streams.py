@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from scenespark.config import PipelineConfig, SegmenterConfig, load_dotenv, resolve_device
 from scenespark.functions import embedders, images
 from scenespark.functions import png as png_codec
+from scenespark.plans import queries
 from scenespark.plans.pipeline import Pipeline, benchmark, with_options
 from scenespark.sources import frames as src
 from scenespark.sources import sinks
 from scenespark.store import read_text
 from scenespark.streaming import shots
 
+from .conftest import DATA
+
 
 def png(path, rgb):
     h, w, _ = rgb.shape
@@ -275,3 +278,14 @@ def test_compare_runs(spark):
     rows = [("a", 1, 0.0), ("a", 1, 5.0), ("b", 1, 1.0), ("b", 1, 9.0), ("b", 2, 3.0)]
     got = {(r["run"], r["stream_id"]): r["jaccard"] for r in compare(spark.createDataFrame(rows, "run string, stream_id int, timestamp_sec double")).collect()}
     assert got == {("a", 1): 1.0, ("b", 1): 0.333, ("b", 2): 0.0}
+
+
+def foldered(spark, tmp_path, name):
+    """A folder of tables in which one is a folder of several files."""
+    spark.read.parquet(f"{DATA}/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_frames_stream_from_a_table_of_several_files(spark, tmp_path):
+    got = queries.streaming_frames(spark, foldered(spark, tmp_path, "embeddings")).collect()
+    assert got and sorted(got) == sorted(queries.segment_frames_ema(spark, f"{DATA}/sf0.001").collect())
