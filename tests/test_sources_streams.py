@@ -289,3 +289,9 @@ def foldered(spark, tmp_path, name):
 def test_frames_stream_from_a_table_of_several_files(spark, tmp_path):
     got = queries.streaming_frames(spark, foldered(spark, tmp_path, "embeddings")).collect()
     assert got and sorted(got) == sorted(queries.segment_frames_ema(spark, f"{DATA}/sf0.001").collect())
+
+
+def test_shots_stream_from_a_table_of_several_files(spark, tmp_path):
+    got = queries.streaming_segments(spark, foldered(spark, tmp_path, "embeddings")).collect()
+    want = queries.segment_rollup(spark, f"{DATA}/sf0.001").select("stream_id", "segment_id", "start_sec", "end_sec", "num_frames").collect()
+    assert got and sorted(got) == sorted(want)
