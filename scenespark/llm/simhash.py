@@ -13,7 +13,7 @@ verified bit by bit. Lists with many members are cut into tiles, and every two t
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +27,9 @@ from .xxh import words_of, xxh64_ranges
 #: Members of a list beyond which it is cut into tiles of about so many.
 TILE = 4096
 
+#: Bits of the map that tells sets of shingles apart: 128 bytes a text.
+BITS = 1024
+
 
 def majority(h: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The fingerprint of each owner: a bit is set if it is in over half of the owner's ``n`` hashes, which stand in order of owner."""
@@ -82,6 +85,17 @@ def word_fingerprints(texts: list[bytes], many: int) -> np.ndarray:
         return np.stack([majority(stirred(h + np.uint64(k + 1) * np.uint64(0xD1B54A32D192ED03)), owner, n) for k in range(many)], axis=1)
 
 
+def bitmaps(h: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:
+    """For each of ``many`` owners BITS bits, as signed longs, which each of its distinct hashes flips one of: those of two sets differ in no more places than the sets do."""
+    out, cut = np.zeros((many, BITS // 64), np.int64), np.searchsorted(owner, np.arange(many + 1))
+    for at in range(0, many, 256):
+        end = min(many, at + 256)
+        x = slice(cut[at], cut[end])
+        flips = np.bincount((owner[x] - at) * BITS + (h[x] % np.uint64(BITS)).astype(np.int64), minlength=(end - at) * BITS)
+        out[at:end] = np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(end - at, -1)
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
     """(id, other long columns, fp): the fingerprint as a signed long. Null and empty texts, and texts of spaces alone, have zero."""
     names = (id_col, *also)
@@ -253,13 +267,14 @@ def similar(pairs: DataFrame, shingles: DataFrame, at_least: float) -> DataFrame
     return both.where(F.col("n") >= at_least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
-def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width: int = 5, max_bits: int = 3, prints: int = 7, most: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width: int = 5, max_bits: int = 3, prints: int = 7, most: int = 2) -> DataFrame:
     """(row, component): texts that are linked by a Jaccard similarity of ``at_least`` between their distinct shingles of ``width`` words.
 
     Words are lower-cased (A to Z). Candidates are within ``max_bits`` bits in one of several fingerprints of their words;
     each is verified by its whole shingles before it links, so unlike texts never do. A list with very many near pairs
-    first gives the ``most`` nearest of each member; once these have linked, all its near pairs between different
-    components follow, so that none is lost. Texts with the same words in the same order are one text before
+    first gives the ``most`` nearest of each member; once these have linked, those of its near pairs between different
+    components that bitmaps of the shingles do not rule out follow, again the nearest first and then all, so that none is lost. Pairs that
+    bitmaps rule out cannot be similar: sets of x and y shingles that are differ in (x + y)(1 - s) / (1 + s) of them at most. Texts with the same words in the same order are one text before
     anything is paired; null and empty texts and those of spaces alone are one such text. ``row`` must be distinct longs; component is
     the smallest of a group. An empty table gives no rows. Very long texts have their distinct shingles in one array.
     """
@@ -268,23 +283,41 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
         texts = [b" ".join(t.lower().split()) for t in cols[1]]
         f = word_fingerprints(texts, prints).view(np.int64)
         h, owner, _ = shingle_hashes(texts, width)
-        n = np.bincount(np.unique(np.stack([owner.astype(np.uint64), h]), axis=1)[0].astype(np.int64), minlength=len(texts)) if len(h) else np.zeros(len(texts), np.int64)
-        return {"row": cols[0], "text_key": [xxhash.xxh3_128_digest(t) for t in texts], "n": n, "f": list(f)}
-
-    rows = stored(by_row(docs, [F.col(row).cast("long").alias("row"), text_bytes()], "row long, text_key binary, n long, f array<long>", measured))
-    reps = stored(rows.groupBy("text_key").agg(F.min(F.struct("row", "n", "f")).alias("x")).select("text_key", "x.*"))
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        h, owner = h[new], owner[new]
+        return {"row": cols[0], "text_key": [xxhash.xxh3_128_digest(t) for t in texts], "n": np.bincount(owner, minlength=len(texts)), "f": list(f), "map": list(bitmaps(h, owner, len(texts)))}
+
+    rows = stored(by_row(docs, [F.col(row).cast("long").alias("row"), text_bytes()], "row long, text_key binary, n long, f array<long>, map array<long>", measured))
+    reps = stored(rows.groupBy("text_key").agg(F.min(F.struct("row", "n", "f", "map")).alias("x")).select("text_key", "x.*"))
     each = reps.where("n > 0").select("row", "n", F.posexplode("f").alias("q", "fp"))
     by = ("q", "k", "shared")
     index = postings(each, "fp", max_bits, "row", "n", "q").select("q", "k", "shared", "fp", "row", "n")
 
-    def candidates(cols):
+    # a little more than the bound: its last digit is a matter of rounding
+    bound = (1 - at_least) / (1 + at_least) + 1e-9
+
+    def candidates(cols, limit, mapped):
         out: dict[str, list] = {c: [] for c in ("a", "b", "more", *by)}
         for q, k, shared, members, tiles, i, j in zip(*cols, strict=True):
             f = np.array([m["fp"] for m in members], np.int64)
             n, ids, part = (np.array([m[c] for m in members], np.int64) for c in ("n", "row", "part"))
             # texts whose sizes differ too much are not similar; those of one component need no more links
-            may = lambda a, b, n=n, part=part: (np.minimum(n[a], n[b]) >= at_least * np.maximum(n[a], n[b])) & ((part[a] < 0) | (part[a] != part[b]))
-            a, b, more = nearest(f.view(np.uint64), k, max_bits, tile_of(f, tiles) if i != j else None, most if part.min() < 0 else len(f), may)
+            maps = np.array([m["map"] for m in members], np.int64).T.copy() if mapped else None
+
+            def may(a, b, n=n, part=part, maps=maps):
+                ok = (np.minimum(n[a], n[b]) >= at_least * np.maximum(n[a], n[b])) & ((part[a] < 0) | (part[a] != part[b]))
+                if maps is not None:
+                    at = np.flatnonzero(ok)
+                    apart = np.zeros(len(at), np.int64)
+                    for word in maps:
+                        apart += np.bitwise_count((word[a[at]] ^ word[b[at]]).view(np.uint64))
+                    ok[at] = apart <= bound * (n[a[at]] + n[b[at]])
+                return ok
+
+            a, b, more = nearest(f.view(np.uint64), k, max_bits, tile_of(f, tiles) if i != j else None, limit or len(f), may)
             a, b = ids[a], ids[b]
             out["a"] += [*np.minimum(a, b).tolist(), None][: len(a) + more]
             out["b"] += [*np.maximum(a, b).tolist(), None][: len(a) + more]
@@ -293,8 +326,8 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
                 out[c] += [v] * (len(a) + more)
         return out
 
-    def paired(of: DataFrame) -> DataFrame:
-        return by_row(of, [*by, "members", "tiles", "i", "j"], "a long, b long, more boolean, q int, k short, shared long", candidates, 16)
+    def paired(of: DataFrame, limit: int | None, mapped: bool = False) -> DataFrame:
+        return by_row(of, [*by, "members", "tiles", "i", "j"], "a long, b long, more boolean, q int, k short, shared long", partial(candidates, limit=limit, mapped=mapped), 16)
 
     def shingles_of(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
@@ -320,12 +353,12 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
         return pairs.where("ca <> cb").drop("ca", "cb")
 
     member = F.struct("fp", "row", "n", F.lit(-1).cast("long").alias("part"))
-    found = stored(paired(lists(index, member, by)))
+    found = stored(paired(lists(index, member, by), most))
     pairs = found.where("not more").select("a", "b").distinct()
     for c in "ab":
-        pairs = pairs.join(reps.select(F.col("row").alias(c), F.col("f").alias(f"f{c}")), c)
-    far = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
-    pairs = stored(pairs.select("a", "b", far.alias("d")))
+        pairs = pairs.join(reps.select(F.col("row").alias(c), F.col("map").alias(f"m{c}"), F.col("n").alias(f"n{c}")), c)
+    far = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
+    pairs = stored(pairs.select("a", "b", far.alias("d"), (F.col("na") + F.col("nb")).alias("n")).where(F.col("d") <= bound * F.col("n")).select("a", "b", "d"))
     # first the likeliest partners of each text, then the pairs that these have not joined
     rank = lambda of, other: F.row_number().over(Window.partitionBy(of).orderBy("d", other))
     likely = pairs.withColumn("r", rank("a", "b")).where("r <= 2").select("a", "b").unionByName(pairs.withColumn("r", rank("b", "a")).where("r <= 2").select("a", "b")).distinct()
@@ -335,15 +368,19 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
     others = apart(pairs.select("a", "b").join(likely, ["a", "b"], "left_anti"), parts)
     links = links.unionByName(linked(others))
     parts = joined(links)
-    # lists that had more near pairs than they gave, and members in several components: all near pairs between these
-    dense = found.where("more").select(*by).distinct()
-    named = found.where("not more").join(dense, list(by), "left_semi")
-    of_list = named.select(*by, F.col("a").alias("row")).unionByName(named.select(*by, F.col("b").alias("row"))).join(parts, "row", "left").withColumn("part", F.coalesce("component", "row"))
-    open_lists = small(checkpoint(of_list.groupBy(*by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*by)))
-    again = index.join(open_lists, list(by), "left_semi").join(parts, "row", "left").withColumn("part", F.coalesce("component", "row"))
-    late = apart(paired(lists(again.select(*by, "fp", "row", "n", "part"), F.struct("fp", "row", "n", "part"), by)).select("a", "b").distinct(), parts)
-    more_links = linked(late)
-    if not more_links.isEmpty():
-        parts = joined(links.unionByName(more_links))
+    # lists that had more near pairs than they gave, and members in several components: pairs between these, the nearest first
+    for limit in (most, None):
+        dense = found.where("more").select(*by).distinct()
+        named = found.where("not more").join(dense, list(by), "left_semi")
+        of_list = named.select(*by, F.col("a").alias("row")).unionByName(named.select(*by, F.col("b").alias("row"))).join(parts, "row", "left").withColumn("part", F.coalesce("component", "row"))
+        open_lists = small(checkpoint(of_list.groupBy(*by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*by)))
+        if open_lists.isEmpty():
+            break
+        again = index.join(open_lists, list(by), "left_semi").join(reps.select("row", "map"), "row").join(parts, "row", "left").withColumn("part", F.coalesce("component", "row"))
+        found = stored(paired(lists(again.select(*by, "fp", "row", "n", "part", "map"), F.struct("fp", "row", "n", "part", "map"), by), limit, True))
+        more_links = linked(apart(found.where("not more").select("a", "b").distinct(), parts))
+        if not more_links.isEmpty():
+            links = links.unionByName(more_links)
+            parts = joined(links)
     own = reps.join(parts, "row", "left").select("text_key", F.coalesce("component", "row").alias("component"))
     return rows.select("row", "text_key").join(own, "text_key").select("row", "component")

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from scenespark.llm import attribution, merkle, toxicity
+from scenespark.llm import attribution, merkle, simhash, toxicity
 from scenespark.llm.registry import ORACLE_SQL, QUERIES
 
 from ..conftest import DATA
@@ -277,3 +277,40 @@ def test_edge_shop_equals_sql(spark, tmp_path):
     got = QUERIES["op11_attribution"](spark, str(tmp_path))
     cols = sorted(got.columns)
     assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, con.execute(f"select {', '.join(cols)} from ({ORACLE_SQL['op11_attribution']})").fetchall()))
+
+
+def test_unlike_texts_of_one_group_are_not_paired_each_with_each(spark, monkeypatch):
+    # texts near in their words, none similar in its shingles: every fourth word of each is its own
+    rng, tried = random.Random(3), []
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(w if k % 4 or rng.random() < 0.4 else f"x{rng.randrange(10**6)}" for k, w in enumerate(words)) for _ in range(150)]
+    texts += [t + " end" for t in texts[:5]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    verify = simhash.similar
+
+    def told(pairs, *rest):
+        tried.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "similar", told)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = {r["row"]: r["component"] for r in simhash.near_copies(rows, max_bits=6).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+    assert 0 < sum(tried) < 3 * len(texts)
+
+
+def test_maps_differ_no_more_than_sets():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 40, 3000)]
+    sets.append(np.unique(np.concatenate([sets[2][5:], rng.integers(0, 2**63, 4).astype(np.uint64)])))
+    maps = simhash.bitmaps(np.concatenate(sets), np.repeat(np.arange(5), [len(s) for s in sets]), 5)
+    for i in range(5):
+        for j in range(5):
+            assert np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).sum() <= len(np.setxor1d(sets[i], sets[j]))
+    assert np.bitwise_count((maps[2] ^ maps[4]).view(np.uint64)).sum() > 0 and not maps[0].any()
