@@ -22,9 +22,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def var_pop(v: Column) -> Column:
-    n = F.size(v)
-    mean = F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x) / n
-    return F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
+    """The vector and its mean are held in arrays of one, so that each is made once a row: a lambda makes what it names anew at each element."""
+    held = F.transform(F.array(doubles(v)), lambda x: F.struct(x.alias("x"), (F.aggregate(x, F.lit(0.0), lambda s, y: s + y) / F.size(x)).alias("mean")))
+    return F.element_at(F.transform(held, lambda h: F.aggregate(h["x"], F.lit(0.0), lambda s, y: s + (y - h["mean"]) * (y - h["mean"])) / F.size(h["x"])), 1)
 
 
 def np_cosine(a: np.ndarray, b: np.ndarray) -> float:

@@ -403,9 +403,9 @@ def phash_bits(spark, d):
 @query("WITH x AS (SELECT vec_id,embedding::DOUBLE[] e FROM embeddings), l AS (SELECT vec_id,e[k-8]+e[k+8]+e[k-1]+e[k+1]-4*e[k] v FROM x,(SELECT r*8+c+1 k FROM range(1,7) a(r),range(1,7) b(c))) SELECT vec_id,round(var_pop(v),9) sharpness FROM l GROUP BY 1")
 def laplacian_grid(spark, d):
     """The sharpness rule on vectors as 8 x 8 grids, inner cells only."""
-    e = F.col("embedding").cast("array<double>")
-    inner = F.filter(F.sequence(F.lit(10), F.lit(55)), lambda k: ~((k - 1) % 8).isin(0, 7))
-    lap = F.transform(inner, lambda k: F.element_at(e, k - 8) + F.element_at(e, k + 8) + F.element_at(e, k - 1) + F.element_at(e, k + 1) - 4 * F.element_at(e, k))
+    e = lambda k: F.element_at("embedding", F.lit(k)).cast("double")
+    inner = [r * 8 + c + 1 for r in range(1, 7) for c in range(1, 7)]
+    lap = F.array(*[e(k - 8) + e(k + 8) + e(k - 1) + e(k + 1) - 4 * e(k) for k in inner])
     return read(spark, d, "embeddings").select("vec_id", F.round(vectors.var_pop(lap), 9).alias("sharpness"))
 
 

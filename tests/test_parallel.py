@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenespark.config import SegmenterConfig, SelectorConfig
+from scenespark.functions import vectors
 from scenespark.operators import joins, prefix, ranks, select, speculate
 from scenespark.operators.folds import fold
 from scenespark.operators.segment import ShotState
@@ -181,3 +182,11 @@ def test_nearest_frame_against_all_pairs(spark, cell):
     got = joins.nearest(f, p, cell_sec=cell).collect()
     assert len(got) == len(points) and {r["point"]: (r["stream_id"], r["t"], r["frame_t"], r["source_idx"]) for r in got} == want
     assert joins.nearest(f.where("false"), p).where("source_idx is not null").count() == 0 and joins.nearest(f, p.where("false")).count() == 0
+
+
+def test_variance_makes_its_vector_once_a_row(spark):
+    rows = spark.createDataFrame([([1.0, 2.0, 4.0, 9.0],), ([0.5] * 64,), (None,)], "e array<double>")
+    got = rows.select(vectors.var_pop(F.transform("e", lambda v: v * 2))).collect()
+    assert [r[0] for r in got] == [38.0, 0.0, None]
+    plan = rows.select(vectors.var_pop(F.transform("e", lambda v: v * 1234.5)).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("1234.5") == 1
