@@ -23,7 +23,7 @@ from ..config import CaptionerConfig, SegmenterConfig, SelectorConfig
 from ..functions.text import shot_header
 from ..operators.captions import caption, part
 from ..operators.segment import ShotState
-from ..store import fresh_path
+from ..store import fresh_path, written
 
 PICKS = "array<struct<pick_id:int,source_idx:bigint,timestamp_sec:double,rank_in_segment:int,composite_score:double,representativeness:double,sharpness:double>>"
 OUT = f"stream_id long, began double, kind string, source_idx long, timestamp_sec double, sim_to_shot_mean double, is_shot_start boolean, segment_id int, start_sec double, end_sec double, num_frames long, closed_by string, picks {PICKS}"
@@ -103,9 +103,7 @@ class Shots(StatefulProcessor):
             self.wake(min(due, self.timer.get()[0]) if self.timer.exists() else due)
         yield pd.DataFrame(columns=NAMES)
 
-    def close_shot(self, key, began: float, s: ShotState, total: np.ndarray, n: int, picks: int, end: float, by: str) -> tuple:
-        rows = list(self.frames.get())
-        self.frames.clear()
+    def close_shot(self, key, rows: list[tuple], began: float, s: ShotState, total: np.ndarray, n: int, picks: int, end: float, by: str) -> tuple:
         found = picks_of_shot(rows, total, s.start, end, self.sel, picks)
         return (key[0], began, "segment_closed", None, None, None, None, s.segment, s.start, end, n, by, found)
 
@@ -121,13 +119,16 @@ class Shots(StatefulProcessor):
             s.mean, total = np.array(mean, float), np.array(sums, float)
         out: list[tuple] = []
         new: list[tuple] = []
+        stored = n > 0
 
         def close(end: float, by: str) -> None:
-            nonlocal new, n, picks
-            if new:
-                self.frames.appendList(new)
-                new = []
-            out.append(self.close_shot(key, began, s, total, n, picks, end, by))
+            nonlocal new, n, picks, stored
+            # only the shot that was open before has frames in the store
+            rows_of = [*self.frames.get(), *new] if stored else new
+            if stored:
+                self.frames.clear()
+            new, stored = [], False
+            out.append(self.close_shot(key, rows_of, began, s, total, n, picks, end, by))
             picks += len(out[-1][-1])
             n = 0
 
@@ -260,6 +261,7 @@ def in_batches(frames: DataFrame, batches: int, jitter_sec: float, files: int =
     spark, path = frames.sparkSession, fresh_path(frames.sparkSession)
     cols = ["stream_id", "source_idx", "timestamp_sec", "sharpness", "embedding"]
     arrives = F.col("timestamp_sec") + F.pmod(F.xxhash64("source_idx", "stream_id"), F.lit(1000)) / 1000 * jitter_sec
+    frames = written(frames.select(*cols))
     lo, hi = frames.agg(F.min("timestamp_sec"), F.max("timestamp_sec")).first()
     span = ((hi or 0.0) - (lo or 0.0) + jitter_sec) or 1.0
     place = F.least(F.lit(batches - 1), F.floor((arrives - F.lit(lo or 0.0)) / span * batches).cast("int"))

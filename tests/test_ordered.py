@@ -120,3 +120,56 @@ def test_command_line_follows_a_folder(spark, tmp_path, capsys):
     shots = [(r["segment_id"], r["start_sec"], r["end_sec"]) for r in spark.read.csv(f"{folder}/segments.csv", header=True, inferSchema=True).orderBy("segment_id").collect()]
     assert shots == [(0, 0.0, 6.0), (1, 6.0, 11.0)]
 
+
+
+def test_shots_that_close_in_one_call_stay_out_of_the_store():
+    class Kept:
+        def __init__(self):
+            self.rows, self.calls = None, 0
+
+        def exists(self):
+            return self.rows is not None
+
+        def get(self):
+            self.calls += 1
+            return self.rows or ()
+
+        def appendList(self, rows):
+            self.calls += 1
+            self.rows = [*(self.rows or []), *rows]
+
+        def update(self, row):
+            self.rows = row
+
+        put = update
+
+        def clear(self):
+            self.rows = None
+
+    class Handle:
+        def getListState(self, *_):
+            return Kept()
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            pass
+
+        deleteTimer = registerTimer
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 10**9
+
+    p = ordered.Shots(SegmenterConfig(sim_threshold=0.5, min_shot_sec=0.0), SelectorConfig(), 0.0, 0.0)
+    p.init(Handle())
+    turned = [[1.0, 0.0], [0.0, 1.0]]
+    found = []
+    for at in (0, 100):  # the shot left open by the first call goes on in the second
+        p.waiting.rows = [(k, float(k), 1.0, turned[k // 2 % 2]) for k in range(at, at + 100)]
+        out = next(p.handleExpiredTimer((1,), Now(), None))
+        found.append(out[out["kind"] == "segment_closed"])
+    assert [len(x) for x in found] == [49, 50]
+    assert all((x["num_frames"] == 2).all() for x in found) and found[1]["start_sec"].iloc[0] == 98.0
+    assert [q["source_idx"] for q in found[1]["picks"].iloc[0]] and {q["source_idx"] for q in found[1]["picks"].iloc[0]} <= {98, 99}
+    assert p.frames.calls <= 3
