@@ -23,7 +23,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: the one with the smallest id, any id before none.
 
     Texts link at a similarity of 0.8 or more of their shingles of five words; candidates come from the index of
-    fingerprints, and each is compared whole before it links. Rows without an id link and go like others; of rows with equal ids in a group one stays, and
+    fingerprints, or, among texts of its long lists, from their shingles, and each is compared whole before it links. Rows without an id link and go like others; of rows with equal ids in a group one stays, and
     rows with equal ids in different groups all stay. Null and empty texts are one group. Of equal ids
     in a group the row that stays is the first as the input was stored. Texts of any length are compared whole. Columns may have any names.
     """

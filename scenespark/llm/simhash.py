@@ -12,8 +12,7 @@ verified bit by bit. Lists with many members are cut into tiles, and every two t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import lru_cache, partial
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -234,29 +233,32 @@ def near_dups(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id") -> Dat
     return fp.join(rep, "fp").select(id_col, hexed, "component_id")
 
 
-def nearest(f: np.ndarray, k: int, max_bits: int, tile: np.ndarray | None, most: int, may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Near pairs of a list that ``may`` link, of each member the ``most`` nearest later ones alone, and whether any were left out.
+def likest(n: np.ndarray, part: np.ndarray, maps: np.ndarray, at_least: float, most: int, tile: np.ndarray | None = None, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a list's members that may be similar and are of different parts, of each member the ``most`` likest later ones, and whether any were left out.
 
-    A member that no such pair names comes with its nearest earlier one, so that every member that is near another is named.
+    ``n`` has the members' numbers of shingles, ``maps`` their bitmaps. Sets of x and y shingles that are similar differ in
+    (x + y)(1 - s) / (1 + s) of them at most, bitmaps in no more. With ``tile``, only pairs of different tiles.
     """
-    out, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], False
-    named, least, who = np.zeros(len(f), bool), np.full(len(f), 255), np.full(len(f), -1)
-    for i, j, bits in near_in_list(f, k, max_bits, tile):
-        ok = may(i, j)
-        i, j, bits = i[ok], j[ok], bits[ok]
-        order = np.lexsort((j, bits, i))
-        i, j, bits = i[order], j[order], bits[order]
+    bound = (1 - at_least) / (1 + at_least) + 1e-9  # a little more: its last digit is a matter of rounding
+    out, more, step = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], False, max(1, cells // max(1, len(n)))
+    for at in range(0, len(n), step):
+        x, y = slice(at, at + step), slice(at, None)
+        ok = np.minimum(n[x, None], n[None, y]) >= at_least * np.maximum(n[x, None], n[None, y])
+        ok &= np.triu(part[x, None] != part[None, y], 1)
+        if tile is not None:
+            ok &= tile[x, None] != tile[None, y]
+        i, j = np.nonzero(ok)
+        i, j = at + i, at + j
+        apart = np.zeros(len(i), np.int64)
+        for word in maps.T:
+            apart += np.bitwise_count((word[i] ^ word[j]).view(np.uint64))
+        ok = apart <= bound * (n[i] + n[j])
+        i, j, apart = i[ok], j[ok], apart[ok]
+        order = np.lexsort((j, apart, i))
+        i, j = i[order], j[order]
         keep = np.arange(len(i)) - np.searchsorted(i, i) < most
         more |= not keep.all()
-        named[i[keep]] = named[j[keep]] = True
         out.append((i[keep], j[keep]))
-        order = np.lexsort((bits, j))
-        last, at = np.unique(j[order], return_index=True)
-        at = order[at]
-        nearer = bits[at] < least[last]
-        least[last[nearer]], who[last[nearer]] = bits[at][nearer], i[at][nearer]
-    rest = np.flatnonzero(~named & (who >= 0))
-    out.append((who[rest], rest))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]), more
 
 
@@ -267,14 +269,16 @@ def similar(pairs: DataFrame, shingles: DataFrame, at_least: float) -> DataFrame
     return both.where(F.col("n") >= at_least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
-def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width: int = 5, max_bits: int = 3, prints: int = 7, most: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width: int = 5, max_bits: int = 3, prints: int = 7, most: int = 2, crowd: int = 32) -> DataFrame:
     """(row, component): texts that are linked by a Jaccard similarity of ``at_least`` between their distinct shingles of ``width`` words.
 
     Words are lower-cased (A to Z). Candidates are within ``max_bits`` bits in one of several fingerprints of their words;
-    each is verified by its whole shingles before it links, so unlike texts never do. A list with very many near pairs
-    first gives the ``most`` nearest of each member; once these have linked, those of its near pairs between different
-    components that bitmaps of the shingles do not rule out follow, again the nearest first and then all, so that none is lost. Pairs that
-    bitmaps rule out cannot be similar: sets of x and y shingles that are differ in (x + y)(1 - s) / (1 + s) of them at most. Texts with the same words in the same order are one text before
+    each is verified by its whole shingles before it links, so unlike texts never do. Texts of lists with over ``crowd`` members
+    are crowded: their lists would show the same pairs again and again. Pairs of two crowded texts are found, all of them, by their shingles instead: similar
+    sets of x and y shingles share ``at_least`` of the larger, so one that is shared is among the first x - ceil(x s) + 1 of the one, in order of hash, and
+    the first y - ceil(y s) + 1 of the other. In a list of such a shingle pairs that bitmaps of the shingles rule out go, and each text first meets
+    the ``most`` likest; once these have linked, those of different components follow, again the likest first and then all, so that none is lost.
+    Texts with the same words in the same order are one text before
     anything is paired; null and empty texts and those of spaces alone are one such text. ``row`` must be distinct longs; component is
     the smallest of a group. An empty table gives no rows. Very long texts have their distinct shingles in one array.
     """
@@ -294,43 +298,43 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
     reps = stored(rows.groupBy("text_key").agg(F.min(F.struct("row", "n", "f", "map")).alias("x")).select("text_key", "x.*"))
     each = reps.where("n > 0").select("row", "n", F.posexplode("f").alias("q", "fp"))
     by = ("q", "k", "shared")
-    index = postings(each, "fp", max_bits, "row", "n", "q").select("q", "k", "shared", "fp", "row", "n")
-
-    # a little more than the bound: its last digit is a matter of rounding
-    bound = (1 - at_least) / (1 + at_least) + 1e-9
+    index = postings(each, "fp", max_bits, "row", "n", "q").select("q", "k", "shared", "row")
+    long_lists = small(checkpoint(index.groupBy(*by).count().where(F.col("count") > crowd).select(*by, F.lit(True).alias("long"))))
+    crowded = stored(index.join(long_lists, list(by), "left").groupBy("row").agg(F.max("long").alias("crowded")).where("crowded"))
 
-    def candidates(cols, limit, mapped):
-        out: dict[str, list] = {c: [] for c in ("a", "b", "more", *by)}
-        for q, k, shared, members, tiles, i, j in zip(*cols, strict=True):
+    def near(cols):
+        out: dict[str, list] = {"a": [], "b": []}
+        for k, members in zip(*cols, strict=True):
             f = np.array([m["fp"] for m in members], np.int64)
-            n, ids, part = (np.array([m[c] for m in members], np.int64) for c in ("n", "row", "part"))
-            # texts whose sizes differ too much are not similar; those of one component need no more links
-            maps = np.array([m["map"] for m in members], np.int64).T.copy() if mapped else None
-
-            def may(a, b, n=n, part=part, maps=maps):
-                ok = (np.minimum(n[a], n[b]) >= at_least * np.maximum(n[a], n[b])) & ((part[a] < 0) | (part[a] != part[b]))
-                if maps is not None:
-                    at = np.flatnonzero(ok)
-                    apart = np.zeros(len(at), np.int64)
-                    for word in maps:
-                        apart += np.bitwise_count((word[a[at]] ^ word[b[at]]).view(np.uint64))
-                    ok[at] = apart <= bound * (n[a[at]] + n[b[at]])
-                return ok
-
-            a, b, more = nearest(f.view(np.uint64), k, max_bits, tile_of(f, tiles) if i != j else None, limit or len(f), may)
-            a, b = ids[a], ids[b]
-            out["a"] += [*np.minimum(a, b).tolist(), None][: len(a) + more]
-            out["b"] += [*np.maximum(a, b).tolist(), None][: len(a) + more]
-            out["more"] += [False] * len(a) + [True] * more
-            for c, v in zip(by, (q, k, shared), strict=True):
-                out[c] += [v] * (len(a) + more)
+            n, ids = (np.array([m[c] for m in members], np.int64) for c in ("n", "row"))
+            lone = np.array([not m["crowded"] for m in members])
+            for i, j, _ in near_in_list(f.view(np.uint64), k, max_bits):
+                # texts whose sizes differ too much are not similar
+                ok = (lone[i] | lone[j]) & (np.minimum(n[i], n[j]) >= at_least * np.maximum(n[i], n[j]))
+                a, b = ids[i[ok]], ids[j[ok]]
+                out["a"] += np.minimum(a, b).tolist()
+                out["b"] += np.maximum(a, b).tolist()
         return out
 
-    def paired(of: DataFrame, limit: int | None, mapped: bool = False) -> DataFrame:
-        return by_row(of, [*by, "members", "tiles", "i", "j"], "a long, b long, more boolean, q int, k short, shared long", partial(candidates, limit=limit, mapped=mapped), 16)
+    def paired(of: DataFrame, limit: int | None) -> DataFrame:
+        """(a, b, more): pairs of crowded texts of different parts that meet in a list and may be similar; a row of nulls where a list has more."""
 
-    def shingles_of(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+        def rows(cols):
+            out: dict[str, list] = {"a": [], "b": [], "more": []}
+            for members, tiles, i, j in zip(*cols, strict=True):
+                ids, n, part = (np.array([m[c] for m in members], np.int64) for c in ("fp", "n", "part"))
+                maps = np.array([m["map"] for m in members], np.int64)
+                a, b, more = likest(n, part, maps, at_least, limit or len(n), np.mod(ids, tiles) if i != j else None)
+                a, b = ids[a], ids[b]
+                out["a"] += [*np.minimum(a, b).tolist(), None][: len(a) + more]
+                out["b"] += [*np.maximum(a, b).tolist(), None][: len(a) + more]
+                out["more"] += [False] * len(a) + [True] * more
+            return out
+
+        return by_row(lists(of, F.struct("fp", "n", "part", "map"), ("s",)), ["members", "tiles", "i", "j"], "a long, b long, more boolean", rows, 16)
+
+    def shingles_of(asked: DataFrame) -> DataFrame:
+        """(row, s): the distinct shingles of the rows asked for, in order."""
 
         def arrays(cols):
             h, owner, _ = shingle_hashes(cols[1], width)
@@ -341,7 +345,8 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs)
-        return stored(similar(pairs, stored(shingles_of(pairs)), at_least))
+        asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+        return stored(similar(pairs, stored(shingles_of(asked)), at_least))
 
     def joined(links: DataFrame) -> DataFrame:
         return checkpoint(connected_components(links).select(F.col("node").alias("row"), "component"))
@@ -352,9 +357,11 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
             pairs = pairs.join(parts.select(F.col("row").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
         return pairs.where("ca <> cb").drop("ca", "cb")
 
-    member = F.struct("fp", "row", "n", F.lit(-1).cast("long").alias("part"))
-    found = stored(paired(lists(index, member, by), most))
-    pairs = found.where("not more").select("a", "b").distinct()
+    told = reps.where("n > 0").join(crowded, "row", "left").select("row", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"), F.posexplode("f").alias("q", "fp"))
+    member = F.struct("fp", "row", "n", "crowded")
+    short = postings(told, "fp", max_bits, "row", "n", "q", "crowded").join(long_lists, list(by), "left_anti").groupBy(*by).agg(F.collect_list(member).alias("members"), F.bool_and("crowded").alias("all"))
+    pairs = by_row(short.where("size(members) > 1 and not all"), ["k", "members"], "a long, b long", near).distinct()
+    bound = (1 - at_least) / (1 + at_least) + 1e-9  # as in likest
     for c in "ab":
         pairs = pairs.join(reps.select(F.col("row").alias(c), F.col("map").alias(f"m{c}"), F.col("n").alias(f"n{c}")), c)
     far = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
@@ -368,19 +375,17 @@ def near_copies(docs: DataFrame, row: str = "row", at_least: float = 0.8, width:
     others = apart(pairs.select("a", "b").join(likely, ["a", "b"], "left_anti"), parts)
     links = links.unionByName(linked(others))
     parts = joined(links)
-    # lists that had more near pairs than they gave, and members in several components: pairs between these, the nearest first
-    for limit in (most, None):
-        dense = found.where("more").select(*by).distinct()
-        named = found.where("not more").join(dense, list(by), "left_semi")
-        of_list = named.select(*by, F.col("a").alias("row")).unionByName(named.select(*by, F.col("b").alias("row"))).join(parts, "row", "left").withColumn("part", F.coalesce("component", "row"))
-        open_lists = small(checkpoint(of_list.groupBy(*by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*by)))
-        if open_lists.isEmpty():
-            break
-        again = index.join(open_lists, list(by), "left_semi").join(reps.select("row", "map"), "row").join(parts, "row", "left").withColumn("part", F.coalesce("component", "row"))
-        found = stored(paired(lists(again.select(*by, "fp", "row", "n", "part", "map"), F.struct("fp", "row", "n", "part", "map"), by), limit, True))
-        more_links = linked(apart(found.where("not more").select("a", "b").distinct(), parts))
-        if not more_links.isEmpty():
-            links = links.unionByName(more_links)
-            parts = joined(links)
+    if not crowded.isEmpty():
+        first = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(at_least) - 1e-6) + 1).cast("int"))
+        met = stored(shingles_of(crowded.select("row")).join(reps.select("row", "n", "map"), "row").select("row", "n", "map", first.alias("first")))
+        for limit in (most, most, None):
+            of = met.join(parts, "row", "left").select("row", "n", "map", F.coalesce("component", "row").alias("part"), F.explode("first").alias("s"))
+            found = stored(paired(of.withColumnRenamed("row", "fp"), limit))
+            more_links = linked(found.where("not more").select("a", "b").distinct())
+            if not more_links.isEmpty():
+                links = links.unionByName(more_links)
+                parts = joined(links)
+            if found.where("more").isEmpty():
+                break
     own = reps.join(parts, "row", "left").select("text_key", F.coalesce("component", "row").alias("component"))
     return rows.select("row", "text_key").join(own, "text_key").select("row", "component")

@@ -314,3 +314,44 @@ def test_maps_differ_no_more_than_sets():
         for j in range(5):
             assert np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).sum() <= len(np.setxor1d(sets[i], sets[j]))
     assert np.bitwise_count((maps[2] ^ maps[4]).view(np.uint64)).sum() > 0 and not maps[0].any()
+
+
+def test_likest_partners_against_every_pair():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.95], rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(40)]
+    n = np.array([len(x) for x in sets])
+    maps = simhash.bitmaps(np.concatenate(sets), np.repeat(np.arange(40), n), 40)
+    part, tile = rng.integers(0, 9, 40), rng.integers(0, 2, 40)
+    apart = lambda i, j: int(np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).sum())
+    for tiles in (None, tile):
+        may = [(i, j) for i in range(40) for j in range(i + 1, 40) if part[i] != part[j] and (tiles is None or tile[i] != tile[j]) and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and apart(i, j) <= (n[i] + n[j]) / 9 + 1e-6]
+        a, b, more = simhash.likest(n, part, maps, 0.8, 40, tiles, cells=70)
+        assert may and sorted(zip(a.tolist(), b.tolist(), strict=True)) == may and not more
+        alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+        assert all((i, j) in may for i in range(40) for j in range(i + 1, 40) if part[i] != part[j] and (tiles is None or tile[i] != tile[j]) and alike(i, j))
+        a, b, more = simhash.likest(n, part, maps, 0.8, 2, tiles, cells=70)
+        want = [(i, j) for i in range(40) for _, j in sorted((apart(*x), x[1]) for x in may if x[0] == i)[:2]]
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(want) and more
+
+
+def test_a_crowd_is_gathered_by_its_shingles_once(spark, monkeypatch):
+    """Texts near in their words meet in lists of few shingles each, not in every list of fingerprints, and all links stay."""
+    rng, rows = random.Random(8), []
+    texts = []
+    for _ in range(120):
+        own = set(rng.sample(range(5, 295, 10), 6))
+        texts.append(" ".join(f"x{rng.randrange(10**6)}" if k in own else f"w{k}" for k in range(300)))
+    texts += [t + " end" for t in texts[:9]]
+    gathered = simhash.lists
+
+    def told(of, *rest, **more):
+        rows.append(of.count())
+        return gathered(of, *rest, **more)
+
+    monkeypatch.setattr(simhash, "lists", told)
+    got = {r["row"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    assert all(len(sets[i] & sets[120 + i]) >= 0.8 * len(sets[i] | sets[120 + i]) and got[120 + i] == got[i] for i in range(9))
+    assert all(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for i in range(120) for j in range(i)) and len(set(got.values())) == 120
+    assert rows and max(rows) < 70 * len(texts)
